@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestrata.llm.fertility import op5_fertility
+from lodestrata.llm.pieces import op9_pieces
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op5_fertility": op5_fertility,
+        "op9_pieces": op9_pieces,
     }
 
 
