@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lodestrata.llm.chaining import op3_fuzzy_passages
 from lodestrata.llm.fertility import op5_fertility
 from lodestrata.llm.jaccard import op7_near_pairs
 from lodestrata.llm.pieces import op9_pieces
@@ -13,6 +14,7 @@ from lodestrata.llm.pieces import op9_pieces
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_fuzzy_passages": op3_fuzzy_passages,
         "op5_fertility": op5_fertility,
         "op7_near_pairs": op7_near_pairs,
         "op9_pieces": op9_pieces,
