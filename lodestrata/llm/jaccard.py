@@ -48,7 +48,7 @@ def signatures(sets: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
     add = rng.integers(0, 1 << 63, bands * rows, dtype=np.uint64)
     out = np.empty((len(sets), bands), U64)
     for b in range(bands):
-        acc = np.full(len(sets), U64(b + 1) * _P[1])
+        acc = np.full(len(sets), (b + 1) * int(_P[1]) % (1 << 64), U64)
         for r in range(b * rows, (b + 1) * rows):
             acc = (acc ^ np.minimum.reduceat(flat * odd[r] + add[r], at)) * _P[0]
             acc ^= acc >> U64(29)

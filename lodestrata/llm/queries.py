@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from lodestrata.llm.chaining import op3_fuzzy_passages
 from lodestrata.llm.fertility import op5_fertility
 from lodestrata.llm.jaccard import op7_near_pairs
+from lodestrata.llm.mixing import ORACLE as MIXING_SQL, op1_mixture
 from lodestrata.llm.pieces import op9_pieces
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_mixture": op1_mixture,
         "op3_fuzzy_passages": op3_fuzzy_passages,
         "op5_fertility": op5_fertility,
         "op7_near_pairs": op7_near_pairs,
@@ -22,4 +24,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_mixture": MIXING_SQL}
