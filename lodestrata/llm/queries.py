@@ -11,6 +11,7 @@ from lodestrata.llm.fertility import op5_fertility
 from lodestrata.llm.jaccard import op7_near_pairs
 from lodestrata.llm.mixing import ORACLE as MIXING_SQL, op1_mixture
 from lodestrata.llm.pieces import op9_pieces
+from lodestrata.llm.suffixes import op10_repeats
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_fertility": op5_fertility,
         "op7_near_pairs": op7_near_pairs,
         "op9_pieces": op9_pieces,
+        "op10_repeats": op10_repeats,
     }
 
 
