@@ -10,6 +10,7 @@ from lodestrata.llm.chaining import op3_fuzzy_passages
 from lodestrata.llm.fertility import op5_fertility
 from lodestrata.llm.jaccard import op7_near_pairs
 from lodestrata.llm.mixing import ORACLE as MIXING_SQL, op1_mixture
+from lodestrata.llm.ngram_lm import op4_lm_scores
 from lodestrata.llm.pieces import op9_pieces
 from lodestrata.llm.suffixes import op10_repeats
 
@@ -18,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixture": op1_mixture,
         "op3_fuzzy_passages": op3_fuzzy_passages,
+        "op4_lm_scores": op4_lm_scores,
         "op5_fertility": op5_fertility,
         "op7_near_pairs": op7_near_pairs,
         "op9_pieces": op9_pieces,
