@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lodestrata.llm.chaining import op3_fuzzy_passages
 from lodestrata.llm.fertility import op5_fertility
+from lodestrata.llm.html import op8_main_text
 from lodestrata.llm.jaccard import op7_near_pairs
 from lodestrata.llm.mixing import ORACLE as MIXING_SQL, op1_mixture
 from lodestrata.llm.ngram_lm import op4_lm_scores
@@ -22,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_lm_scores": op4_lm_scores,
         "op5_fertility": op5_fertility,
         "op7_near_pairs": op7_near_pairs,
+        "op8_main_text": op8_main_text,
         "op9_pieces": op9_pieces,
         "op10_repeats": op10_repeats,
     }
