@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestrata.llm.chaining import op3_fuzzy_passages
+from lodestrata.llm.events import ORACLE as EVENTS_SQL, op6_chats
 from lodestrata.llm.fertility import op5_fertility
 from lodestrata.llm.html import op8_main_text
 from lodestrata.llm.jaccard import op7_near_pairs
@@ -22,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_fuzzy_passages": op3_fuzzy_passages,
         "op4_lm_scores": op4_lm_scores,
         "op5_fertility": op5_fertility,
+        "op6_chats": op6_chats,
         "op7_near_pairs": op7_near_pairs,
         "op8_main_text": op8_main_text,
         "op9_pieces": op9_pieces,
@@ -30,4 +32,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixture": MIXING_SQL}
+    return {"op1_mixture": MIXING_SQL, "op6_chats": EVENTS_SQL}
