@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lodestrata.llm.chaining import op3_fuzzy_passages
 from lodestrata.llm.events import ORACLE as EVENTS_SQL, op6_chats
 from lodestrata.llm.fertility import op5_fertility
+from lodestrata.llm.gif import op2_gif
 from lodestrata.llm.html import op8_main_text
 from lodestrata.llm.jaccard import op7_near_pairs
 from lodestrata.llm.mixing import ORACLE as MIXING_SQL, op1_mixture
@@ -20,6 +21,7 @@ from lodestrata.llm.suffixes import op10_repeats
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixture": op1_mixture,
+        "op2_gif": op2_gif,
         "op3_fuzzy_passages": op3_fuzzy_passages,
         "op4_lm_scores": op4_lm_scores,
         "op5_fertility": op5_fertility,
