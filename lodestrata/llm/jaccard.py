@@ -114,7 +114,8 @@ def verified(docs: DataFrame, pairs: DataFrame, n: int, threshold: float) -> Dat
                 if out[0]:
                     yield pa.RecordBatch.from_pydict(dict(zip(sent_schema.names, out)), schema=sent_schema)
 
-    sent = asks.join(texts, "id_").select("id_", "text", "to").mapInArrow(send, sent_ddl)
+    # shuffled at every size: what is asked for grows with the texts, so a broadcast would work for small tables only
+    sent = asks.hint("shuffle_hash").join(texts, "id_").select("id_", "text", "to").mapInArrow(send, sent_ddl)
     out_ddl = "doc_a long,doc_b long,jaccard double"
     out_schema = arrow_schema(out_ddl)
 
@@ -179,7 +180,7 @@ def one_of_each(docs: DataFrame, **how) -> DataFrame:
     """docs without those that have a near copy of a lesser id: one document of each group stays. Rows without an id or
     without words stay; rows that repeat an id stay or go together."""
     out = stored(components(near_pairs(docs, **how)).filter("doc_id != root").select(F.col("doc_id").alias("__gone")), "gone")
-    return docs.join(out, F.col("doc_id") == F.col("__gone"), "left_anti")
+    return docs.join(out.hint("shuffle_hash"), F.col("doc_id") == F.col("__gone"), "left_anti")
 
 
 def op7_near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
