@@ -86,15 +86,16 @@ def common_prefixes(seq: np.ndarray, sa: np.ndarray, groups: np.ndarray, at: int
     order = np.argsort(p)
     slots, p = slots[order], p[order]
     q = sa[slots - 1]
-    have, before = at, -2
+    have, before, beside = at, -2, -2
     s = seq.tolist() if len(slots) * 8 > n else seq
     res = []
     for x, y in zip(p.tolist(), q.tolist()):
-        l = max(have - 1, at) if x == before + 1 else at
+        # suffixes that share `depth` words are in no order, so from them only the same pair, one on, is known to share as much
+        l = max(have - 1, at) if x == before + 1 and (have < depth or y == beside + 1) else at
         while l < depth and s[x + l] == s[y + l]:
             l += 1
         res.append(l)
-        have, before = l, x
+        have, before, beside = l, x, y
     out[slots] = res
     return out
 
