@@ -97,7 +97,7 @@ def mixed(docs: DataFrame, **how) -> DataFrame:
     """docs' rows as often as they were chosen, whole."""
     chosen = mixture(docs, **how).select(F.col("doc_id").alias("__id"), "epoch").distinct().groupBy("__id").agg(F.count(F.lit(1)).cast("int").alias("__times"))
     chosen = stored(chosen, "chosen")
-    both = docs.join(chosen, F.col("doc_id") == F.col("__id"))
+    both = docs.join(chosen.hint("shuffle_hash"), F.col("doc_id") == F.col("__id"))
     both = both.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__times"))))
     return both.select(*[docs[f"`{c}`"] for c in docs.columns])
 

@@ -45,7 +45,8 @@ def together(docs: DataFrame, links: DataFrame, fold: bool, compare, out_ddl: st
                         out[c].append(q[c])
                 yield pa.RecordBatch.from_pydict(out, schema=schema)
 
-    sent = asks.join(texts, "id_").select("id_", "text", "ask").mapInArrow(send, sent_ddl)
+    # shuffled at every size: what is asked for grows with the texts, so a broadcast would work for small tables only
+    sent = asks.hint("shuffle_hash").join(texts, "id_").select("id_", "text", "ask").mapInArrow(send, sent_ddl)
     out_schema = arrow_schema(out_ddl)
     out_names = [f.name for f in out_schema]
 
