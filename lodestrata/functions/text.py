@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType
 
 LANGUAGES = {
     "rs": "rust", "py": "python", "pyi": "python", "ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "go": "go",
@@ -113,7 +114,7 @@ def common_prefix(paths: list[str]) -> str:
     return "/".join(out)
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def fnv1a64(x: pd.Series) -> pd.Series:
     """FNV-1a of UTF-8, its 64 bits as a signed number."""
 
@@ -131,7 +132,7 @@ def fnv1a64(x: pd.Series) -> pd.Series:
 def byte_prefix(n: int):
     """The longest beginning of a text of n bytes at most that ends between characters."""
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def cut(x: pd.Series) -> pd.Series:
         return x.map(lambda s: None if s is None else s.encode()[:n].decode(errors="ignore"))
 
