@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,11 +13,28 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
+def ship(spark: SparkSession) -> None:
+    """Python workers find this package where the driver found it (on a cluster it comes with --py-files)."""
+    env = spark.sparkContext.environment
+    have = env.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))
+    if ROOT not in have.split(":"):
+        env["PYTHONPATH"] = f"{ROOT}:{have}" if have else ROOT
+
+
 def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         if name in QUERIES:
             raise ValueError(f"{name} is registered twice")
-        QUERIES[name] = f
+
+        @functools.wraps(f)
+        def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return f(spark, sf_dir)
+
+        QUERIES[name] = query
         if sql is not None:
             ORACLES[name] = sql
         return f

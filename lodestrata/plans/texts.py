@@ -69,7 +69,7 @@ def fn_fnv(spark, d):
     return table(spark, d, "part").select("p_partkey", X.fnv1a64("p_name").alias("hash"), X.byte_prefix(10)("p_name").alias("prefix"))
 
 
-@register("src27_issue_refs", "SELECT o_orderkey, list_distinct([o_orderkey % 50, o_custkey % 50]) AS refs FROM orders WHERE o_orderkey % 50 <> o_custkey % 50 UNION ALL SELECT o_orderkey, [o_orderkey % 50] FROM orders WHERE o_orderkey % 50 = o_custkey % 50")
+@register("src27_issue_refs", "SELECT o_orderkey, [o_orderkey % 50, o_custkey % 50] AS refs FROM orders WHERE o_orderkey % 50 <> o_custkey % 50 UNION ALL SELECT o_orderkey, [o_orderkey % 50] FROM orders WHERE o_orderkey % 50 = o_custkey % 50")
 def src27(spark, d):
     body = F.concat(F.lit("Fixes #"), F.col("o_orderkey") % 50, F.lit(" see #99, and closes: #"), F.col("o_custkey") % 50, F.lit(" disclose #7"))
     return table(spark, d, "orders").select("o_orderkey", X.issue_refs(body).alias("refs")).withColumn("refs", F.when(F.col("o_orderkey") < 0, None).otherwise(F.col("refs")))
@@ -91,7 +91,7 @@ TERMS = ["the", "and", "oring", "thion"]
 
 
 def _bm25() -> str:
-    tf = ", ".join(f"len(list_filter(t, x -> x = '{w}')) AS tf{i}" for i, w in enumerate(sorted(TERMS)))
+    tf = ", ".join(f"len(list_filter(t, lambda x: x = '{w}')) AS tf{i}" for i, w in enumerate(sorted(TERMS)))
     df = ", ".join(f"count_if(tf{i} > 0) AS df{i}" for i in range(len(TERMS)))
     s = " + ".join(f"ln(1 + (n - df{i} + 0.5::DOUBLE) / (df{i} + 0.5::DOUBLE)) * tf{i} * 2.2::DOUBLE / (tf{i} + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / mean))" for i in range(len(TERMS)))
     hit = " + ".join(f"tf{i}" for i in range(len(TERMS)))
