@@ -109,6 +109,14 @@ def pick(df: DataFrame, *cols: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in cols])
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A name that no column of df has, in either case."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 def winnow(g: np.ndarray, w: int) -> np.ndarray:
     """Positions of the least hash in every window of w k-grams (the rightmost of equals): what two texts share over
     w + k - 1 words is sampled alike in both."""

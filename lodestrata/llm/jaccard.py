@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import U64, WordHashes, arrow_schema, bands_for, batches, kgrams, pick, read_table, ship, signed, stored
+from lodestrata.llm.common import U64, WordHashes, arrow_schema, bands_for, batches, fresh, kgrams, pick, read_table, ship, signed, stored
 
 N = 3
 THRESHOLD = 0.6
@@ -179,8 +179,9 @@ def components(edges: DataFrame, a: str = "doc_a", b: str = "doc_b") -> DataFram
 def one_of_each(docs: DataFrame, **how) -> DataFrame:
     """docs without those that have a near copy of a lesser id: one document of each group stays. Rows without an id or
     without words stay; rows that repeat an id stay or go together."""
-    out = stored(components(near_pairs(docs, **how)).filter("doc_id != root").select(F.col("doc_id").alias("__gone")), "gone")
-    return docs.join(out.hint("shuffle_hash"), F.col("doc_id") == F.col("__gone"), "left_anti")
+    gone = fresh(docs, "gone")
+    out = stored(components(near_pairs(docs, **how)).filter("doc_id != root").select(F.col("doc_id").alias(gone)), "gone")
+    return docs.join(out.hint("shuffle_hash"), F.col("doc_id") == F.col(gone), "left_anti")
 
 
 def op7_near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
