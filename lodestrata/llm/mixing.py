@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import pick, read_table, stored
+from lodestrata.llm.common import fresh, pick, read_table, stored
 
 DOMAIN_WEIGHTS = {"web": 4, "news": 2, "books": 3, "reference": 1}
 LANG_WEIGHTS = {"en": 5, "de": 2, "fr": 2, "es": 1}
@@ -95,10 +95,11 @@ def mixture(docs: DataFrame, fraction: float = FRACTION, max_epochs: int = MAX_E
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """docs' rows as often as they were chosen, whole."""
-    chosen = mixture(docs, **how).select(F.col("doc_id").alias("__id"), "epoch").distinct().groupBy("__id").agg(F.count(F.lit(1)).cast("int").alias("__times"))
+    key, times, copy = (fresh(docs, x) for x in ("chosen_id", "times", "copy"))
+    chosen = mixture(docs, **how).select(F.col("doc_id").alias(key), "epoch").distinct().groupBy(key).agg(F.count(F.lit(1)).cast("int").alias(times))
     chosen = stored(chosen, "chosen")
-    both = docs.join(chosen.hint("shuffle_hash"), F.col("doc_id") == F.col("__id"))
-    both = both.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__times"))))
+    both = docs.join(chosen.hint("shuffle_hash"), F.col("doc_id") == F.col(key))
+    both = both.withColumn(copy, F.explode(F.array_repeat(F.lit(1), F.col(times))))
     return both.select(*[docs[f"`{c}`"] for c in docs.columns])
 
 
@@ -112,7 +113,7 @@ def _case(col: str, weights: dict[str, int]) -> str:
 
 def _share(src: str, family: str, key: str, w: str) -> str:
     return f"""
-  SELECT *, CASE WHEN rank < coalesce(k, 1 << 40) THEN cap ELSE CAST(floor(lvl * {w}) AS BIGINT) END AS given FROM (
+  SELECT *, CASE WHEN rank < coalesce(k, 1099511627776) THEN cap ELSE CAST(floor(lvl * {w}) AS BIGINT) END AS given FROM (
    SELECT *, min(CASE WHEN cap > {w} * level THEN rank END) OVER (PARTITION BY {family}) AS k, arg_min(level, rank) FILTER (cap > {w} * level) OVER (PARTITION BY {family}) AS lvl FROM (
     SELECT *, CAST(budget - coalesce(sum(cap) OVER b, 0) AS DOUBLE) / CAST(sum({w}) OVER (PARTITION BY {family}) - coalesce(sum({w}) OVER b, 0) AS DOUBLE) AS level,
       row_number() OVER (PARTITION BY {family} ORDER BY CAST(cap AS DOUBLE) / {w}, {key}) AS rank
