@@ -18,6 +18,8 @@ from lodestrata.operators.ranking import materialised, numbered
 
 #: Vertices up to which betweenness starts a search from each; beyond, from the square root of their number.
 ALL_SOURCES = 50_000
+#: Edges of a graph that is broadcast: 8 bytes each.
+HELD_EDGES = 20_000_000
 
 
 def pagerank(edges: DataFrame, rounds: int = 100, damping: float = 0.85, rule: str = "standard", every: int = 5) -> DataFrame:
@@ -105,10 +107,36 @@ def brandes(n: int, start: np.ndarray, to: np.ndarray, sources: list[int]) -> np
     return total
 
 
-def betweenness(edges: DataFrame, all_sources: int = ALL_SOURCES) -> DataFrame:
+def dependencies(e: DataFrame, sources: DataFrame) -> DataFrame:
+    """(node, b): Brandes as joins, for graphs that no machine holds: e (src, dst, distinct) and sources (node). Breadth first from
+    all sources at once, a join and an anti-join a level; then back from the last level to the first."""
+    levels = [materialised(sources.select(F.col("node").alias("s"), "node", F.lit(1.0).alias("sigma"), F.lit(0).alias("d")), "bc-level")]
+    seen = levels[0]
+    while levels[-1].take(1):
+        front = levels[-1].select("s", F.col("node").alias("src"), "sigma")
+        new = e.join(front, "src").groupBy("s", F.col("dst").alias("node")).agg(F.sum("sigma").alias("sigma"))
+        levels.append(materialised(new.join(seen, ["s", "node"], "left_anti").select("s", "node", "sigma", F.lit(len(levels)).alias("d")), "bc-level"))
+        seen = seen.unionByName(levels[-1])
+    out, delta = None, None
+    for k in range(len(levels) - 2, 0, -1):
+        here = levels[k]
+        here = here.withColumn("delta", F.lit(0.0)) if delta is None else here.join(delta, ["s", "node"], "left").withColumn("delta", F.coalesce("delta", F.lit(0.0)))
+        here = materialised(here, "bc-delta")
+        part = here.groupBy("node").agg(F.sum("delta").alias("b"))
+        out = part if out is None else out.unionByName(part)
+        share = here.select("s", F.col("node").alias("dst"), ((1 + F.col("delta")) / F.col("sigma")).alias("share"))
+        back = levels[k - 1].select("s", F.col("node").alias("src"), "sigma")
+        delta = e.join(share, "dst").join(back, ["s", "src"]).groupBy("s", F.col("src").alias("node")).agg(F.sum(F.col("sigma") * F.col("share")).alias("delta"))
+    if out is None:
+        return sources.select("node", F.lit(0.0).alias("b"))
+    return out.groupBy("node").agg(F.sum("b").alias("b"))
+
+
+def betweenness(edges: DataFrame, all_sources: int = ALL_SOURCES, most_edges: int = HELD_EDGES) -> DataFrame:
     """GR3: (node, betweenness), Brandes on distinct directed edges, divided by the greatest. The searches are spread over tasks,
-    each with the whole graph in compressed rows, which a broadcast brings once to each machine: 8 bytes an edge. Beyond
-    all_sources vertices, sources are every n / sqrt(n)-th vertex by id."""
+    each with the whole graph in compressed rows, which a broadcast brings once to each machine: 8 bytes an edge, if they are
+    no more than most_edges; a larger graph is searched by joins, with the same result. Beyond all_sources vertices, sources are
+    every n / sqrt(n)-th vertex by id."""
     spark = edges.sparkSession
     e = materialised(edges.select("src", "dst").distinct(), "bc")
     v = numbered(vertices(e), "nr", F.col("node")).select("node", (F.col("nr") - 1).alias("nr"))
@@ -116,13 +144,15 @@ def betweenness(edges: DataFrame, all_sources: int = ALL_SOURCES) -> DataFrame:
     n = v.count()
     if n == 0:
         return v.select("node", F.lit(0.0).alias("betweenness"))
+    step = 1 if n <= all_sources else max(1, n // math.isqrt(n))
+    chosen = v.filter(F.col("nr") % step == 0)
+    if e.count() > most_edges:
+        return normalised(v, dependencies(e, chosen), "node")
     coded = e.join(v.select(F.col("node").alias("src"), F.col("nr").alias("s")), "src").join(v.select(F.col("node").alias("dst"), F.col("nr").alias("d")), "dst")
     pairs = coded.select(F.col("s").cast("int"), F.col("d").cast("int")).orderBy("s", "d").toArrow()
     s, d = pairs.column(0).to_numpy(), pairs.column(1).to_numpy().astype(np.int64)
     start = np.searchsorted(s, np.arange(n + 1))
     graph = spark.sparkContext.broadcast((start, d))
-    step = 1 if n <= all_sources else max(1, n // math.isqrt(n))
-    chosen = v.filter(F.col("nr") % step == 0).select("nr")
 
     def run(it):
         start, to = graph.value
@@ -132,10 +162,13 @@ def betweenness(edges: DataFrame, all_sources: int = ALL_SOURCES) -> DataFrame:
         at = np.flatnonzero(total)
         yield pd.DataFrame({"nr": at, "b": total[at]})
 
-    got = chosen.repartition(max(1, min(n, spark.sparkContext.defaultParallelism * 2)), "nr").mapInPandas(run, "nr long, b double").groupBy("nr").agg(F.sum("b").alias("b"))
-    j = v.join(got, "nr", "left").select("node", F.coalesce("b", F.lit(0.0)).alias("b"))
-    j = materialised(j, "bc-out")
-    return j.crossJoin(F.broadcast(j.agg(F.max("b").alias("m")))).select("node", F.when(F.col("m") > 0, F.col("b") / F.col("m")).otherwise(0.0).alias("betweenness"))
+    got = chosen.select("nr").repartition(max(1, min(n, spark.sparkContext.defaultParallelism * 2)), "nr").mapInPandas(run, "nr long, b double").groupBy("nr").agg(F.sum("b").alias("b"))
+    return normalised(v, got, "nr")
+
+
+def normalised(v: DataFrame, got: DataFrame, key: str) -> DataFrame:
+    j = materialised(v.join(got, key, "left").select("node", F.coalesce("b", F.lit(0.0)).alias("b")), "bc-out")
+    return j.crossJoin(F.broadcast(j.agg(F.max("b").alias("m")))).select("node", F.when(F.col("m") > 0, F.col("b") / F.col("m")).otherwise(0.0).alias("betweenness"))  # one row
 
 
 def ranked(scores: DataFrame, score: str, edges: DataFrame) -> DataFrame:

@@ -52,7 +52,7 @@ RULES: dict[str, Language] = {
     "zig": Language([(rf"\bfn\s+{N}", "Function"), (rf"\bconst\s+{N}\s*=\s*(?:packed\s+|extern\s+)?(?:struct|enum|union)\b", "Type")], [r"""@import\(\s*"([^"]+)"\s*\)"""], quotes="", sep="."),
     "lean": Language([(r"^\s*(?:private\s+|protected\s+|noncomputable\s+|partial\s+)*(?:def|theorem|lemma|abbrev|instance)\s+([\w.'!?]+)", "Function"), (r"^\s*(?:structure|inductive|class)\s+([\w.']+)", "Type")], [r"^\s*import\s+([\w.]+)"], line="--", block=("/-", "-/"), body="indent", doc="/--", sep=".", call=0.6, quotes='"'),
 }
-WORDS = frozenset("if for while switch match return catch fn func function def class new sizeof typeof await assert print not and or in is elif else with lambda yield raise super using lock fixed foreach unless until when case guard defer go select loop do try".split())
+WORDS = frozenset("if for while switch match return catch fn func function def class new sizeof typeof await assert print not and or in is elif else with lambda yield raise super using foreach unless until when case guard defer do try".split())
 CALL = re.compile(r"([A-Za-z_][\w]*)\s*(!?)\(")
 
 

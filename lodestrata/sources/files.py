@@ -27,7 +27,7 @@ def tree(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
     p = F.regexp_replace("path", r"^file:/+", "/")
     cut = F.regexp_replace(p, "^" + "".join("\\" + c if not c.isalnum() and c != "/" else c for c in root.removeprefix("file:").rstrip("/")) + "/", "")
-    out = raw.select(cut.alias("path"), F.col("length").alias("size_bytes"), F.decode("content", F.lit("UTF-8")).alias("content"))
+    out = raw.select(cut.alias("path"), F.col("length").alias("size_bytes"), F.decode("content", "UTF-8").alias("content"))
     for x in EXCLUDED:
         out = out.filter(~F.contains(F.concat(F.lit("/"), "path"), F.lit(x)))
     return out
