@@ -42,14 +42,14 @@ RULES: dict[str, Language] = {
     "python": Language([(rf"^\s*(?:async\s+)?def\s+{N}", "Function"), (rf"^\s*class\s+{N}", "Type")], [r"^\s*import\s+([\w.]+)", r"^\s*from\s+([\w.]+)\s+import"], line="#", block=None, body="indent", doc="#", sep="."),
     "javascript": Language(JS, JS_IMPORTS, doc="/**", sep="."),
     "typescript": Language([*JS, (rf"\b(?:interface|enum|type)\s+{N}", "Type")], JS_IMPORTS, doc="/**", sep="."),
-    "go": Language([(rf"^func\s+(?:\([^)]*\)\s*)?{N}", "Function"), (rf"^type\s+{N}", "Type")], [r"""^\s*(?:import\s+)?(?:[\w.]+\s+)?"([\w./-]+)"\s*$"""], doc="//", sep=".", quotes="`'"),
+    "go": Language([(rf"^func\s+(?:\([^)]*\)\s*)?{N}", "Function"), (rf"^type\s+{N}", "Type")], [r"""^\s*(?:import\s+)?(?:[\w.]+\s+)?"([\w./-]+)"\s*$"""], doc="//", sep="."),
     "java": Language([(rf"\b(?:class|interface|enum|record)\s+{N}", "Type"), (rf"^\s+(?:(?:public|private|protected|static|final|abstract|synchronized)\s+)*[\w<>\[\], ?]+\s+{N}\s*\([^;{{]*\)\s*(?:throws\s+[\w, .]+)?\{{", "Function")], [r"^\s*import\s+(?:static\s+)?([\w.]+)"], doc="/**", sep="."),
     "kotlin": Language([(rf"\bfun\s+(?:<[^>]*>\s*)?(?:[\w<>]+\.)?{N}", "Function"), (rf"\b(?:class|interface|object)\s+{N}", "Type")], [r"^\s*import\s+([\w.]+)"], doc="/**", sep="."),
     "ruby": Language([(rf"^\s*def\s+(?:self\.)?({N[1:-1]}[?!=]?)", "Function"), (rf"^\s*class\s+{N}", "Type"), (rf"^\s*module\s+{N}", "Module")], [r"""^\s*require(?:_relative)?\s*\(?['"]([^'"]+)['"]"""], line="#", block=None, body="end", doc="#"),
     "swift": Language([(rf"\bfunc\s+{N}", "Function"), (rf"\b(?:class|struct|enum|protocol|extension)\s+{N}", "Type")], [r"^\s*import\s+([\w.]+)"], quotes='"', sep="."),
     "csharp": Language([(rf"\b(?:class|interface|struct|enum|record)\s+{N}", "Type"), (rf"^\s+(?:(?:public|private|protected|internal|static|virtual|override|async|sealed)\s+)*[\w<>\[\], ?]+\s+{N}\s*\([^;{{]*\)\s*\{{?$", "Function")], [r"^\s*using\s+(?:static\s+)?([\w.]+)\s*;"], sep="."),
     "php": Language([(rf"\bfunction\s+&?{N}", "Function"), (rf"\b(?:class|interface|trait|enum)\s+{N}", "Type")], [r"^\s*use\s+([\w\\]+)", r"""\b(?:require|include)(?:_once)?\s*\(?\s*['"]([^'"]+)['"]"""], doc="/**"),
-    "zig": Language([(rf"\bfn\s+{N}", "Function"), (rf"\bconst\s+{N}\s*=\s*(?:packed\s+|extern\s+)?(?:struct|enum|union)\b", "Type")], [r"""@import\(\s*"([^"]+)"\s*\)"""], quotes="", sep="."),
+    "zig": Language([(rf"\bfn\s+{N}", "Function"), (rf"\bconst\s+{N}\s*=\s*(?:packed\s+|extern\s+)?(?:struct|enum|union)\b", "Type")], [r"""@import\(\s*"([^"]+)"\s*\)"""], quotes='"', sep="."),
     "lean": Language([(r"^\s*(?:private\s+|protected\s+|noncomputable\s+|partial\s+)*(?:def|theorem|lemma|abbrev|instance)\s+([\w.'!?]+)", "Function"), (r"^\s*(?:structure|inductive|class)\s+([\w.']+)", "Type")], [r"^\s*import\s+([\w.]+)"], line="--", block=("/-", "-/"), body="indent", doc="/--", sep=".", call=0.6, quotes='"'),
 }
 WORDS = frozenset("if for while switch match return catch fn func function def class new sizeof typeof await assert print not and or in is elif else with lambda yield raise super using foreach unless until when case guard defer do try".split())
