@@ -49,7 +49,7 @@ def local_path(uri: str) -> str:
 class WordHashes(dict):
     """Word -> 64-bit hash; emptied when it has grown large, so that long tasks keep to their memory."""
 
-    def __init__(self, fold: bool, most: int = 400_000):
+    def __init__(self, fold: bool, most: int = 200_000):
         self.fold, self.most = fold, most
 
     def __missing__(self, word: str) -> int:
@@ -91,8 +91,11 @@ def signed(x: np.ndarray) -> np.ndarray:
 
 
 def batches(it: Iterable[pa.RecordBatch], *cols: str) -> Iterator[tuple[list, ...]]:
+    """Columns as lists, few rows at a time, so that of a large batch no second copy is made."""
     for b in it:
-        yield tuple(b.column(b.schema.get_field_index(c)).to_pylist() for c in cols)
+        at = [b.schema.get_field_index(c) for c in cols]
+        for i in range(0, b.num_rows, 1024):
+            yield tuple(b.column(k).slice(i, 1024).to_pylist() for k in at)
 
 
 def arrow_schema(ddl: str) -> pa.Schema:

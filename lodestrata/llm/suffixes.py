@@ -38,6 +38,8 @@ MIN_WORDS = 50
 DEPTH = 64
 GRAM = 10
 SHARD = 1 << 20
+#: Positions turned into Python numbers at a time.
+CHUNK = 1 << 14
 FLANK = 64
 ROWS = "kind int,shard long,key long,doc_b long,b_start int,doc_a long,a_start int,n_words int"
 OUT = "doc_b long,b_start int,doc_a long,a_start int,n_words int"
@@ -47,15 +49,14 @@ def suffix_array(seq: np.ndarray, depth: int = DEPTH, at: int = 32) -> tuple[np.
     """(suffixes in order of their first `depth` words, each position's group at `at` words). The greatest values of seq, one
     at each text's end, must be unique, and the last one must be among them."""
     n = len(seq)
-    sa = np.argsort(seq, kind="stable")
+    sa = np.argsort(seq, kind="stable").astype(np.int32)
     v = seq[sa]
     new = np.ones(n, bool)
     new[1:] = v[1:] != v[:-1]
-    first = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    rank = np.empty(n, np.int64)
-    rank[sa] = first
-    open_ = ~(new & np.append(new[1:], True))
-    slots = np.flatnonzero(open_)
+    del v
+    rank = np.empty(n, np.int32)
+    rank[sa] = np.maximum.accumulate(np.where(new, np.arange(n, dtype=np.int32), np.int32(0)))
+    slots = np.flatnonzero(~(new & np.append(new[1:], True))).astype(np.int32)
     h, groups = 1, None
     while h < depth:
         if h == at:
@@ -63,12 +64,16 @@ def suffix_array(seq: np.ndarray, depth: int = DEPTH, at: int = 32) -> tuple[np.
         if not len(slots):
             break
         p = sa[slots]
-        key = rank[p] * n + rank[np.minimum(p + h, n - 1)]
+        key = rank[p].astype(np.int64)
+        key *= n
+        key += rank[np.minimum(p + h, n - 1)]
         order = np.argsort(key, kind="stable")
         p, key = p[order], key[order]
+        del order
         sa[slots] = p
         new = np.ones(len(p), bool)
         new[1:] = key[1:] != key[:-1]
+        del key
         rank[p] = slots[np.maximum.accumulate(np.where(new, np.arange(len(p)), 0))]
         slots = slots[~(new & np.append(new[1:], True))]
         h *= 2
@@ -87,16 +92,17 @@ def common_prefixes(seq: np.ndarray, sa: np.ndarray, groups: np.ndarray, at: int
     slots, p = slots[order], p[order]
     q = sa[slots - 1]
     have, before, beside = at, -2, -2
-    s = seq.tolist() if len(slots) * 8 > n else seq
-    res = []
-    for x, y in zip(p.tolist(), q.tolist()):
-        # suffixes that share `depth` words are in no order, so from them only the same pair, one on, is known to share as much
-        l = max(have - 1, at) if x == before + 1 and (have < depth or y == beside + 1) else at
-        while l < depth and s[x + l] == s[y + l]:
-            l += 1
-        res.append(l)
-        have, before, beside = l, x, y
-    out[slots] = res
+    s = memoryview(seq)
+    for i in range(0, len(p), CHUNK):
+        res = []
+        for x, y in zip(p[i : i + CHUNK].tolist(), q[i : i + CHUNK].tolist()):
+            # suffixes that share `depth` words are in no order, so from them only the same pair, one on, is known to share as much
+            l = max(have - 1, at) if x == before + 1 and (have < depth or y == beside + 1) else at
+            while l < depth and s[x + l] == s[y + l]:
+                l += 1
+            res.append(l)
+            have, before, beside = l, x, y
+        out[slots[i : i + CHUNK]] = res
     return out
 
 
@@ -108,28 +114,23 @@ def in_shard(seq: np.ndarray, doc: np.ndarray, start: np.ndarray, ids: np.ndarra
     slots = np.flatnonzero(shared >= min_words)
     if not len(slots):
         return tuple(np.zeros(0, np.int64) for _ in range(5))
-    owner = ids[doc]
-    pos, prev = sa[slots].tolist(), sa[slots - 1].tolist()
-    own, own_prev = owner[sa[slots]].tolist(), owner[sa[slots - 1]].tolist()
-    bs, as_, ls = [], [], []
-    last, other, least = -2, -1, 0
-    for slot, p, q, l, d, e in zip(slots.tolist(), pos, prev, shared[slots].tolist(), own, own_prev):
-        if d != e:
-            other, least = q, l
-        elif slot == last + 1 and other >= 0:
-            least = min(least, l)
-        else:
-            other = -1
-        last = slot
-        if other >= 0:
-            bs.append(p)
-            as_.append(other)
-            ls.append(least)
-    b, a, ln = (np.array(x, np.int64) for x in (bs, as_, ls))
+    # a slot whose neighbour before is of another document begins a stretch; those of the same document that follow it share
+    # with that neighbour the least that any of them shares
+    b, q = sa[slots].astype(np.int64), sa[slots - 1]
+    own = ids[doc[b]]
+    begins = own != ids[doc[q]]
+    joined = np.append(False, np.diff(slots) == 1)
+    stretch = np.cumsum(begins | ~joined)
+    first = np.flatnonzero(begins | ~joined)
+    known = begins[first][stretch - 1]
+    fall = 2 * (depth + 1)
+    ln = np.minimum.accumulate(shared[slots].astype(np.int64) - stretch * fall) + stretch * fall
+    a = q[first].astype(np.int64)[stretch - 1]
+    b, a, ln, own = b[known], a[known], ln[known], own[known]
     if not len(b):
         return tuple(np.zeros(0, np.int64) for _ in range(5))
     # the later id holds the copy
-    swap = owner[b] < owner[a]
+    swap = own < ids[doc[a]]
     b, a = np.where(swap, a, b), np.where(swap, b, a)
     order = np.lexsort((b, b - a))
     b, a, ln = b[order], a[order], ln[order]
@@ -169,30 +170,32 @@ def shards(docs: DataFrame, min_words: int, depth: int, size: int) -> DataFrame:
 
     def work(ids, hs, number):
         ids = np.array(ids, np.int64)
+        got = [samples(h, min_words) for h in hs]
+        at = np.concatenate([g[0] for g in got])
+        key = np.concatenate([g[1] for g in got])
+        who = np.repeat(ids, [len(g[0]) for g in got])
+        del got
+        order = np.argsort(key, kind="stable")
+        at, key, who = at[order], key[order], who[order]
         lens = np.array([len(h) for h in hs])
-        start = np.cumsum(lens + 1) - (lens + 1)
         n = int((lens + 1).sum())
-        flat = np.zeros(n, U64)
+        start = np.cumsum(lens + 1) - (lens + 1)
         end = start + lens
         body = np.ones(n, bool)
         body[end] = False
-        flat[body] = np.concatenate(hs)
-        _, seq = np.unique(flat[body], return_inverse=True)
-        full = np.empty(n, np.int64)
-        full[body] = seq
-        full[end] = n + np.arange(len(hs))  # a word of its own at each text's end
-        doc = np.repeat(np.arange(len(hs)), lens + 1)
+        flat = np.concatenate(hs)
+        hs.clear()
+        full = np.empty(n, np.int32)
+        full[body] = np.unique(flat, return_inverse=True)[1]
+        del flat, body
+        full[end] = n + np.arange(len(lens))  # a word of its own at each text's end
+        doc = np.repeat(np.arange(len(lens), dtype=np.int32), lens + 1)
         cols = in_shard(full, doc, start, ids, min_words, depth)
-        m = len(cols[0])
-        got = [samples(h, min_words) for h in hs]
-        at = np.concatenate([g[0] for g in got])
-        key = np.concatenate([g[1] for g in got])
-        who = np.repeat(ids, [len(g[0]) for g in got])
-        order = np.argsort(key, kind="stable")
-        k = len(at)
+        del full, doc
+        m, k = len(cols[0]), len(at)
         nul = np.zeros(k, np.int64)
-        data = [np.append(np.zeros(m, np.int32), np.ones(k, np.int32)), np.full(m + k, number), np.append(np.zeros(m, np.int64), signed(key[order]))]
-        data += [np.append(x, y) for x, y in zip(cols, (who[order], at[order], nul, nul, nul))]
+        data = [np.append(np.zeros(m, np.int32), np.ones(k, np.int32)), np.full(m + k, number), np.append(np.zeros(m, np.int64), signed(key))]
+        data += [np.append(x, y) for x, y in zip(cols, (who, at, nul, nul, nul))]
         for i in range(0, m + k, 50_000):
             yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 50_000]).cast(f.type) for x, f in zip(data, schema)], schema=schema)
 
