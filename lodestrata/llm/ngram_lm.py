@@ -14,8 +14,8 @@ another, both in Elias-Fano form, and log a and log g in 8 bits each by a quanti
 stand in the file). Workers map the files into memory and share the pages. Looking up w after c is a search for the
 successor of c's range start + w in the level's sequence, relative to the context found one level up.
 
-Scores. In each task, the distinct ORDER-grams of a batch are looked up once, and their log-probabilities are gathered over
-the texts.
+Scores. The distinct ORDER-grams of a batch are looked up once, each distinct context before them once, and their
+log-probabilities are gathered over the texts; what a worker has looked up it keeps for its next tasks.
 
 Defined results: a null text has a null score; an empty text is scored by its end alone; null ids are carried along; rows
 are scored each, repeated ones too, and counted each; whole texts count and are scored, however long; the model of an empty
@@ -40,9 +40,18 @@ from lodestrata.llm.common import U64, arrow_schema, batches, local_path, pick,
 ORDER = 5
 BOS, EOS = 255, 254
 BINS = 256
+#: Bytes of text made into grams at a time, and held for one look-up.
+SLICE, HELD = 1 << 20, 1 << 23
+#: Grams whose probabilities a worker keeps.
+MOST_KEPT = 1_500_000
 SCHEMA = "doc_id long,n_bytes long,log2_prob double,bits_per_byte double,perplexity double"
 
 
+#: Of each byte, how many bits are set, and where its n-th set bit is.
+_ONES = np.array([x.bit_count() for x in range(256)], np.uint8)
+_PLACE = np.array([([k for k in range(8) if x >> k & 1] + [0] * 8)[:8] for x in range(256)], np.int64)
+
+
 # ---- Elias-Fano -------------------------------------------------------------------------------------------------------
 
 
@@ -94,10 +103,13 @@ class EliasFano:
         block = np.searchsorted(before, i, side="right") - 1
         rest = i - before[block]
         rows = self.highs.reshape(-1, 64)[np.minimum(block, len(self.ones) - 2)]
-        bits = np.unpackbits(rows, axis=1, bitorder="little") if len(i) else np.zeros((0, 512), np.uint8)
         if not bit:
-            bits = 1 - bits
-        return block * 512 + (np.cumsum(bits, axis=1, dtype=np.int16) == (rest + 1)[:, None]).argmax(1)
+            rows = ~rows
+        upto = np.cumsum(_ONES[rows], axis=1, dtype=np.int16)  # by byte, then within the byte that holds it
+        byte = (upto > rest[:, None]).argmax(1)
+        nth = np.arange(len(i))
+        left = rest - np.where(byte > 0, upto[nth, byte - 1], 0)
+        return block * 512 + byte * 8 + _PLACE[rows[nth, byte], left]
 
     def get(self, i: np.ndarray) -> np.ndarray:
         out = np.empty(len(i), np.int64)
@@ -273,6 +285,7 @@ class Model:
         for b, t in self.tries.items():
             counts[b] = t.count
         n, kinds = counts.sum(), (counts > 0).sum()
+        self.keys, self.vals = np.full(1, (1 << 64) - 1, U64), np.zeros(1)
         self.unigram = (counts + kinds / 256) / (n + kinds) if n else np.full(256, 1 / 256)
 
     @classmethod
@@ -282,36 +295,64 @@ class Model:
             cls._one[folder] = cls(folder)
         return cls._one[folder]
 
+    def locate(self, t: SubTrie, keys: np.ndarray, k: int) -> np.ndarray:
+        """Nodes of distinct k-symbol contexts in t, or -1; each distinct beginning is looked up once."""
+        if k == 1:
+            return np.zeros(len(keys), np.int64)
+        up, inv = np.unique(keys >> U64(8), return_inverse=True)
+        above = self.locate(t, up, k - 1)
+        lo, hi = self.children(t, above, k - 1)
+        return t.levels[k - 1].keys.find(above[inv] * 256 + (keys & U64(255)).astype(np.int64), lo[inv], hi[inv])
+
+    @staticmethod
+    def children(t: SubTrie, node: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Range of each node's children, which is empty for -1."""
+        lo, hi = np.zeros(len(node), np.int64), np.zeros(len(node), np.int64)
+        there = np.flatnonzero(node >= 0)
+        if len(there):
+            pair = t.levels[k - 1].first.get(np.concatenate([node[there], node[there] + 1]))
+            lo[there], hi[there] = pair[: len(there)], pair[len(there) :]
+        return lo, hi
+
     def part(self, ctx: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(a, g) of symbol w after ctx, the k symbols before it as a number; (0, 1) where ctx is unknown."""
         a, g = np.zeros(len(w)), np.ones(len(w))
         head = (ctx >> U64(8 * (k - 1))).astype(np.int64)
         for b in np.unique(head):
             t = self.tries.get(int(b))
-            sel = np.flatnonzero(head == b)
             if t is None:
                 continue
-            node = np.zeros(len(sel), np.int64)
-            ok = sel
-            for d in range(1, k):
-                lv = t.levels[d - 1]
-                pair = lv.first.get(np.concatenate([node, node + 1]))
-                lo, hi = pair[: len(node)], pair[len(node) :]
-                s = ((ctx[ok] >> U64(8 * (k - 1 - d))) & U64(255)).astype(np.int64)
-                node = t.levels[d].keys.find(node * 256 + s, lo, hi)
-                ok, node = ok[node >= 0], node[node >= 0]
-            lv = t.levels[k - 1]
-            if not len(ok):
-                continue
-            book, code = lv.gamma
-            g[ok] = np.exp2(book[code[node]].astype(np.float64))
-            pair = lv.first.get(np.concatenate([node, node + 1]))
-            lo, hi = pair[: len(node)], pair[len(node) :]
-            at = t.levels[k].keys.find(node * 256 + w[ok].astype(np.int64), lo, hi)
+            sel = np.flatnonzero(head == b)
+            keys, inv = np.unique(ctx[sel], return_inverse=True)
+            node = self.locate(t, keys, k)
+            lo, hi = self.children(t, node, k)
+            known = np.flatnonzero(node[inv] >= 0)
+            sel, inv = sel[known], inv[known]
+            book, code = t.levels[k - 1].gamma
+            g[sel] = np.exp2(book[code[node[inv]]].astype(np.float64))
+            at = t.levels[k].keys.find(node[inv] * 256 + w[sel].astype(np.int64), lo[inv], hi[inv])
             book, code = t.levels[k].alpha
-            a[ok[at >= 0]] = np.exp2(book[code[at[at >= 0]]].astype(np.float64))
+            a[sel[at >= 0]] = np.exp2(book[code[at[at >= 0]]].astype(np.float64))
         return a, g
 
+    def known_logs(self, key: np.ndarray) -> np.ndarray:
+        """log2 of the probabilities of distinct grams (with how much of the context is there above them). What was asked before
+        is kept by the worker from task to task, MOST_KEPT at most."""
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        hit = self.keys[at] == key
+        val = self.vals[at]
+        new = np.sort(key[~hit])
+        if len(new):
+            logs = np.log2(self.prob(new & U64((1 << (8 * self.order)) - 1), (new >> U64(8 * self.order)).astype(np.int64)))
+            val[~hit] = logs[np.searchsorted(new, key[~hit])]
+            if len(self.keys) > MOST_KEPT:
+                self.keys, self.vals = new, logs
+            else:
+                both = np.concatenate([self.keys, new])
+                order = np.argsort(both, kind="stable")
+                self.keys, self.vals = both[order], np.concatenate([self.vals, logs])[order]
+        return val
+
     def prob(self, grams: np.ndarray, known: np.ndarray) -> np.ndarray:
         """P of each gram's last symbol after its `known` symbols before."""
         p = self.unigram[(grams & U64(255)).astype(np.int64)].copy()
@@ -364,54 +405,65 @@ def train(docs: DataFrame, order: int = ORDER) -> str:
 def score(docs: DataFrame, folder: str) -> DataFrame:
     schema = arrow_schema(SCHEMA)
 
+    def grams_of(some: list[bytes], order: int) -> tuple[pa.DictionaryArray, np.ndarray]:
+        """The texts' grams, by hashing (np.unique would sort), and how many each text has."""
+        lens = np.fromiter(map(len, some), np.int64, len(some)) + 1
+        # BOS stands in front as often as the context is long; the number above the gram is what of the context is there
+        flat = np.frombuffer(b"".join(b"\0" * (order - 2) + b"\xff" + t + b"\xfe" for t in some), np.uint8)
+        acc = np.zeros(len(flat) - order + 1, U64)
+        for k in range(order):
+            acc <<= U64(8)
+            acc |= flat[k : len(flat) - order + 1 + k]
+        first = np.cumsum(lens) - lens
+        nth = np.arange(int(lens.sum())) - np.repeat(first, lens)
+        # acc[j] ends at place j + order - 1; a text's symbols begin order - 1 places after it does
+        grams = acc[nth + np.repeat(np.cumsum(lens + order - 1) - (lens + order - 1), lens)]
+        grams |= np.minimum(nth + 1, order - 1).astype(U64) << U64(8 * order)
+        return pa.array(grams).dictionary_encode(), lens
+
     def run(it):
         m = Model.get(folder)
-        order = m.order
-        cache_key, cache_val = np.zeros(0, U64), np.zeros(0)
-        for ids, texts in batches(it, "doc_id", "text"):
-            for i in range(0, len(ids), 1024):
-                some = [t.encode("utf-8", "surrogatepass") for t in texts[i : i + 1024] if t is not None]
+        held, size = [], 0
+
+        def flush():
+            """Scores what is held: all its distinct grams are looked up together."""
+            keys = [c.dictionary.to_numpy() for _, _, c, _ in held if c is not None]
+            key = np.unique(np.concatenate(keys)) if keys else np.zeros(0, U64)
+            val = m.known_logs(key)
+            for ids, some, coded, lens in held:
                 lp = []
-                if some:
-                    lens = np.fromiter(map(len, some), np.int64, len(some))
-                    # BOS stands in front as often as the context is long; `known` is what of it is there
-                    flat = np.frombuffer(b"".join(b"\0" * (order - 2) + b"\xff" + t + b"\xfe" for t in some), np.uint8).astype(U64)
-                    acc = np.zeros(len(flat) - order + 1, U64)
-                    for k in range(order):
-                        acc = (acc << U64(8)) | flat[k : len(flat) - order + 1 + k]
-                    per = lens + order
-                    end = np.cumsum(per)
-                    begin = end - per
-                    # acc[j] ends at place j + order - 1; a text's symbols are at begin + order - 1 and on
-                    idx = np.arange(int((lens + 1).sum())) + np.repeat(begin - (np.cumsum(lens + 1) - (lens + 1)), lens + 1)
-                    nth = np.arange(len(idx)) - np.repeat(np.cumsum(lens + 1) - (lens + 1), lens + 1)
-                    grams = acc[idx] | (np.minimum(nth + 1, order - 1).astype(U64) << U64(8 * order))
-                    key, inv = np.unique(grams, return_inverse=True)
-                    at = np.minimum(np.searchsorted(cache_key, key), max(len(cache_key) - 1, 0))
-                    hit = cache_key[at] == key if len(cache_key) else np.zeros(len(key), bool)
-                    val = np.empty(len(key))
-                    val[hit] = cache_val[at[hit]]
-                    new = key[~hit]
-                    val[~hit] = np.log2(m.prob(new & U64((1 << (8 * order)) - 1), (new >> U64(8 * order)).astype(np.int64)))
-                    if len(new):
-                        if len(cache_key) > 1_500_000:
-                            cache_key, cache_val = key, val
-                        else:
-                            cache_key, cache_val = np.concatenate([cache_key, new]), np.concatenate([cache_val, val[~hit]])
-                            o = np.argsort(cache_key, kind="stable")
-                            cache_key, cache_val = cache_key[o], cache_val[o]
-                    lp = np.add.reduceat(val[inv], np.cumsum(lens + 1) - (lens + 1)).tolist()
+                if coded is not None:
+                    own = val[np.searchsorted(key, coded.dictionary.to_numpy())]
+                    lp = np.add.reduceat(own[coded.indices.to_numpy()], np.cumsum(lens) - lens).tolist()
                 rows, j = {c: [] for c in schema.names}, 0
-                for d, t in zip(ids[i : i + 1024], texts[i : i + 1024]):
-                    if t is None:
+                for d, n in zip(ids, some):
+                    if n is None:
                         v = (d, None, None, None, None)
                     else:
-                        n, x = len(some[j]), lp[j]
+                        x = lp[j]
                         v = (d, n, x, -x / (n + 1), 2.0 ** (-x / (n + 1)))
                         j += 1
                     for c, y in zip(rows.values(), v):
                         c.append(y)
                 yield pa.RecordBatch.from_pydict(rows, schema=schema)
+            held.clear()
+
+        for ids, texts in batches(it, "doc_id", "text"):
+            i = 0
+            while i < len(ids):
+                part, n, at = [], 0, i
+                while i < len(ids) and n < SLICE:
+                    part.append(None if texts[i] is None else texts[i].encode("utf-8", "surrogatepass"))
+                    n += len(part[-1] or b"")
+                    i += 1
+                some = [t for t in part if t is not None]
+                coded, lens = grams_of(some, m.order) if some else (None, None)
+                held.append((ids[at:i], [None if t is None else len(t) for t in part], coded, lens))
+                size += n
+                if size >= HELD:
+                    yield from flush()
+                    size = 0
+        yield from flush()
 
     return pick(docs, "doc_id", "text").mapInArrow(run, SCHEMA)
 
