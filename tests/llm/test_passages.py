@@ -149,6 +149,24 @@ def test_fuzzy_passages_find_planted_ones(spark):
     assert all(left[d] == rows[d][1] for d in range(40) if d % 4)
 
 
+@pytest.mark.parametrize("gap", [40, 100, 150])
+def test_two_passages_of_the_same_documents_with_other_words_between(spark, gap):
+    rng = random.Random(gap)
+    word = lambda: f"v{rng.randrange(100_000)}"
+    rows, want = [], {}
+    for d in range(0, 40, 2):
+        one, two = [word() for _ in range(60)], [word() for _ in range(60)]
+        for k in (d, d + 1):
+            rows.append((k, " ".join([word() for _ in range(30)] + one + [word() for _ in range(gap)] + two + [word() for _ in range(30)])))
+        want[d + 1] = {*range(30, 90), *range(90 + gap, 150 + gap)}
+    have = {}
+    for r in fuzzy_passages(spark.createDataFrame(rows, DDL)).collect():
+        have.setdefault(r.doc_id, set()).update(range(r.start_word, r.end_word))
+        assert r.identity >= 0.8 and r.end_word - r.start_word >= 50
+    assert sum(len(ws & have.get(d, set())) for d, ws in want.items()) >= 0.95 * sum(map(len, want.values()))
+    assert sum(len(ws - want.get(d, set())) for d, ws in have.items()) <= 0.05 * sum(map(len, want.values()))
+
+
 def test_fuzzy_passages_hold_the_exact_ones(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     have = {}
