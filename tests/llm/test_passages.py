@@ -167,6 +167,23 @@ def test_two_passages_of_the_same_documents_with_other_words_between(spark, gap)
     assert sum(len(ws - want.get(d, set())) for d, ws in have.items()) <= 0.05 * sum(map(len, want.values()))
 
 
+@pytest.mark.parametrize("n,identity", [(55, 0.8), (55, 0.9), (70, 0.85), (90, 0.8), (100, 0.95)])
+def test_recall_of_passages_with_substituted_words(spark, n, identity):
+    rng = random.Random(n * 100 + int(identity * 100))
+    word = lambda: f"v{rng.randrange(1_000_000)}"
+    rows, want = [], set()
+    for d in range(0, 300, 2):
+        p = [word() for _ in range(n)]
+        q = [x if rng.random() < identity else word() for x in p]
+        same = [x == y for x, y in zip(p, q)]
+        # brute force: any stretch of 50 words or more that is alike enough
+        if any(sum(same[i:j]) >= 0.8 * (j - i) for i in range(n) for j in range(i + 50, n + 1)):
+            want.add(d + 1)
+        rows += [(k, " ".join([word() for _ in range(80)] + x + [word() for _ in range(80)])) for k, x in ((d, p), (d + 1, q))]
+    got = {r.doc_id for r in fuzzy_passages(spark.createDataFrame(rows, DDL)).collect()}
+    assert got <= {d + 1 for d in range(0, 300, 2)} and len(got & want) >= 0.9 * len(want)
+
+
 def test_fuzzy_passages_hold_the_exact_ones(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     have = {}
