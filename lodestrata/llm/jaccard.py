@@ -4,11 +4,14 @@ Each text becomes the set of its word n-grams (folded; a text of fewer words is
 the wanted recall at the threshold (common.bands_for). What is shuffled on the way to candidates are band hashes with an id;
 what verifies them are the full sets of hashed n-grams, sent once for each centre that a text is compared with.
 
-Exact handling of large groups, instead of a cap. Texts with the same set form one class: they are linked to its least id
-without comparison, and only that one goes on. In a band's bucket of up to ALL_PAIRS classes all pairs are candidates. In a
-larger one each class is a candidate with the bucket's least id and with its predecessor, which keeps a bucket of n classes
-to 2n candidates: members of a group are linked to it, but not each to each. So the result lists every pair of small
-groups and a connected skeleton of large ones; components() of it are the groups.
+Every pair is compared, however large a group: no cap. Texts with the same set form one class, which is compared once and
+put in place of its members at the end, each with each. In a band's bucket all pairs of classes are candidates; large buckets
+are cut into blocks, and a pair of blocks is a row's work. For the comparison, classes that fall into buckets together are
+numbered in blocks too, and a set is sent once to each pair of blocks in which it has a candidate, not once a pair. What is
+listed grows with the square of a group, as the result does.
+
+near_pairs(every=False) lists a skeleton only: in large buckets each class with the bucket's first and its predecessor, and
+members of a class with its least id. Neither the query nor the pipeline uses it.
 
 Defined results: a null, empty or wordless text has no set and no partner; a null id is left out; rows that repeat an id
 count as one document, whose likeness to another is that of its most alike row; pairs come once, the lesser id first;
@@ -19,19 +22,21 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestrata.llm.common import U64, WordHashes, arrow_schema, bands_for, batches, fresh, kgrams, pick, read_table, ship, signed, stored
+from lodestrata.llm.passages import SENT
 
 N = 3
 THRESHOLD = 0.6
 RECALL = 0.95
 MOST_HASHES = 128
 ALL_PAIRS = 9
-#: Members compared with one centre in one task's group; a centre's set is sent once to each.
-CHUNK = 512
+#: Classes in a block.
+BLOCK = 128
 _P = (U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F))
 
 
@@ -39,6 +44,12 @@ def gram_set(text: str | None, n: int, words: WordHashes) -> np.ndarray:
     return np.unique(kgrams(words.of(text.split()), n)) if text else np.zeros(0, U64)
 
 
+def set_hash(s: np.ndarray) -> int:
+    """A set's 64-bit hash, signed."""
+    h = xxhash.xxh3_64_intdigest(s.tobytes())
+    return h - (1 << 64) if h >> 63 else h
+
+
 def signatures(sets: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
     """Band hashes, one row a set; none of the sets is empty."""
     flat = np.concatenate(sets)
@@ -61,8 +72,6 @@ def sign(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
     schema = arrow_schema(ddl)
 
     def run(it):
-        import xxhash
-
         words = WordHashes(fold=True)
         for ids, texts in batches(it, "doc_id", "text"):
             for i in range(0, len(ids), 256):
@@ -70,33 +79,58 @@ def sign(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                 if got:
                     sig = signed(signatures([s for _, s in got], bands, rows).reshape(-1))
                     lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(sig) + 1, bands), pa.int32()), pa.array(sig))
-                    hashes = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for _, s in got], U64)
-                    yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in got], pa.int64()), pa.array(signed(hashes)), lists], schema=schema)
+                    hashes = np.array([set_hash(s) for _, s in got], np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in got], pa.int64()), pa.array(hashes), lists], schema=schema)
 
     return pick(docs, "doc_id", "text").mapInArrow(run, ddl)
 
 
-def candidates(classes: DataFrame) -> DataFrame:
-    """(doc_a, doc_b) with doc_a < doc_b, from (doc_id, bands): each once."""
+def buckets(classes: DataFrame) -> DataFrame:
+    """(h, size, me) for the classes in buckets of two or more, from (rep, node, bands). me is rep, node and home, the block of
+    classes that a class is numbered in: those that meet the same first class are numbered together."""
     key = W.partitionBy("h")
-    order = key.orderBy("doc_id")
-    b = classes.select("doc_id", F.explode("bands").alias("h")).withColumn("size", F.count(F.lit(1)).over(key)).filter("size > 1")
-    b = b.withColumn("first", F.first("doc_id").over(order))
+    b = classes.select("rep", "node", F.explode("bands").alias("h")).withColumn("size", F.count(F.lit(1)).over(key)).filter("size > 1")
+    b = stored(b.withColumn("first", F.first("node").over(key.orderBy("rep", "node"))), "buckets")
+    home = b.groupBy("rep", "node").agg(F.min("first").alias("loc"))
+    home = home.withColumn("blk", F.floor((F.row_number().over(W.partitionBy("loc").orderBy("rep", "node")) - 1) / BLOCK))
+    home = home.withColumn("home", F.min("node").over(W.partitionBy("loc", "blk"))).select("node", "home")
+    return b.hint("shuffle_hash").join(home, "node").select("h", "size", F.struct("rep", "node", "home").alias("me"))
+
+
+def all_pairs(groups: DataFrame) -> DataFrame:
+    """(a, b) with a < b for each two of (h, size, me) with the same h; blocks of members meet, so no group is one task's work."""
+    nth = F.row_number().over(W.partitionBy("h").orderBy("me")) - 1
+    block = groups.withColumn("blk", F.floor(nth / BLOCK).cast("int")).withColumn("last", F.floor((F.col("size") - 1) / BLOCK).cast("int"))
+    block = block.groupBy("h", "blk", "last").agg(F.collect_list("me").alias("all"))
+    block = block.select("h", "blk", "all", F.explode(F.sequence(F.lit(0), "last")).alias("x")).withColumn("i", F.least("blk", "x")).withColumn("j", F.greatest("blk", "x"))
+    met = block.groupBy("h", "i", "j").agg(*[F.first(F.when(F.col("blk") == F.col(c), F.col("all")), ignorenulls=True).alias(f"all_{c}") for c in ("i", "j")])
+    return met.select(F.explode("all_i").alias("a"), "all_j").select("a", F.explode("all_j").alias("b")).filter("a < b")
+
+
+def candidates(classes: DataFrame, every: bool) -> DataFrame:
+    """(a, b) with a < b, from (rep, node, bands): each once."""
+    found = stored(buckets(classes), "members")
+    order = W.partitionBy("h").orderBy("me")
+    small = found if not every else found.filter(F.col("size") <= ALL_PAIRS)
+    small = small.withColumn("first", F.first("me").over(order))
     for j in range(1, ALL_PAIRS):
-        b = b.withColumn(f"p{j}", F.lag("doc_id", j).over(order))
-    small = F.array(*[f"p{j}" for j in range(1, ALL_PAIRS)])
-    to = F.when(F.col("size") <= ALL_PAIRS, small).otherwise(F.array("first", "p1"))
-    return b.select(F.explode(F.array_distinct(to)).alias("doc_a"), F.col("doc_id").alias("doc_b")).filter("doc_a < doc_b").distinct()
+        small = small.withColumn(f"p{j}", F.lag("me", j).over(order))
+    to = F.array(*[f"p{j}" for j in range(1, ALL_PAIRS)])
+    if not every:
+        to = F.when(F.col("size") <= ALL_PAIRS, to).otherwise(F.array("first", "p1"))
+    pairs = small.select(F.explode(F.array_distinct(to)).alias("a"), F.col("me").alias("b")).filter("a < b")
+    if every:
+        pairs = pairs.unionByName(all_pairs(found.filter(F.col("size") > ALL_PAIRS)))
+    return pairs.distinct()
 
 
 def verified(docs: DataFrame, pairs: DataFrame, n: int, threshold: float) -> DataFrame:
-    """The pairs whose sets are alike enough, with their likeness."""
-    ranked = pairs.withColumn("chunk", ((F.row_number().over(W.partitionBy("doc_a").orderBy("doc_b")) - 1) / CHUNK).cast("int"))
-    asks = ranked.select(F.col("doc_b").alias("id_"), F.struct(F.col("doc_a").alias("a"), "chunk").alias("to"))
-    asks = asks.unionByName(ranked.filter(F.col("doc_b").isNotNull()).select(F.col("doc_a").alias("id_"), F.struct(F.col("doc_a").alias("a"), "chunk").alias("to")).distinct())
-    asks = asks.groupBy("id_").agg(F.collect_list("to").alias("to"))
+    """(node_a, node_b, jaccard) of the pairs whose sets are alike enough."""
+    where = [F.col("a.home").alias("home_a"), F.col("b.home").alias("home_b")]
+    asks = pairs.select(*where, F.explode(F.array("a", "b")).alias("x")).select("home_a", "home_b", F.col("x.rep").alias("id_"), F.col("x.node").alias("node")).distinct()
+    asks = asks.groupBy("id_").agg(F.collect_list(F.struct("home_a", "home_b", "node")).alias("to"))
     texts = pick(docs, "doc_id", "text").withColumnRenamed("doc_id", "id_")
-    sent_ddl = "a long,chunk int,doc_id long,grams binary"
+    sent_ddl = "home_a long,home_b long,node_a long,node_b long,grams binary"
     sent_schema = arrow_schema(sent_ddl)
 
     def send(it):
@@ -104,57 +138,91 @@ def verified(docs: DataFrame, pairs: DataFrame, n: int, threshold: float) -> Dat
         for b in it:
             for i in range(0, b.num_rows, 64):
                 part = b.slice(i, 64)
-                out = ([], [], [], [])
-                for d, t, to in zip(*[part.column(part.schema.get_field_index(c)).to_pylist() for c in ("id_", "text", "to")]):
-                    s = np.unique((gram_set(t, n, words) >> U64(32)).astype(np.uint32)).tobytes()
-                    if s:
-                        for x in to:
-                            for c, v in zip(out, (x["a"], x["chunk"], d, s)):
+                out, size = ([], [], [], [], []), 0
+                for t, to in zip(*[part.column(part.schema.get_field_index(c)).to_pylist() for c in ("text", "to")]):
+                    full = gram_set(t, n, words)
+                    if not len(full):
+                        continue
+                    own = set_hash(full)
+                    s = np.unique((full >> U64(32)).astype(np.uint32)).tobytes()
+                    for x in to:
+                        if x["node"] == own:  # else another row of the id has it
+                            for c, v in zip(out, (x["home_a"], x["home_b"], own, None, s)):
                                 c.append(v)
+                            size += len(s)
+                            if size > SENT:
+                                yield pa.RecordBatch.from_pydict(dict(zip(sent_schema.names, out)), schema=sent_schema)
+                                out, size = ([], [], [], [], []), 0
                 if out[0]:
                     yield pa.RecordBatch.from_pydict(dict(zip(sent_schema.names, out)), schema=sent_schema)
 
     # shuffled at every size: what is asked for grows with the texts, so a broadcast would work for small tables only
     sent = asks.hint("shuffle_hash").join(texts, "id_").select("id_", "text", "to").mapInArrow(send, sent_ddl)
-    out_ddl = "doc_a long,doc_b long,jaccard double"
+    sent = sent.unionByName(pairs.select(*where, F.col("a.node").alias("node_a"), F.col("b.node").alias("node_b"), F.lit(None).cast("binary").alias("grams")))
+    out_ddl = "node_a long,node_b long,jaccard double"
     out_schema = arrow_schema(out_ddl)
 
     def compare(it):
-        now, centres = None, []
-        for a, chunk, ids, grams in batches(it, "a", "chunk", "doc_id", "grams"):
+        now, sets = None, {}
+        for cols in batches(it, "home_a", "home_b", "node_a", "node_b", "grams"):
             out = ([], [], [])
-            for x, ch, d, g in zip(a, chunk, ids, grams):
-                if (x, ch) != now:
-                    now, centres = (x, ch), []
-                s = np.frombuffer(g, np.uint32)
-                if d == x:
-                    centres.append(s)
+            for ha, hb, x, y, g in zip(*cols):
+                if (ha, hb) != now:
+                    now, sets = (ha, hb), {}
+                if y is None:
+                    sets[x] = np.frombuffer(g, np.uint32)
                     continue
-                best = 0.0
-                for c in centres:
-                    if min(len(c), len(s)) >= threshold * max(len(c), len(s)):
-                        at = np.searchsorted(c, s)
-                        both = int((c[np.minimum(at, len(c) - 1)] == s).sum())
-                        best = max(best, both / (len(c) + len(s) - both))
-                if best >= threshold:
-                    for col, v in zip(out, (x, d, best)):
-                        col.append(v)
+                c, s = sets[x], sets[y]
+                if min(len(c), len(s)) >= threshold * max(len(c), len(s)):
+                    at = np.searchsorted(c, s)
+                    both = int((c[np.minimum(at, len(c) - 1)] == s).sum())
+                    like = both / (len(c) + len(s) - both)
+                    if like >= threshold:
+                        for col, v in zip(out, (x, y, like)):
+                            col.append(v)
             yield pa.RecordBatch.from_pydict(dict(zip(out_schema.names, out)), schema=out_schema)
 
-    # the centre has the least id of its group, so it comes first
-    return sent.repartition("a", "chunk").sortWithinPartitions("a", "chunk", "doc_id").mapInArrow(compare, out_ddl)
+    # node_b is null in the rows of sets, which so come first
+    return sent.repartition("home_a", "home_b").sortWithinPartitions("home_a", "home_b", F.asc_nulls_first("node_b")).mapInArrow(compare, out_ddl)
 
 
-def near_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """doc_a, doc_b, jaccard: links between documents at or above the threshold (see the module's text)."""
+def near_classes(docs: DataFrame, n: int, threshold: float, recall: float, every: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(node, rep, doc_id, size) of the classes of equal sets, and (node_a, node_b, jaccard) of classes that are alike."""
     bands, rows = bands_for(threshold, recall, MOST_HASHES)
     w = W.partitionBy("set_hash").orderBy("doc_id")
-    signed_ = sign(docs, n, bands, rows).withColumn("rep", F.first("doc_id").over(w)).withColumn("nth", F.row_number().over(w))
-    signed_ = stored(signed_.select("doc_id", "rep", "nth", F.when(F.col("nth") == 1, F.col("bands")).alias("bands")), "signatures")
-    same = signed_.filter("doc_id != rep").select(F.col("rep").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard"))
-    pairs = stored(candidates(signed_.filter("nth = 1").select("doc_id", "bands")), "candidates")
-    near = verified(docs, pairs, n, threshold)
-    return same.unionByName(near).groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
+    s = sign(docs, n, bands, rows).withColumn("rep", F.first("doc_id").over(w)).withColumn("nth", F.row_number().over(w)).withColumn("size", F.count(F.lit(1)).over(W.partitionBy("set_hash")))
+    s = stored(s.select(F.col("set_hash").alias("node"), "rep", "doc_id", "size", F.when(F.col("nth") == 1, F.col("bands")).alias("bands")), "signatures")
+    pairs = stored(candidates(s.filter("bands IS NOT NULL").select("rep", "node", "bands"), every), "candidates")
+    return s.drop("bands"), verified(docs, pairs, n, threshold)
+
+
+def links(classes: DataFrame, near: DataFrame) -> DataFrame:
+    """(doc_a, doc_b, jaccard): members of a class with its least id, and the least ids of classes that are alike."""
+    reps = classes.select("node", "rep").distinct()
+    same = classes.filter("doc_id != rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"), F.lit(1.0).alias("jaccard"))
+    for c in ("a", "b"):
+        near = near.hint("shuffle_hash").join(reps.select(F.col("node").alias(f"node_{c}"), F.col("rep").alias(c)), f"node_{c}")
+    return once(same.unionByName(near.select("a", "b", "jaccard")))
+
+
+def once(pairs: DataFrame) -> DataFrame:
+    got = pairs.filter("a != b").select(F.least("a", "b").alias("doc_a"), F.greatest("a", "b").alias("doc_b"), "jaccard")
+    return got.groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
+
+
+def near_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, every: bool = False) -> DataFrame:
+    """doc_a, doc_b, jaccard: pairs of documents at or above the threshold, every one or a skeleton (see the module's text)."""
+    classes, near = near_classes(docs, n, threshold, recall, every)
+    if not every:
+        return links(classes, near)
+    near = stored(near, "near")
+    many = classes.filter("size > 1").select("node", "doc_id", "size")
+    same = all_pairs(many.select(F.col("node").alias("h"), "size", F.col("doc_id").alias("me"))).withColumn("jaccard", F.lit(1.0))
+    # each class by its members; most have one only
+    ids = classes.select("node", "doc_id")
+    for c in ("a", "b"):
+        near = near.hint("shuffle_hash").join(ids.select(F.col("node").alias(f"node_{c}"), F.col("doc_id").alias(c)), f"node_{c}")
+    return once(same.unionByName(near.select("a", "b", "jaccard")))
 
 
 def components(edges: DataFrame, a: str = "doc_a", b: str = "doc_b") -> DataFrame:
@@ -176,14 +244,14 @@ def components(edges: DataFrame, a: str = "doc_a", b: str = "doc_b") -> DataFram
         mark = got
 
 
-def one_of_each(docs: DataFrame, **how) -> DataFrame:
+def one_of_each(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """docs without those that have a near copy of a lesser id: one document of each group stays. Rows without an id or
     without words stay; rows that repeat an id stay or go together."""
     gone = fresh(docs, "gone")
-    out = stored(components(near_pairs(docs, **how)).filter("doc_id != root").select(F.col("doc_id").alias(gone)), "gone")
+    out = stored(components(links(*near_classes(docs, n, threshold, recall))).filter("doc_id != root").select(F.col("doc_id").alias(gone)), "gone")
     return docs.join(out.hint("shuffle_hash"), F.col("doc_id") == F.col(gone), "left_anti")
 
 
 def op7_near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
-    return near_pairs(read_table(spark, sf_dir, "documents"))
+    return near_pairs(read_table(spark, sf_dir, "documents"), every=True)

@@ -1,6 +1,7 @@
 """Operator 7 against all pairs' exact likeness."""
 
 import itertools
+import random
 
 import pytest
 
@@ -58,6 +59,25 @@ def test_large_group_is_joined_without_a_cap(spark):
     assert [r.doc_id for r in one_of_each(df).collect()] == [0]
 
 
+def test_every_pair_of_large_groups(spark):
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join(base[: i % 190] + [f"x{i}"] + base[i % 190 + 1 :])) for i in range(300)] + [(1000 + i, " ".join(base)) for i in range(50)]
+    # common boilerplate in unlike texts, of which some have near copies
+    plate = [f"b{i}" for i in range(60)]
+    for d in range(2000, 2200, 2):
+        own = [f"o{rng.randrange(10**6)}" for _ in range(50)]
+        rows += [(d, " ".join(plate + own)), (d + 1, " ".join(plate + own[:-3]))]
+    # an id with two rows, of which each has near copies
+    rows += [(5000, " ".join(base)), (5000, " ".join(plate)), (5001, " ".join(plate))]
+    want = exact(rows)
+    got = {(r.doc_a, r.doc_b): r.jaccard for r in near_pairs(spark.createDataFrame(rows, DDL), every=True).collect()}
+    assert set(got) <= set(want) and all(abs(got[k] - want[k]) < 1e-6 for k in got)
+    assert len(got) >= 0.95 * len(want) and len(want) > 350 * 349 // 2
+    plates = {k for k in want if k[0] >= 2000}
+    assert sum(k in got for k in plates) >= 0.9 * len(plates)
+
+
 def test_defined_results(spark):
     t = " ".join(f"w{i}" for i in range(40))
     rows = [(None, t, 1), (1, None, 2), (2, "", 3), (3, "  \n ", 4), (4, t, 5), (4, t, 6), (5, t.upper() + ".", 7), (6, t, None), (7, "one", 8), (8, "one", 9), (9, " ".join(f"z{i}" for i in range(200_000)), 10)]
