@@ -6,17 +6,18 @@ Texts are sequences of words (as written). Each task builds suffix arrays over s
    in a group with others are sorted by the group of the suffix h words on. Refinement stops at DEPTH words, as a longer
    common prefix is seen from the suffixes after it. Every text ends in a word of its own, so no match runs across texts.
 2. Kasai's common prefixes, up to DEPTH, in text order, over the positions that share 32 words with their neighbour; in
-   suffix order each position then has the nearest predecessor of another document, with what it shares with it. Those of
-   MIN_WORDS and more, joined along diagonals, are the shard's repeats.
+   suffix order each position then has the nearest predecessor of another document, with what it shares with it, and, among
+   all that share MIN_WORDS with it, the place of the least id. Those of MIN_WORDS and more, joined along diagonals, are the
+   shard's repeats.
 3. Across shards: winnowing samples positions such that MIN_WORDS common words hold a sampled position with KEY common words
    behind it. Each shard's samples are a run sorted by the hash of these KEY words. A task takes all runs of a part of the
    hashes, one shard after the other, and looks each up by binary search in the merged runs before it (kept as arrays of
-   doubling sizes, so that merging stays n log n). A find is linked with the first and with the latest place of its hash in
-   other shards: linear in the finds, without a cap.
+   doubling sizes, so that merging stays n log n). A find is linked with the place of the least id and with the latest one of its hash
+   in other shards: linear in the finds, without a cap.
 4. Linked places' surroundings are brought together once and compared word by word, which gives the exact ends.
 
 Result: pairs of places, doc_b's words [b_start, b_start + n_words) being those of doc_a from a_start. Each copy of a
-passage is in a pair with an earlier one, not with all.
+passage, but that of the least id, is doc_b in a pair; not each copy is in a pair with each other.
 
 Defined results: null ids and null, blank or short texts take no part; an id on several rows counts as one document; passages
 repeated only within one document are not told, and of a key that an earlier holder has many times one place; columns beside doc_id and text are not looked at; an empty table has none.
@@ -106,6 +107,31 @@ def common_prefixes(seq: np.ndarray, sa: np.ndarray, groups: np.ndarray, at: int
     return out
 
 
+def to_least(sa: np.ndarray, slots: np.ndarray, shared: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(positions, position of the least id, words shared) for what shares its slot's words (shared, by slot, for the slots that
+    share enough with the slot before) with a position of a lesser id. who tells each position's id."""
+    first = np.flatnonzero(np.append(True, np.diff(slots) != 1))
+    run = np.cumsum(np.append(True, np.diff(slots) != 1)) - 1
+    # a run's positions are its slots' and that of the slot before the first one
+    lead, rest = first + np.arange(len(first)), np.arange(len(slots)) + run + 1
+    n = len(slots) + len(first)
+    pos, group, with_last = np.empty(n, np.int64), np.empty(n, np.int64), np.empty(n, np.int64)
+    pos[lead], pos[rest] = sa[slots[first] - 1], sa[slots]
+    group[lead], group[rest] = np.arange(len(first)), run
+    most = int(shared.max()) + 1
+    with_last[lead], with_last[rest] = most, shared
+    ids = who[pos]
+    least = np.minimum.reduceat(ids, lead)[group]
+    hit = np.flatnonzero(ids == least)
+    at = hit[np.unique(group[hit], return_index=True)[1]][group]
+    here, fall = np.arange(n), 2 * most
+    after = np.minimum.accumulate(np.where(here > at, with_last, most) - group * fall) + group * fall
+    back = (len(first) - 1 - group)[::-1] * fall
+    before = (np.minimum.accumulate(np.where(here < at, np.append(with_last[1:], most), most)[::-1] - back) + back)[::-1]
+    keep = ids != least
+    return pos[keep], pos[at[keep]], np.minimum(after, before)[keep]
+
+
 def in_shard(seq: np.ndarray, doc: np.ndarray, start: np.ndarray, ids: np.ndarray, min_words: int, depth: int) -> tuple[np.ndarray, ...]:
     """Repeats within a shard, as columns of OUT. doc numbers each position's text, start is where a text begins."""
     at = 1 << (min(32, min_words).bit_length() - 1)
@@ -132,6 +158,8 @@ def in_shard(seq: np.ndarray, doc: np.ndarray, start: np.ndarray, ids: np.ndarra
     # the later id holds the copy
     swap = own < ids[doc[a]]
     b, a = np.where(swap, a, b), np.where(swap, b, a)
+    # neighbours alone would leave out, as doc_b, a copy between two of greater ids
+    b, a, ln = (np.append(x, y) for x, y in zip((b, a, ln), to_least(sa, slots, shared[slots].astype(np.int64), ids[doc])))
     order = np.lexsort((b, b - a))
     b, a, ln = b[order], a[order], ln[order]
     reach = np.maximum.accumulate(np.where(True, b + ln, 0) + (np.cumsum(np.append(True, np.diff(b - a) != 0)) << 40)) & ((1 << 40) - 1)
@@ -219,7 +247,7 @@ def shards(docs: DataFrame, min_words: int, depth: int, size: int) -> DataFrame:
 
 
 class Merged:
-    """Merged runs: sorted distinct keys with the first and the latest place of each, in arrays of doubling sizes."""
+    """Merged runs: sorted distinct keys with the least id's and the latest place of each, in arrays of doubling sizes."""
 
     def __init__(self):
         self.runs: list[list[np.ndarray]] = []
@@ -248,6 +276,8 @@ def across(samples_: DataFrame) -> DataFrame:
     schema = arrow_schema(ddl)
 
     def merge(merged: Merged, key, doc, pos):
+        order = np.lexsort((doc, key))
+        key, doc, pos = key[order], doc[order], pos[order]
         run, at = merged.find(key)
         out = []
         for r in np.unique(run[run >= 0]):
@@ -258,6 +288,8 @@ def across(samples_: DataFrame) -> DataFrame:
             other = (ld[i] != fd[i]) | (lp[i] != fp[i])
             out.append((doc[sel][other], pos[sel][other], ld[i][other], lp[i][other]))
             ld[i], lp[i] = doc[sel], pos[sel]
+            less = np.flatnonzero(doc[sel] < fd[i])[::-1]  # of a key's places the least id's is written last
+            fd[i[less]], fp[i[less]] = doc[sel][less], pos[sel][less]
         fresh = np.flatnonzero(run < 0)
         if len(fresh):
             k, first = np.unique(key[fresh], return_index=True)

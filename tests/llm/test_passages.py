@@ -61,6 +61,28 @@ def test_exact_repeats_against_brute_force(spark, shard):
     assert need and all(ws <= have.get(d, set()) for d, ws in need.items())
 
 
+@pytest.mark.parametrize("shard", [1 << 20, 1500])
+def test_every_copy_but_the_least_id_is_a_doc_b(spark, shard):
+    rng = random.Random(6)
+    word = lambda: f"v{rng.randrange(3000)}"
+    rows, want = [], {}
+    for g in range(10):
+        p = [word() for _ in range(rng.choice([50, 55, 63, 90]))]
+        for k in range(12):
+            left = [word() for _ in range(rng.randrange(20))]
+            rows.append((g + 10 * k, " ".join(left + p + [word() for _ in range(20)])))
+            if k:
+                want[g + 10 * k] = set(range(len(left), len(left) + len(p)))
+    rng.shuffle(rows)
+    text = dict(rows)
+    have = {}
+    for r in repeats(spark.createDataFrame(rows, DDL).coalesce(1), shard=shard).collect():
+        b, a = text[r.doc_b].split(), text[r.doc_a].split()
+        assert r.doc_a < r.doc_b and r.n_words >= 50 and b[r.b_start : r.b_start + r.n_words] == a[r.a_start : r.a_start + r.n_words]
+        have.setdefault(r.doc_b, set()).update(range(r.b_start, r.b_start + r.n_words))
+    assert all(ws <= have.get(d, set()) for d, ws in want.items())
+
+
 def test_exact_repeats_of_the_tables(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
