@@ -20,6 +20,10 @@ def word_hashes(text: str, words: WordHashes) -> np.ndarray:
     return (words.of(text.split()) >> U64(32)).astype(np.uint32)
 
 
+#: Asks for one document in one row.
+CHUNK = 512
+
+
 def together(docs: DataFrame, links: DataFrame, fold: bool, compare, out_ddl: str) -> DataFrame:
     """For each link, both slices' 32-bit word hashes are sent to one place, where compare(link row as a dict, b words,
     a words) gives result rows. The texts are shuffled once, by id; what is sent on are the slices only. A link's row also
@@ -29,8 +33,11 @@ def together(docs: DataFrame, links: DataFrame, fold: bool, compare, out_ddl: st
     side_b = one.select(F.col("doc_b").alias("id_"), F.struct("link", F.lit(1).alias("side"), F.col("b_from").alias("lo"), F.col("b_to").alias("hi"), *rest).alias("ask"))
     nothing = [F.lit(None).cast(one.schema[c].dataType).alias(c) for c in rest]  # side b's rows tell it
     side_a = one.select(F.col("doc_a").alias("id_"), F.struct("link", F.lit(0).alias("side"), F.col("a_from").alias("lo"), F.col("a_to").alias("hi"), *nothing).alias("ask"))
-    # one row a document, so that a text isn't repeated for each of its slices
-    asks = side_b.unionByName(side_a).groupBy("id_").agg(F.collect_list("ask").alias("asks"))
+    # rows of up to CHUNK asks on the whole, so that a text isn't repeated for each of its slices; a document that many others
+    # resemble has many rows
+    many = one.groupBy(F.col("doc_a").alias("id_")).agg(F.count(F.lit(1)).alias("many")).filter(F.col("many") > CHUNK)
+    side_a = side_a.join(many.hint("shuffle_hash"), "id_", "left").select("id_", "ask", F.coalesce(F.pmod(F.col("ask.link"), F.ceil(F.col("many") / CHUNK)), F.lit(0)).alias("row"))
+    asks = side_b.withColumn("row", F.lit(0).cast("long")).unionByName(side_a).groupBy("id_", "row").agg(F.collect_list("ask").alias("asks"))
     texts = pick(docs, "doc_id", "text").withColumnRenamed("doc_id", "id_").filter("id_ IS NOT NULL AND text IS NOT NULL")
     sent_ddl = "link long,side int,n int," + LINK + ",words binary"
     schema = arrow_schema(sent_ddl)
