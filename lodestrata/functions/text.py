@@ -21,14 +21,16 @@ def leaf_name(x: Column) -> Column:
 
 
 def name_style(x: Column) -> Column:
-    """snake_case, SCREAMING_SNAKE, PascalCase, camelCase, lowercase, mixed or unknown, tried in this order."""
+    """snake_case, SCREAMING_SNAKE_CASE, PascalCase, camelCase, lowercase, mixed or unknown, tried in this order. With an
+    underscore the case of all letters tells it, without one the first letter does."""
+    under = F.contains(x, F.lit("_"))
     return (
         F.when(x.isNull() | (x == ""), "unknown")
-        .when(x.rlike(r"^[\p{Ll}\p{N}]*_[\p{Ll}\p{N}_]*$"), "snake_case")
-        .when(x.rlike(r"^[\p{Lu}\p{N}_]+$") & x.rlike(r"\p{Lu}") & (F.length(x) > 1), "SCREAMING_SNAKE")
-        .when(x.rlike(r"^\p{Lu}[\p{L}\p{N}]*$"), "PascalCase")
-        .when(x.rlike(r"^\p{Ll}[\p{L}\p{N}]*\p{Lu}[\p{L}\p{N}]*$"), "camelCase")
-        .when(x.rlike(r"^[\p{Ll}\p{N}]+$"), "lowercase")
+        .when(under & (x == F.lower(x)), "snake_case")
+        .when(under & (x == F.upper(x)), "SCREAMING_SNAKE_CASE")
+        .when(~under & x.rlike(r"^\p{Lu}"), "PascalCase")
+        .when(~under & x.rlike(r"^\p{Ll}") & x.rlike(r"\p{Lu}"), "camelCase")
+        .when(~under & (x == F.lower(x)), "lowercase")
         .otherwise("mixed")
     )
 
@@ -58,21 +60,36 @@ def language(path: Column) -> Column:
     return F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv])[e]
 
 
+#: Ends of source files' names.
+SOURCE_ENDS = r"\.(cs|go|java|js|jsx|kt|kts|lean|php|py|rb|rs|swift|ts|tsx|zig)$"
+
+
 def is_test_file(path: Column) -> Column:
-    """By the usual marks of each language."""
-    name = F.regexp_extract(path, r"([^/]*)$", 1)
-    return path.rlike(r"(^|/)(tests?|__tests__|spec)/") | name.rlike(r"^test_.*\.py$|_test\.(py|go|rs|rb|zig)$|\.(test|spec)\.(ts|tsx|js|jsx)$|Tests?\.(java|kt|cs|swift|php)$|_spec\.rb$")
+    """By the customs of names and folders, for salience: one of three predicates of tests."""
+    name = F.lower(F.regexp_extract(path, r"([^/]*)$", 1))
+    return name.rlike(r"^test_|_test\.(rs|py|go)$|\.(test|spec)\.(ts|js|tsx)$|tests?\.java$") | path.rlike(r"(^|/)(tests|test|__tests__)/")
+
+
+def has_test_mark(path: Column) -> Column:
+    """By marks anywhere in a path, for the testing pattern (so contest_x.py counts)."""
+    return path.rlike(r"/tests?/|_test\.|test_|\.test\.|\.spec\.|_spec\.")
+
+
+def mentions_test(path: Column) -> Column:
+    """By the words alone, for the risk map."""
+    return F.lower(path).rlike("test|spec")
 
 
 def source_of_test(path: Column) -> Column:
-    """The file that a test is for, by its name; null where the name doesn't say."""
-    return (
-        F.when(path.rlike(r"(^|/)test_[^/]*\.py$"), F.regexp_replace(path, r"test_([^/]*\.py)$", "$1"))
-        .when(path.rlike(r"_test\.(py|go|rs|rb|zig)$"), F.regexp_replace(path, r"_test(\.[a-z]+)$", "$1"))
-        .when(path.rlike(r"\.(test|spec)\.(ts|tsx|js|jsx)$"), F.regexp_replace(path, r"\.(?:test|spec)(\.[a-z]+)$", "$1"))
-        .when(path.rlike(r"Tests?\.(kt|cs|swift|php)$"), F.regexp_replace(path, r"Tests?(\.[a-z]+)$", "$1"))
-        .when(path.rlike(r"_spec\.rb$"), F.regexp_replace(path, r"_spec(\.rb)$", "$1"))
+    """The file that a test is for, by its name, in the same folder; null where the name doesn't say."""
+    name, folder = F.regexp_extract(path, r"([^/]*)$", 1), directory(path)
+    base = (
+        F.when(name.endswith("_test.rs"), F.regexp_replace(name, r"_test(\.rs)$", "$1"))
+        .when(name.startswith("test_"), F.substring(name, 6, 1 << 30))
+        .when(name.rlike(r"_test\.(py|go)$"), F.regexp_replace(name, r"_test(\.[a-z]+)$", "$1"))
+        .when(name.rlike(r"\.(test|spec)\.(ts|js|tsx)$"), F.regexp_replace(name, r"\.(?:test|spec)(\.[a-z]+)$", "$1"))
     )
+    return F.when(folder == "", base).otherwise(F.concat(folder, F.lit("/"), base))
 
 
 def normal_path(path: Column) -> Column:

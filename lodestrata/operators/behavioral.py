@@ -140,21 +140,21 @@ def group_cooccurrence(changes: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def doc_coverage(files: DataFrame, references: DataFrame) -> DataFrame:
-    """Files (file, language) that a document refers to (references: document, file). has_doc_comments says whether the
-    file has a language, the only sign of it that is kept."""
+    """Files (file, language): "documented" if a document refers to them (references: document, file). has_doc_comments says
+    whether the file has a language, the only sign of it that is kept, and doesn't count for the status."""
     hit = references.select("file").distinct().withColumn("__hit", F.lit(True))
     j = files.join(hit, "file", "left")
     ext, com = F.coalesce("__hit", F.lit(False)), F.col("language").isNotNull()
-    status = F.when(ext & com, "full").when(ext | com, "partial").otherwise("none")
-    return j.select("file", status.alias("status"), ext.alias("has_external_docs"), com.alias("has_doc_comments"))
+    return j.select("file", F.when(ext, "documented").otherwise("undocumented").alias("status"), ext.alias("has_external_docs"), com.alias("has_doc_comments"))
 
 
 def doc_freshness(changes: DataFrame, references: DataFrame, salience: DataFrame) -> DataFrame:
-    """Changes of a documented file since its last reference (references: file, ts); stale from 3 on; risk is
-    min(1, 0.3 n + 0.7 salience) to 3 places."""
+    """Changes of a documented file since its last reference (references: file, ts); stale from 3 on; the risk of a stale one
+    is min(1, 0.3 n + 0.7 salience) to 3 places, else 0. Files that never changed have no row."""
     last = references.groupBy("file").agg(F.max("ts").alias("doc_ts"))
-    j = last.join(changes.select("file", F.col("ts").alias("change_ts")), "file", "left")
+    j = last.join(changes.select("file", F.col("ts").alias("change_ts")), "file")
     n = j.groupBy("file").agg(F.count_if(F.col("change_ts") > F.col("doc_ts")).alias("commits_since_doc_update"))
     s = n.join(salience.select("file", "score"), "file", "left")
     risk = F.round(F.least(F.lit(1.0), 0.3 * F.col("commits_since_doc_update") + 0.7 * F.coalesce("score", F.lit(0.0))), 3)
-    return s.select("file", (F.col("commits_since_doc_update") >= 3).alias("is_stale"), "commits_since_doc_update", risk.alias("staleness_risk"))
+    stale = F.col("commits_since_doc_update") >= 3
+    return s.select("file", stale.alias("is_stale"), "commits_since_doc_update", F.when(stale, risk).otherwise(0.0).alias("staleness_risk"))

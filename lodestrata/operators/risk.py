@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestrata.functions.text import directory, is_test_file
+from lodestrata.functions.text import directory, is_test_file, mentions_test
 
 #: Reason, its part of the score, and what is advised for it.
 REASONS = {
@@ -19,6 +19,8 @@ REASONS = {
     "agent_confusion_zone": (0.15, ["Look at past corrections of agents here"]),
     "underprompted": (0.10, ["Review by hand: agents have hardly worked here"]),
 }
+#: Letters by which stems and paths of tests meet.
+GRAM = 4
 KIND_ORDER = ("File", "Function", "Type", "Module", "Document")
 
 
@@ -26,9 +28,19 @@ def stem(path: Column) -> Column:
     return F.regexp_replace(F.regexp_extract(path, r"([^/]*)$", 1), r"\.[^.]*$", "")
 
 
-def tested(files: DataFrame) -> DataFrame:
-    """(file, has_test): whether a test file's name holds the file's stem. By the parts of test names, an equi-join, and not
-    by a nested loop over all pairs: the stem has to stand between separators, as the languages' customs have it."""
+def tested(files: DataFrame, rule: str = "reference") -> DataFrame:
+    """(file, has_test). By the rule "reference": whether the file's stem, its name up to the first dot, stands anywhere in
+    the path of a file that mentions tests (N41; an empty stem stands in each). Not by a nested loop: the first letters of a stem
+    meet the runs of up to GRAM letters of the tests' paths, and a semi-join looks no further than the first path that holds the
+    stem. By the rule "customs": whether a test is named for the file, as the languages' customs have it."""
+    if rule == "reference":
+        f = files.select("file", F.element_at(F.split(F.regexp_extract("file", r"([^/]*)$", 1), r"\."), 1).alias("stem"))
+        s = f.select("stem").distinct().withColumn("head", F.substring("stem", 1, GRAM))
+        t = files.filter(mentions_test(F.col("file"))).select(F.col("file").alias("test"))
+        grams = F.flatten(F.transform(F.sequence(F.lit(1), F.length("test")), lambda i: F.transform(F.sequence(F.lit(1), F.lit(GRAM)), lambda n: F.substring(F.col("test"), i, n))))
+        t = t.select("test", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), grams))).alias("head"))
+        hit = s.join(t.hint("shuffle_hash"), (s["head"] == t["head"]) & F.contains(F.col("test"), F.col("stem")), "left_semi").select("stem", F.lit(True).alias("has_test"))
+        return f.join(hit, "stem", "left").select("file", F.coalesce("has_test", F.lit(False)).alias("has_test"))
     f = files.select("file", stem(F.col("file")).alias("stem"))
     t = files.filter(is_test_file(F.col("file"))).select(F.explode(test_stems(F.col("file"))).alias("stem")).distinct().withColumn("has_test", F.lit(True))
     return f.join(t, "stem", "left").select("file", F.coalesce("has_test", F.lit(False)).alias("has_test"))

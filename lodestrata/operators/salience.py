@@ -14,8 +14,9 @@ def bus_risk(bus_factor: Column) -> Column:
 
 
 def salience_class(pagerank: Column, frequency: Column, bus: Column) -> Column:
+    """A central node of one owner (bus risk 0.99 and more) is a silo however often it changes."""
     high, hot = pagerank > 0.5, frequency > 0.5
-    return F.when(high & (bus > 0.5) & hot, "CriticalSilo").when(high & hot, "HotCritical").when(high, "FoundationalStable").when(hot, "ActiveLocalized").otherwise("Background")
+    return F.when(high & (bus >= 0.99), "CriticalSilo").when(high & hot, "HotCritical").when(high, "FoundationalStable").when(hot, "ActiveLocalized").otherwise("Background")
 
 
 def salience(features: DataFrame) -> DataFrame:
@@ -38,14 +39,17 @@ def declining(cls: Column, trend: Column) -> Column:
     return F.when((trend == "Falling") & ~cls.isin("ActiveCritical", "Volatile"), "Declining").otherwise(cls)
 
 
-def gate_score(salience_: Column, bus_factor: Column, change_percentile: Column) -> Column:
-    """N24, the gate's: mean of salience, bus risk and frequency, each from 0 to 1."""
-    z = lambda c: F.coalesce(c.cast("double"), F.lit(0.0))
-    return F.round(0.4 * z(salience_) + 0.3 * bus_risk(bus_factor) + 0.3 * z(change_percentile) / 100, 6)
+def gate_score(salience_: Column, bus_factor: Column, changes: Column) -> Column:
+    """N24, the gate's: 0.4 of the salience, 0.3 for one contributor or 0.15 for two, and 0.3, 0.2, 0.1 for over 20, 10, 5 changes;
+    1 at most, to 6 places. What isn't known adds nothing."""
+    bus = F.when(bus_factor <= 1, 0.3).when(bus_factor <= 2, 0.15).otherwise(0.0)
+    often = F.when(changes > 20, 0.3).when(changes > 10, 0.2).when(changes > 5, 0.1).otherwise(0.0)
+    return F.round(F.least(F.lit(1.0), F.coalesce(salience_.cast("double"), F.lit(0.0)) * 0.4 + bus + often), 6)
 
 
-def risk_level(salience_: Column, bus_factor: Column, change_percentile: Column) -> Column:
-    """N24, the tool's: how many of salience over 0.7, one contributor and the busiest fifth hold."""
-    z = lambda c: F.coalesce(c.cast("double"), F.lit(0.0))
-    n = (z(salience_) > 0.7).cast("int") + F.coalesce((bus_factor <= 1).cast("int"), F.lit(0)) + (z(change_percentile) > 80).cast("int")
-    return F.when(n >= 3, "critical").when(n == 2, "high").when(n == 1, "medium").otherwise("low")
+def risk_level(salience_: Column, bus_factor: Column, changes: Column) -> Column:
+    """N24, the tool's: points for salience (3, 2, 1 over 0.7, 0.4, 0.2), one contributor (2) and changes (2, 1 over 20, 10): from
+    2 on medium, 4 high, 6 critical."""
+    n = F.when(salience_ > 0.7, 3).when(salience_ > 0.4, 2).when(salience_ > 0.2, 1).otherwise(0)
+    n = n + F.when(bus_factor <= 1, 2).otherwise(0) + F.when(changes > 20, 2).when(changes > 10, 1).otherwise(0)
+    return F.when(n >= 6, "critical").when(n >= 4, "high").when(n >= 2, "medium").otherwise("low")

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-MARKERS = ("no, ", "wrong", "that's not", "incorrect", "undo", "revert", "instead", "actually", "don't", "not what i")
+#: What says that the answer before was not what was wanted: in words, and by commands that take work back.
+MARKERS = (*"actually|didn't work|doesn't work|go back|instead|no,|not right|not what i|revert|roll back|start over|that broke|that's not|try again|undo|wrong".split("|"),
+           *"/undo|git checkout|git reset|git restore|git revert|git stash".split("|"))
 
 
 def has_marker(text: Column, markers: tuple[str, ...] = MARKERS) -> Column:
@@ -18,19 +20,22 @@ def has_marker(text: Column, markers: tuple[str, ...] = MARKERS) -> Column:
 
 def corrections(turns: DataFrame, markers: tuple[str, ...] = MARKERS) -> DataFrame:
     """SRC21, W5: turns (session, pos, role, text, modified: names or null): each assistant turn, and whether the user turn right
-    after it has a marker or names a file just modified."""
+    after it has a marker or names a file just modified, as it was named there."""
     w = W.partitionBy("session").orderBy("pos")
     t = turns.withColumn("next_role", F.lead("role").over(w)).withColumn("next_text", F.lead("text").over(w)).filter("role = 'assistant'")
-    named = F.coalesce(F.exists("modified", lambda f: F.contains(F.col("next_text"), F.element_at(F.split(f, "/"), -1))), F.lit(False))
+    named = F.coalesce(F.exists("modified", lambda f: F.contains(F.col("next_text"), f)), F.lit(False))
     hit = (F.col("next_role") == "user") & (has_marker(F.col("next_text"), markers) | named)
     return t.select("session", "pos", F.coalesce(hit, F.lit(False)).alias("had_correction"))
 
 
 def reverts(interactions: DataFrame, reach: int = 3) -> DataFrame:
-    """SRC22: interactions (session, i, modified): those of which a later one within reach modifies a same file."""
-    f = interactions.select("session", "i", F.explode("modified").alias("file"))
-    later = F.lead("i").over(W.partitionBy("session", "file").orderBy("i"))
-    hit = f.withColumn("next", later).filter(F.col("next") - F.col("i") <= reach).select("session", "i").distinct().withColumn("reverted", F.lit(True))
+    """SRC22: interactions (session, i, modified): those of which a later one in reach modifies a same file. Interactions that modify
+    nothing are passed over; of the others those up to the first at a distance of `reach` or more are in reach (N17)."""
+    w = W.partitionBy("session")
+    f = interactions.filter(F.size("modified") > 0).withColumn("before", F.lag("i").over(w.orderBy("i")))
+    f = f.select("session", "i", "before", F.explode(F.array_distinct("modified")).alias("file"))
+    next_ = F.lead("before").over(W.partitionBy("session", "file").orderBy("i"))
+    hit = f.withColumn("next", next_).filter(F.col("next") - F.col("i") < reach).select("session", "i").distinct().withColumn("reverted", F.lit(True))
     return interactions.join(hit, ["session", "i"], "left").select("session", "i", F.coalesce("reverted", F.lit(False)).alias("reverted"))
 
 
@@ -67,9 +72,10 @@ def prompt_hotspots(refs: DataFrame) -> DataFrame:
 
 
 def correction_hotspots(uses: DataFrame) -> DataFrame:
-    """Uses (file, corrections, interactions or null for 1) by file; confusion zone: over a fifth corrected, two at least."""
-    g = uses.groupBy("file").agg(F.sum("corrections").alias("correction_count"), F.sum(F.coalesce("interactions", F.lit(1))).alias("interaction_count"))
-    rate = F.col("correction_count") / F.col("interaction_count")
+    """Uses (file, corrections, interactions or null) by file, files with corrections only; a file of which no interactions
+    are told has one. Confusion zone: over a fifth corrected, two at least."""
+    g = uses.groupBy("file").agg(F.sum("corrections").alias("correction_count"), F.coalesce(F.sum("interactions"), F.lit(1)).alias("interaction_count")).filter("correction_count > 0")
+    rate = F.coalesce(F.try_divide("correction_count", "interaction_count"), F.lit(0.0))
     return g.select("file", "correction_count", "interaction_count", F.round(rate, 6).alias("correction_rate"), ((rate > 0.2) & (F.col("correction_count") >= 2)).alias("is_confusion_zone"))
 
 

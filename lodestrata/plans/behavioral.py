@@ -90,21 +90,24 @@ def a9(spark, d):
     return B.group_cooccurrence(baskets(spark, d), g).join(g, "members").select("grp", "co_occurrences")
 
 
-@register("a11_doc_coverage", with_(MODIFIES) + """, r AS (SELECT DISTINCT l_suppkey AS file FROM lineitem WHERE l_returnflag = 'R' AND l_linestatus = 'F' AND l_quantity >= 49)
-SELECT s_suppkey AS file, CASE WHEN r.file IS NOT NULL AND s_acctbal > 0 THEN 'full' WHEN r.file IS NOT NULL OR s_acctbal > 0 THEN 'partial' ELSE 'none' END AS status, r.file IS NOT NULL AS has_external_docs, s_acctbal > 0 AS has_doc_comments FROM supplier LEFT JOIN r ON r.file = s_suppkey""")
+@register("a11_doc_coverage", """WITH r AS (SELECT DISTINCT p_partkey % 1000 + 1 AS file FROM part WHERE p_size % 2 = 0)
+SELECT s_suppkey AS file, CASE WHEN s_suppkey IN (SELECT file FROM r) THEN 'documented' ELSE 'undocumented' END AS status, s_suppkey IN (SELECT file FROM r) AS has_external_docs, s_acctbal > 0 AS has_doc_comments FROM supplier""")
 def a11(spark, d):
+    """Parts of an even size are documents on a supplier."""
     files = table(spark, d, "supplier").select(F.col("s_suppkey").alias("file"), F.when(F.col("s_acctbal") > 0, "rust").alias("language"))
-    refs = table(spark, d, "lineitem").filter("l_returnflag = 'R' AND l_linestatus = 'F' AND l_quantity >= 49").select(F.col("l_orderkey").alias("document"), F.col("l_suppkey").alias("file"))
+    refs = table(spark, d, "part").select(F.col("p_partkey").alias("document"), F.when(F.col("p_size") % 2 == 0, F.col("p_partkey") % 1000 + 1).alias("file"))
     return B.doc_coverage(files, refs)
 
 
-@register("a12_doc_freshness", with_(MODIFIES) + """, r AS (SELECT l_suppkey AS file, max(o_orderdate) AS doc_ts FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity >= 50 GROUP BY 1),
-n AS (SELECT r.file, count_if(m.ts > doc_ts) AS n FROM r LEFT JOIN m ON m.file = r.file GROUP BY r.file)
-SELECT n.file, n.n >= 3 AS is_stale, n.n AS commits_since_doc_update, round(least(1.0::DOUBLE, 0.3::DOUBLE * n.n + 0.7::DOUBLE * (s_suppkey % 10 / 10)), 3) AS staleness_risk FROM n JOIN supplier ON s_suppkey = n.file""")
+@register("a12_doc_freshness", with_(MODIFIES) + """, r AS (SELECT l_suppkey AS file, max(CASE WHEN l_quantity >= 50 - l_suppkey % 2 * 30 THEN o_orderdate END) AS doc_ts FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1 UNION ALL SELECT -1, TIMESTAMP '2000-01-01'),
+n AS (SELECT m.file, count_if(m.ts > doc_ts) AS n FROM m JOIN r ON m.file = r.file WHERE doc_ts IS NOT NULL GROUP BY m.file)
+SELECT n.file, n.n >= 3 AS is_stale, n.n AS commits_since_doc_update, CASE WHEN n.n >= 3 THEN round(least(1.0::DOUBLE, 0.3::DOUBLE * n.n + 0.7::DOUBLE * coalesce(s_suppkey % 10 / 10, 0)), 3) ELSE 0 END AS staleness_risk FROM n LEFT JOIN supplier ON s_suppkey = n.file AND s_suppkey % 3 > 0""")
 def a12(spark, d):
+    """A file that never changed (-1) is documented too; a third of the files has no salience."""
     m = modifies(spark, d)
-    refs = m.filter("added >= 50").select("file", "ts")
-    sal = table(spark, d, "supplier").select(F.col("s_suppkey").alias("file"), ((F.col("s_suppkey") % 10) / 10).alias("score"))
+    refs = m.filter(F.col("added") >= 50 - F.col("file") % 2 * 30).select("file", "ts")
+    refs = refs.unionByName(spark.range(1).select(F.lit(-1).cast("long").alias("file"), F.lit("2000-01-01").cast(refs.schema["ts"].dataType).alias("ts")))
+    sal = table(spark, d, "supplier").filter("s_suppkey % 3 > 0").select(F.col("s_suppkey").alias("file"), ((F.col("s_suppkey") % 10) / 10).alias("score"))
     return B.doc_freshness(m, refs, sal)
 
 

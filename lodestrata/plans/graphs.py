@@ -148,7 +148,7 @@ def features(spark, d):
 
 
 SALIENCE = with_(FEATURES) + """SELECT node, round(0.30::DOUBLE * pagerank + 0.15::DOUBLE * betweenness + 0.15::DOUBLE * authority + 0.15::DOUBLE * cf + 0.10::DOUBLE * br + 0.05::DOUBLE * sz + 0.10::DOUBLE * tp, 6) AS score,
-CASE WHEN pagerank > 0.5 AND br > 0.5 AND cf > 0.5 THEN 'CriticalSilo' WHEN pagerank > 0.5 AND cf > 0.5 THEN 'HotCritical' WHEN pagerank > 0.5 THEN 'FoundationalStable' WHEN cf > 0.5 THEN 'ActiveLocalized' ELSE 'Background' END AS classification FROM g"""
+CASE WHEN pagerank > 0.5 AND br >= 0.99 THEN 'CriticalSilo' WHEN pagerank > 0.5 AND cf > 0.5 THEN 'HotCritical' WHEN pagerank > 0.5 THEN 'FoundationalStable' WHEN cf > 0.5 THEN 'ActiveLocalized' ELSE 'Background' END AS classification FROM g"""
 
 
 @register("gr6_salience", SALIENCE)
@@ -163,7 +163,8 @@ def gr11(spark, d):
     return f.select("node", "classification", S.declining(F.col("classification"), trend).alias("with_trend"))
 
 
-@register("n24_risk_scores", with_(FEATURES) + """SELECT f.node, round(0.4::DOUBLE * coalesce(f.pagerank, 0) + 0.3::DOUBLE * br + 0.3::DOUBLE * coalesce(cp, 0) / 100, 6) AS gate_score, CASE (coalesce(f.pagerank, 0) > 0.7)::INT + coalesce((bf <= 1)::INT, 0) + (coalesce(cp, 0) > 80)::INT WHEN 3 THEN 'critical' WHEN 2 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS risk_level FROM f JOIN g USING (node)""")
+@register("n24_risk_scores", with_(FEATURES) + """SELECT node, round(least(1.0::DOUBLE, 0.4::DOUBLE * coalesce(pagerank, 0) + CASE WHEN bf <= 1 THEN 0.3::DOUBLE WHEN bf <= 2 THEN 0.15 ELSE 0 END + CASE WHEN cp > 20 THEN 0.3::DOUBLE WHEN cp > 10 THEN 0.2 WHEN cp > 5 THEN 0.1 ELSE 0 END), 6) AS gate_score,
+CASE WHEN pts <= 1 THEN 'low' WHEN pts <= 3 THEN 'medium' WHEN pts <= 5 THEN 'high' ELSE 'critical' END AS risk_level FROM (SELECT *, CASE WHEN pagerank > 0.7 THEN 3 WHEN pagerank > 0.4 THEN 2 WHEN pagerank > 0.2 THEN 1 ELSE 0 END + CASE WHEN bf <= 1 THEN 2 ELSE 0 END + CASE WHEN cp > 20 THEN 2 WHEN cp > 10 THEN 1 ELSE 0 END AS pts FROM f)""")
 def n24(spark, d):
     a = (F.col("pagerank"), F.col("bus_factor"), F.col("change_percentile"))
     return features(spark, d).select("node", S.gate_score(*a).alias("gate_score"), S.risk_level(*a).alias("risk_level"))

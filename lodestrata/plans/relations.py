@@ -83,7 +83,7 @@ def j1(spark, d):
     return ST.pairs_view(e.select("edge", F.lit("Calls").alias("kind"), "m.role", "m.node"), "call_graph")
 
 
-@register("j3_commit_files_view", with_(MEMBERS) + "SELECT a.edge, a.node AS commit, b.node AS file FROM mb a JOIN mb b ON a.edge = b.edge AND a.role = 'commit' AND b.role = 'file' WHERE a.kind = 'Modifies'")
+@register("j3_commit_files_view", "SELECT DISTINCT l_orderkey AS edge, 3000000 + l_orderkey AS commit, l_suppkey AS file FROM lineitem")
 def j3(spark, d):
     return ST.pairs_view(members(spark, d), "commit_files")
 
@@ -149,7 +149,7 @@ def tree(spark, d):
     return p.select(F.concat(F.lit("src/"), "p_brand", F.lit("/m"), F.col("p_size").cast("string"), F.when(F.col("p_partkey") % 3 == 0, "_test.go").otherwise(".go")).alias("file")).distinct()
 
 
-@register("j18_tested_files", f"WITH t AS ({TREE}), s AS (SELECT file, replace(string_split(file, '/')[-1], '.go', '') AS stem FROM t), k AS (SELECT DISTINCT unnest([stem, replace(stem, '_test', '')]) AS stem FROM s WHERE stem LIKE '%\\_test' ESCAPE '\\') SELECT file, k.stem IS NOT NULL AS has_test FROM s LEFT JOIN k USING (stem)")
+@register("j18_tested_files", f"WITH t AS ({TREE}) SELECT file, EXISTS (SELECT 1 FROM t q WHERE (contains(lower(q.file), 'test') OR contains(lower(q.file), 'spec')) AND contains(q.file, string_split(string_split(t.file, '/')[-1], '.')[1])) AS has_test FROM t")
 def j18(spark, d):
     return R.tested(tree(spark, d))
 
@@ -281,7 +281,7 @@ def r3(spark, d):
 def r7(spark, d):
     from lodestrata.operators import sessions
 
-    u = table(spark, d, "events").select((F.col("event_id") % 40).alias("file"), (F.col("event_type") == "click").cast("int").alias("corrections"), F.lit(None).cast("int").alias("interactions"))
+    u = table(spark, d, "events").select((F.col("event_id") % 40).alias("file"), (F.col("event_type") == "click").cast("int").alias("corrections"), F.lit(1).alias("interactions"))
     return sessions.correction_hotspots(u).filter("is_confusion_zone").select("file", F.col("correction_rate").alias("rate")).orderBy(F.desc("rate"), "file").limit(10)
 
 

@@ -11,24 +11,33 @@ from lodestrata.operators import search, sessions
 from lodestrata.plans.registry import register
 from lodestrata.plans.views import MODIFIES, modifies, table, with_
 
-MARK = " OR ".join(f"contains(lower(nt), '{m.replace(chr(39), chr(39) * 2)}')" for m in sessions.MARKERS)
-STYLE = r"""CASE WHEN x IS NULL OR x = '' THEN 'unknown' WHEN regexp_full_match(x, '[\p{Ll}\p{N}]*_[\p{Ll}\p{N}_]*') THEN 'snake_case' WHEN regexp_full_match(x, '[\p{Lu}\p{N}_]+') AND regexp_matches(x, '\p{Lu}') AND length(x) > 1 THEN 'SCREAMING_SNAKE' WHEN regexp_full_match(x, '\p{Lu}[\p{L}\p{N}]*') THEN 'PascalCase' WHEN regexp_full_match(x, '\p{Ll}[\p{L}\p{N}]*\p{Lu}[\p{L}\p{N}]*') THEN 'camelCase' WHEN regexp_full_match(x, '[\p{Ll}\p{N}]+') THEN 'lowercase' ELSE 'mixed' END"""
-NAMES = "SELECT unnest([p_name, replace(p_name, ' ', '_'), upper(replace(p_name, ' ', '_')), p_brand, p_type, 'mod::' || lower(replace(replace(p_brand, '#', ''), ' ', '')), 'A::b' || p_brand]) AS name FROM part"
+MARKS = ["actually", "didn't work", "doesn't work", "go back", "instead", "no,", "not right", "not what i", "revert", "roll back", "start over", "that broke", "that's not", "try again", "undo", "wrong", "/undo", "git checkout", "git reset", "git restore", "git revert", "git stash"]
+MARK = " OR ".join(f"contains(lower(nt), '{m.replace(chr(39), chr(39) * 2)}')" for m in MARKS)
+STYLE = r"""CASE WHEN x IS NULL OR x = '' THEN 'unknown' WHEN contains(x, '_') AND x = lower(x) THEN 'snake_case' WHEN contains(x, '_') AND x = upper(x) THEN 'SCREAMING_SNAKE_CASE' WHEN contains(x, '_') THEN 'mixed' WHEN regexp_matches(x, '^\p{Lu}') THEN 'PascalCase' WHEN regexp_matches(x, '^\p{Ll}') AND regexp_matches(x, '\p{Lu}') THEN 'camelCase' WHEN x = lower(x) THEN 'lowercase' ELSE 'mixed' END"""
+NAMES = "SELECT unnest([p_name, replace(p_name, ' ', '_'), upper(replace(p_name, ' ', '_')), p_brand, p_type, 'mod::' || lower(replace(replace(p_brand, '#', ''), ' ', '')), 'A::b' || p_brand, 'x::' || ['get_', 'is_', 'test_', 'handle_', 'gets_', ''][p_size % 6 + 1] || lower(replace(p_name, ' ', '_')) || ['_test', '_error', '_utils', ''][p_partkey % 4 + 1]]) AS name FROM part"
 
 
 def names(spark, d):
     p = table(spark, d, "part")
     us = F.replace("p_name", F.lit(" "), F.lit("_"))
     b = F.lower(F.replace(F.replace("p_brand", F.lit("#"), F.lit("")), F.lit(" "), F.lit("")))
-    return p.select(F.explode(F.array("p_name", us, F.upper(us), "p_brand", "p_type", F.concat(F.lit("mod::"), b), F.concat(F.lit("A::b"), "p_brand"))).alias("name"))
+    pick = lambda xs, k: F.element_at(F.array(*map(F.lit, xs)), (k % len(xs)).cast("int") + 1)
+    own = F.concat(F.lit("x::"), pick(["get_", "is_", "test_", "handle_", "gets_", ""], F.col("p_size")), F.lower(us), pick(["_test", "_error", "_utils", ""], F.col("p_partkey")))
+    return p.select(F.explode(F.array("p_name", us, F.upper(us), "p_brand", "p_type", F.concat(F.lit("mod::"), b), F.concat(F.lit("A::b"), "p_brand"), own)).alias("name"))
 
 
-@register("a17_naming_distribution", f"SELECT convention, count(*) AS count, round(count(*) / CAST(sum(count(*)) OVER () AS DOUBLE) * 100, 2) AS percentage FROM (SELECT {STYLE} AS convention FROM (SELECT string_split(name, '::')[-1] AS x FROM ({NAMES}))) GROUP BY convention")
+@register("a17_naming_distribution", f"SELECT convention, count(*) AS count, round(count(*) / CAST(sum(count(*)) OVER () AS DOUBLE) * 100, 2) AS percentage, CAST(row_number() OVER (ORDER BY count(*) DESC, convention) AS INT) AS rank FROM (SELECT {STYLE} AS convention FROM (SELECT string_split(name, '::')[-1] AS x FROM ({NAMES}))) GROUP BY convention")
 def a17(spark, d):
     return V.naming(names(spark, d))
 
 
-@register("a17_affixes", f"SELECT * FROM (SELECT kind, part, count(*) AS count, CAST(row_number() OVER (PARTITION BY kind ORDER BY count(*) DESC, part) AS INT) AS rank FROM (SELECT unnest(['prefix', 'suffix']) AS kind, unnest([string_split(x, '_')[1], string_split(x, '_')[-1]]) AS part FROM (SELECT string_split(name, '::')[-1] AS x FROM ({NAMES})) WHERE contains(x, '_')) WHERE part <> '' GROUP BY kind, part) WHERE rank <= 10")
+@register(
+    "a17_affixes",
+    f"""WITH l AS (SELECT string_split(name, '::')[-1] AS x FROM ({NAMES})),
+f AS (SELECT 'prefix' AS kind, p AS part FROM l, (SELECT unnest(['get_', 'set_', 'is_', 'has_', 'new_', 'from_', 'to_', 'with_', 'create_', 'delete_', 'update_', 'find_', 'test_', 'handle_']) AS p) WHERE starts_with(x, p)
+UNION ALL SELECT 'suffix', p FROM l, (SELECT unnest(['_builder', '_config', '_error', '_factory', '_handler', '_impl', '_result', '_service', '_spec', '_test', '_utils']) AS p) WHERE suffix(x, p))
+SELECT * FROM (SELECT kind, part, count(*) AS count, CAST(row_number() OVER (PARTITION BY kind ORDER BY count(*) DESC, part) AS INT) AS rank FROM f GROUP BY kind, part) WHERE rank <= 10""",
+)
 def a17b(spark, d):
     return V.affixes(names(spark, d))
 
@@ -44,15 +53,25 @@ def paths(spark, d):
     return p.select(F.when(k == 0, c("src/", b, "/test_", size, ".py")).when(k == 1, c("src/", b, "/", size, ".py")).when(k == 2, c("./lib/a/b/", size, ".test.ts")).when(k == 3, c("/home/x/src/k", size, ".rs")).when(k == 4, F.lit("main.go")).otherwise(c("/usr/a/b/c/", size, "_test.go")).alias("path"))
 
 
+NAME = "string_split(path, '/')[-1]"
+TEST = f"(starts_with(lower({NAME}), 'test_') OR regexp_matches(lower({NAME}), '(_test[.](rs|py|go)|[.](test|spec)[.](ts|js|tsx)|tests?[.]java)$') OR regexp_matches(path, '(^|/)(tests|test|__tests__)/'))"
+
+
 @register("fn_paths", f"""SELECT DISTINCT path, coalesce(regexp_extract(path, '^(.*)/[^/]*$', 1), '') AS directory, CASE WHEN contains(path, '/') THEN regexp_extract(path, '^(.*)/[^/]*$', 1) ELSE '.' END AS dir_of, CASE regexp_extract(path, '\\.([a-z]+)$', 1) WHEN 'py' THEN 'python' WHEN 'ts' THEN 'typescript' WHEN 'rs' THEN 'rust' WHEN 'go' THEN 'go' END AS language,
-path LIKE '%/test_%' OR path LIKE '%.test.ts' OR path LIKE '%\\_test.go' ESCAPE '\\' AS is_test, CASE WHEN path LIKE '%/test\\_%' ESCAPE '\\' THEN replace(path, '/test_', '/') WHEN path LIKE '%.test.ts' THEN replace(path, '.test.ts', '.ts') WHEN path LIKE '%\\_test.go' ESCAPE '\\' THEN replace(path, '_test.go', '.go') END AS source,
+{TEST} AS is_test, contains(path, '/tests/') OR contains(path, '/test/') OR contains(path, '_test.') OR contains(path, 'test_') OR contains(path, '.test.') OR contains(path, '.spec.') OR contains(path, '_spec.') AS has_mark, contains(lower(path), 'test') OR contains(lower(path), 'spec') AS mentions,
+CASE WHEN path LIKE '%/test\\_%' ESCAPE '\\' THEN replace(path, '/test_', '/') WHEN path LIKE '%.test.ts' THEN replace(path, '.test.ts', '.ts') WHEN path LIKE '%\\_test.go' ESCAPE '\\' THEN replace(path, '_test.go', '.go') END AS source,
 CASE WHEN path LIKE './%' THEN substr(path, 3) WHEN path LIKE '/home/%' THEN 'src/' || string_split(path, '/src/')[2] WHEN path LIKE '/usr%' THEN 'b/c/' || string_split(path, '/')[-1] ELSE path END AS normal FROM ({PATHS})""")
 def fn_paths(spark, d):
     p = F.col("path")
-    return paths(spark, d).distinct().select(p, X.directory(p).alias("directory"), X.dir_of(p).alias("dir_of"), X.language(p).alias("language"), X.is_test_file(p).alias("is_test"), X.source_of_test(p).alias("source"), X.normal_path(p).alias("normal"))
+    return paths(spark, d).distinct().select(p, X.directory(p).alias("directory"), X.dir_of(p).alias("dir_of"), X.language(p).alias("language"), X.is_test_file(p).alias("is_test"), X.has_test_mark(p).alias("has_mark"), X.mentions_test(p).alias("mentions"), X.source_of_test(p).alias("source"), X.normal_path(p).alias("normal"))
 
 
-@register("a18_testing_pattern", f"SELECT count_if(t) AS test_count, count_if(NOT t) AS source_count, round(count_if(t) / CAST(greatest(count_if(NOT t), 1) AS DOUBLE), 3) AS test_ratio, bool_or(t) AS co_located FROM (SELECT path LIKE '%/test_%' OR path LIKE '%.test.ts' OR path LIKE '%\\_test.go' ESCAPE '\\' AS t FROM ({PATHS}))")
+@register(
+    "a18_testing_pattern",
+    f"""WITH t AS (SELECT path, contains(path, '/tests/') OR contains(path, '/test/') AS d, contains(path, 'test_') AS p, contains(path, '_test.') OR contains(path, '.test.') OR contains(path, '.spec.') AS s, contains(path, '_spec.') AS o, regexp_matches(path, '[.](rs|py|ts|tsx|js|jsx|go|java|rb|swift|kt|kts|cs|php|zig|lean)$') AS src FROM ({PATHS})),
+g AS (SELECT count_if(d OR p OR s OR o) AS test_count, count_if(src AND NOT (d OR p OR s OR o)) AS source_count, bool_or(d) AS ad, bool_or(p) AS ap, bool_or(s) AS as_ FROM t)
+SELECT test_count, source_count, CASE WHEN source_count > 0 THEN test_count / CAST(source_count AS DOUBLE) ELSE 0 END AS test_ratio, CASE WHEN ad THEN 'tests/ directory' WHEN as_ THEN '*_test.* / *.test.* / *.spec.*' WHEN ap THEN 'test_*' ELSE 'unknown' END AS test_file_pattern, NOT ad AND (as_ OR ap) AS co_located FROM g""",
+)
 def a18(spark, d):
     return V.testing(paths(spark, d))
 
@@ -129,7 +148,9 @@ def interactions(spark, d):
     return e.select(F.col("user_id").alias("session"), i.alias("i"), "ts", F.array(f).alias("referenced"), F.when(F.col("event_type") == "click", F.array(f)).otherwise(F.array().cast("array<string>")).alias("modified"), (F.col("event_type") == "error").alias("had_correction"), F.lit(1).alias("tool_uses"))
 
 
-@register("src22_reverts", with_(INTER) + "SELECT a.session, a.i, a.event_type = 'click' AND EXISTS (SELECT 1 FROM it b WHERE b.session = a.session AND b.event_type = 'click' AND b.f = a.f AND b.i > a.i AND b.i <= a.i + 30) AS reverted FROM it a")
+@register("src22_reverts", with_(INTER) + """, c AS (SELECT session, i, f FROM it WHERE event_type = 'click'),
+h AS (SELECT DISTINCT a.session, a.i FROM c a JOIN c b ON b.session = a.session AND b.f = a.f AND b.i > a.i WHERE NOT EXISTS (SELECT 1 FROM c x WHERE x.session = a.session AND x.i > a.i AND x.i < b.i AND x.i - a.i >= 30))
+SELECT it.session, it.i, h.i IS NOT NULL AS reverted FROM it LEFT JOIN h ON h.session = it.session AND h.i = it.i""")
 def src22(spark, d):
     return sessions.reverts(interactions(spark, d), 30)
 
@@ -159,9 +180,10 @@ def a13(spark, d):
     return sessions.prompt_hotspots(refs(spark, d))
 
 
-@register("a14_correction_hotspots", "SELECT event_id % 40 AS file, count_if(event_type = 'click') AS correction_count, count(*) AS interaction_count, round(count_if(event_type = 'click') / CAST(count(*) AS DOUBLE), 6) AS correction_rate, count_if(event_type = 'click') / CAST(count(*) AS DOUBLE) > 0.2 AND count_if(event_type = 'click') >= 2 AS is_confusion_zone FROM events GROUP BY 1")
+@register("a14_correction_hotspots", "SELECT file, correction_count, n AS interaction_count, round(CASE WHEN n > 0 THEN correction_count / CAST(n AS DOUBLE) ELSE 0 END, 6) AS correction_rate, n > 0 AND correction_count / CAST(n AS DOUBLE) > 0.2 AND correction_count >= 2 AS is_confusion_zone FROM (SELECT file, correction_count, coalesce(n, 1) AS n FROM (SELECT event_id % 997 AS file, count_if(event_type = 'click') AS correction_count, CAST(sum(CASE WHEN event_type <> 'view' THEN event_id % 4 END) AS BIGINT) AS n FROM events GROUP BY 1)) WHERE correction_count > 0")
 def a14(spark, d):
-    return sessions.correction_hotspots(refs(spark, d).select("file", F.col("modified").cast("int").alias("corrections"), F.lit(None).cast("int").alias("interactions")))
+    uses = table(spark, d, "events").select((F.col("event_id") % 997).alias("file"), (F.col("event_type") == "click").cast("int").alias("corrections"), F.when(F.col("event_type") != "view", F.col("event_id") % 4).alias("interactions"))
+    return sessions.correction_hotspots(uses)
 
 
 @register("a15_task_patterns", "SELECT files, count(*) AS frequency FROM (SELECT o_orderkey, list_sort(list(DISTINCT l_suppkey % 8)) AS files FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_orderkey) GROUP BY files HAVING count(*) >= 2")
@@ -176,9 +198,28 @@ def a16(spark, d):
     return sessions.domain_vocabulary(refs(spark, d), e)
 
 
-@register("a19_error_marks", "SELECT language, pattern, CAST(sum(n) AS BIGINT) AS count FROM (SELECT 'python' AS language, 'try_except' AS pattern, (length(text) - length(replace(text, 'except ', ''))) // 7 AS n FROM documents WHERE lang = 'en' UNION ALL SELECT 'python', 'raise', (length(text) - length(replace(text, 'raise ', ''))) // 6 FROM documents WHERE lang = 'en') GROUP BY ALL HAVING sum(n) > 0")
+#: Texts as sources: some marks are put between the words, as there are none in the tables.
+CODE = "SELECT doc_id, ['rust', 'python', 'go', 'java', 'ruby', 'swift', 'zig', 'text'][doc_id % 8 + 1] AS language, replace(replace(replace(replace(text, ' the ', ' catch '), ' and ', ' raise '), ' of ', '.unwrap()?'), ' la ', ' try ') || CASE WHEN doc_id % 3 = 0 THEN ' if err != nil Result<T> rescue x except y throw z .expect(' ELSE '' END AS content FROM documents"
+_MARKS = [("rust", "? operator", "?"), ("rust", ".unwrap()", ".unwrap()"), ("rust", ".expect()", ".expect("), ("rust", "Result<T, E>", "Result<"), ("python", "try/except", "except "), ("python", "raise", "raise "), ("java", "try/catch", "catch "), ("java", "throw", "throw "), ("go", "if err != nil", "if err != nil"), ("ruby", "rescue", "rescue "), ("ruby", "raise", "raise "), ("swift", "do/catch", "catch "), ("swift", "throw", "throw "), ("swift", "try", "try "), ("zig", "try", "try "), ("zig", "catch", "catch ")]
+ERRORS = f"WITH c AS ({CODE}), e AS (" + " UNION ALL ".join(f"SELECT language, '{n}' AS pattern, (length(content) - length(replace(content, '{m}', ''))) // {len(m)} AS n FROM c WHERE language = '{lang}'" for lang, n, m in _MARKS) + "), g AS (SELECT language, pattern, CAST(sum(n) AS BIGINT) AS count FROM e GROUP BY ALL HAVING sum(n) > 0)"
+
+
+def code(spark, d):
+    t = F.col("text")
+    for a, b in ((" the ", " catch "), (" and ", " raise "), (" of ", ".unwrap()?"), (" la ", " try ")):
+        t = F.replace(t, F.lit(a), F.lit(b))
+    lang = F.element_at(F.array(*map(F.lit, ["rust", "python", "go", "java", "ruby", "swift", "zig", "text"])), (F.col("doc_id") % 8).cast("int") + 1)
+    return table(spark, d, "documents").select(lang.alias("language"), F.concat(t, F.when(F.col("doc_id") % 3 == 0, " if err != nil Result<T> rescue x except y throw z .expect(").otherwise("")).alias("content"))
+
+
+@register("a19_error_marks", ERRORS + " SELECT * FROM g")
 def a19(spark, d):
-    return V.error_handling(table(spark, d, "documents").filter("lang = 'en'").select(F.lit("python").alias("language"), F.col("text").alias("content")))
+    return V.error_handling(code(spark, d))
+
+
+@register("a19_error_approach", ERRORS + " SELECT pattern AS dominant_pattern, CASE WHEN contains(pattern, 'Result') OR contains(pattern, '?') THEN 'Result/Option type' WHEN contains(pattern, 'try') OR contains(pattern, 'except') THEN 'Exceptions' WHEN contains(pattern, 'if err') THEN 'Error return codes' ELSE 'mixed' END AS approach FROM (SELECT pattern, sum(count) AS n FROM g GROUP BY pattern ORDER BY n DESC, pattern LIMIT 1)")
+def a19b(spark, d):
+    return V.error_approach(V.error_handling(code(spark, d)))
 
 
 @register("a21_rule_validation", "WITH f AS (SELECT lang AS language, source AS convention, count(*) AS count FROM documents GROUP BY ALL), t AS (SELECT language, convention AS dominant FROM (SELECT *, row_number() OVER (PARTITION BY language ORDER BY count DESC, convention) AS r FROM f) WHERE r = 1), s AS (SELECT unnest(['en', 'de', 'xx']) AS language, 'src0' AS convention) SELECT s.language, s.convention, dominant, CASE WHEN dominant IS NULL THEN 'unknown' WHEN dominant = s.convention THEN 'validated' ELSE 'drifted' END AS status FROM s LEFT JOIN t USING (language)")

@@ -12,7 +12,10 @@ from lodestrata.operators import behavioral as B
 from lodestrata.operators import centrality as C
 from lodestrata.operators import community as K
 from lodestrata.operators import graph as G
+from lodestrata.operators import convention as V
 from lodestrata.operators import risk as R
+from lodestrata.operators import salience as S
+from lodestrata.operators import sessions as D
 from lodestrata.operators.ranking import numbered
 from lodestrata.plans.views import calls
 
@@ -123,7 +126,7 @@ def test_fnv_published_values(spark, text, want):
 
 
 def test_names_and_paths(spark):
-    style = {"snake_name": "snake_case", "MAX_SIZE": "SCREAMING_SNAKE", "PascalName": "PascalCase", "camelName": "camelCase", "lower": "lowercase", "odd-Name": "mixed", "": "unknown"}
+    style = {"snake_name": "snake_case", "MAX_SIZE": "SCREAMING_SNAKE_CASE", "PascalName": "PascalCase", "HTTP": "PascalCase", "camelName": "camelCase", "lower": "lowercase", "x_Y": "mixed", "-Name": "mixed", "": "unknown"}
     df = spark.createDataFrame([(k,) for k in style], "n string").select("n", X.name_style(F.col("n")).alias("s"))
     assert {r.n: r.s for r in df.collect()} == style
     b = spark.createDataFrame([("né" * 6,)], "t string").select(X.byte_prefix(10)("t").alias("p")).first().p
@@ -143,3 +146,59 @@ def test_empty_inputs(spark):
     assert C.pagerank(e).count() == 0 and C.betweenness(e).count() == 0 and K.communities(e).count() == 0 and G.components(e).count() == 0
     c = spark.createDataFrame([], "commit long, file long, author long, ts timestamp, added double, deleted double")
     assert B.change_frequency(c).count() == 0 and B.churn_velocity(c).count() == 0 and B.cochange_pairs(c).count() == 0
+
+
+def column(spark, rows, ddl, what):
+    """What an expression gives for each row."""
+    return [r.x for r in spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], f"i int, {ddl}").orderBy("i").select(what.alias("x")).collect()]
+
+
+def test_salience_classes_and_risk_scores(spark):
+    want = {"HotCritical": [(8, 8, 5)], "FoundationalStable": [(8, 2, 5)], "ActiveLocalized": [(2, 8, 5), (2, 8, 10)], "Background": [(2, 2, 5), (2, 2, 10)], "CriticalSilo": [(8, 2, 10), (8, 8, 10)]}
+    rows = [(c, *[v / 10 for v in x]) for c, xs in want.items() for x in xs]
+    assert column(spark, rows, "c string, p double, f double, b double", S.salience_class(F.col("p"), F.col("f"), F.col("b"))) == [r[0] for r in rows]
+    risk = [(0.1, 5, 2, 0.04, "low"), (0.9, 1, 25, 0.96, "critical"), (1.0, 1, 100, 1.0, "critical"), (0.5, 2, 11, 0.55, "medium"), (0.3, None, 6, 0.22, "low"), (None, 1, None, 0.3, "medium"), (0.71, 3, 12, 0.484, "high")]
+    ddl = "s double, b int, n int, g double, l string"
+    assert column(spark, risk, ddl, S.gate_score(F.col("s"), F.col("b"), F.col("n"))) == [r[3] for r in risk]
+    assert column(spark, risk, ddl, S.risk_level(F.col("s"), F.col("b"), F.col("n"))) == [r[4] for r in risk]
+
+
+def test_three_predicates_of_tests_and_their_sources(spark):
+    rows = [("src/auth_test.rs", True, "src/auth.rs"), ("tests/all.rs", True, None), ("test_utils.py", True, "utils.py"), ("a/utils_test.py", True, "a/utils.py"), ("App.test.tsx", True, "App.tsx"), ("src/App.spec.ts", True, "src/App.ts"), ("pkg/handler_test.go", True, "pkg/handler.go"),
+            ("src/__tests__/App.js", True, None), ("UserTest.java", True, None), ("src/auth.rs", False, None), ("utils.py", False, None), ("App.tsx", False, None), ("contest_x.py", False, None), ("x_spec.rb", False, None)]
+    ddl = "p string, t boolean, s string"
+    assert column(spark, rows, ddl, X.is_test_file(F.col("p"))) == [r[1] for r in rows]
+    assert column(spark, rows, ddl, X.source_of_test(F.col("p"))) == [r[2] for r in rows]
+    assert column(spark, [("contest_x.py",), ("x_spec.rb",), ("tests/a.rs",), ("a/test/b",)], "p string", X.has_test_mark(F.col("p"))) == [True, True, False, True]
+    assert column(spark, [("latest.py",), ("a/Spec/b",), ("a.py",)], "p string", X.mentions_test(F.col("p"))) == [True, True, False]
+
+
+def test_tested_by_stems_anywhere(spark):
+    files = ["src/a.rs", "src/auth.rs", "lib/.env", "src/long_module_name.rs", "tests/auth_flow.rs", "x/my_long_module_name_test.go", "src/none.zz"]
+    got = {r.file: r.has_test for r in R.tested(spark.createDataFrame([(f,) for f in files], "file string")).collect()}
+    assert got == {f: any(f.split("/")[-1].split(".")[0] in t for t in files if "test" in t.lower() or "spec" in t.lower()) for f in files}
+    assert got["lib/.env"] and got["src/a.rs"] and got["src/long_module_name.rs"] and not got["src/none.zz"]
+    customs = {r.file: r.has_test for r in R.tested(spark.createDataFrame([("a/x.py",), ("a/test_x.py",), ("a/y.py",)], "file string"), rule="customs").collect()}
+    assert customs["a/x.py"] and not customs["a/y.py"]
+
+
+def test_reverts(spark):
+    """Interactions that modify nothing are passed over; a file named twice in one is no revert of itself."""
+    data = [(0, ["a", "a"]), (1, []), (2, []), (3, []), (4, ["a"]), (5, ["b"]), (6, ["c"]), (7, ["d"]), (8, ["e"]), (9, ["b"]), (10, [])]
+    want = set()
+    for i, m in data:
+        for j, n in data[i + 1 :]:
+            if m and n:
+                if set(m) & set(n):
+                    want.add(i)
+                    break
+                if j - i > 2:
+                    break
+    got = {r.i for r in D.reverts(spark.createDataFrame([("s", i, m) for i, m in data], "session string, i int, modified array<string>")).collect() if r.reverted}
+    assert got == want == {0}
+
+
+def test_test_frameworks(spark):
+    at = lambda rows: V.test_framework(spark.createDataFrame(rows, "path string, content string")).first().framework
+    assert at([("go.mod", ""), ("pyproject.toml", "[tool.pytest]")]) == "pytest" and at([("package.json", '{"vitest": 1}'), ("Cargo.toml", "x")]) == "vitest"
+    assert at([("Cargo.toml", "[package]"), ("package.json", '"jest"')]) == "cargo test" and at([("App.csproj", "")]) == "dotnet test" and at([("README.md", "pytest")]) is None
