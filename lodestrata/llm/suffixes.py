@@ -16,11 +16,13 @@ Texts are sequences of words (as written). Each task builds suffix arrays over s
    in other shards: linear in the finds, without a cap.
 4. Linked places' surroundings are brought together once and compared word by word, which gives the exact ends.
 
-Result: pairs of places, doc_b's words [b_start, b_start + n_words) being those of doc_a from a_start. Each copy of a
-passage, but that of the least id, is doc_b in a pair; not each copy is in a pair with each other.
+Result: one row a pair of places, document doc_id's words [start_word, end_word) being those of source_id from source_start to
+source_end, source_id being the lesser. Each copy of a passage, but that of the least id, is doc_id in a row; not each copy is
+in a row with each other. Within this module the two sides are called b and a.
 
 Defined results: null ids and null, blank or short texts take no part; an id on several rows counts as one document; passages
-repeated only within one document are not told, and of a key that an earlier holder has many times one place; columns beside doc_id and text are not looked at; an empty table has none.
+repeated only within one document are not told, and of a passage that an earlier holder has many times one place; columns
+beside doc_id and text are not looked at; an empty table has none.
 """
 
 from __future__ import annotations
@@ -346,14 +348,17 @@ def compare(link: dict, b: np.ndarray, a: np.ndarray, min_words: int) -> list[tu
 
 
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS, depth: int = DEPTH, shard: int = SHARD) -> DataFrame:
-    """Pairs of places that hold the same min_words words or more (see the module's text)."""
+    """doc_id, start_word, end_word, source_id, source_start, source_end of places that hold the same min_words words or more
+    (see the module's text)."""
     if depth < min_words:
         raise ValueError("depth has to reach min_words")
     rows = stored(shards(docs, min_words, depth, shard), "shards")
     inside = rows.filter("kind = 0").select("doc_b", "b_start", "doc_a", "a_start", "n_words")
     links = stored(regions(across(rows.filter("kind = 1")), min_words), "links")
     outside = together(docs, links, False, lambda link, b, a: compare(link, b, a, min_words), OUT)
-    return inside.unionByName(outside)
+    both = inside.unionByName(outside)
+    ends = [(F.col(f"{x}_start") + F.col("n_words")).alias(e) for x, e in (("b", "end_word"), ("a", "source_end"))]
+    return both.select(F.col("doc_b").alias("doc_id"), F.col("b_start").alias("start_word"), ends[0], F.col("doc_a").alias("source_id"), F.col("a_start").alias("source_start"), ends[1])
 
 
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

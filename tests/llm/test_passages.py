@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from lodestrata.llm import suffixes
-from lodestrata.llm.chaining import chain, fuzzy_passages, without_passages
+from lodestrata.llm.chaining import chain, fuzzy_passages, matches, pack, seeds, unpack, without_passages
 from lodestrata.llm.suffixes import common_prefixes, repeats, suffix_array
 
 DDL = "doc_id long, text string"
@@ -48,21 +48,21 @@ def test_exact_repeats_against_brute_force(spark, shard):
     text = dict(rows)
     got = repeats(spark.createDataFrame(rows, DDL).repartition(3), shard=shard).collect()
     for r in got:
-        b, a = text[r.doc_b].split(), text[r.doc_a].split()
-        assert r.n_words >= 50 and b[r.b_start : r.b_start + r.n_words] == a[r.a_start : r.a_start + r.n_words]
+        b, a = text[r.doc_id].split(), text[r.source_id].split()
+        assert r.end_word - r.start_word >= 50 and b[r.start_word : r.end_word] == a[r.source_start : r.source_end]
     want = longest_runs(rows, 50)
     # every copy of a repeated passage lies in a pair, though not with every other copy
     need, have = {}, {}
     for (a, b), ws in want.items():
         need.setdefault(b, set()).update(ws)
     for r in got:
-        have.setdefault(r.doc_b, set()).update(range(r.b_start, r.b_start + r.n_words))
-        have.setdefault(r.doc_a, set()).update(range(r.a_start, r.a_start + r.n_words))
+        have.setdefault(r.doc_id, set()).update(range(r.start_word, r.end_word))
+        have.setdefault(r.source_id, set()).update(range(r.source_start, r.source_end))
     assert need and all(ws <= have.get(d, set()) for d, ws in need.items())
 
 
 @pytest.mark.parametrize("shard", [1 << 20, 1500])
-def test_every_copy_but_the_least_id_is_a_doc_b(spark, shard):
+def test_every_copy_but_the_least_id_is_told(spark, shard):
     rng = random.Random(6)
     word = lambda: f"v{rng.randrange(3000)}"
     rows, want = [], {}
@@ -77,9 +77,9 @@ def test_every_copy_but_the_least_id_is_a_doc_b(spark, shard):
     text = dict(rows)
     have = {}
     for r in repeats(spark.createDataFrame(rows, DDL).coalesce(1), shard=shard).collect():
-        b, a = text[r.doc_b].split(), text[r.doc_a].split()
-        assert r.doc_a < r.doc_b and r.n_words >= 50 and b[r.b_start : r.b_start + r.n_words] == a[r.a_start : r.a_start + r.n_words]
-        have.setdefault(r.doc_b, set()).update(range(r.b_start, r.b_start + r.n_words))
+        b, a = text[r.doc_id].split(), text[r.source_id].split()
+        assert r.source_id < r.doc_id and r.end_word - r.start_word >= 50 and b[r.start_word : r.end_word] == a[r.source_start : r.source_end]
+        have.setdefault(r.doc_id, set()).update(range(r.start_word, r.end_word))
     assert all(ws <= have.get(d, set()) for d, ws in want.items())
 
 
@@ -90,8 +90,8 @@ def test_exact_repeats_of_the_tables(spark, sf):
     for (a, b), ws in longest_runs(rows, 50).items():
         want.setdefault(b, set()).update(ws)
     for r in repeats(docs).collect():
-        have.setdefault(r.doc_b, set()).update(range(r.b_start, r.b_start + r.n_words))
-        have.setdefault(r.doc_a, set()).update(range(r.a_start, r.a_start + r.n_words))
+        have.setdefault(r.doc_id, set()).update(range(r.start_word, r.end_word))
+        have.setdefault(r.source_id, set()).update(range(r.source_start, r.source_end))
     assert all(ws <= have.get(d, set()) for d, ws in want.items())
 
 
@@ -189,6 +189,14 @@ def test_two_passages_of_the_same_documents_with_other_words_between(spark, gap)
     assert sum(len(ws - want.get(d, set())) for d, ws in have.items()) <= 0.05 * sum(map(len, want.values()))
 
 
+def test_a_longer_chain_hides_no_passage_within_it(spark):
+    """Document 3 holds X P Y: P is document 1's, X and Y are document 2's, with other words between."""
+    x, p, y = ([f"{c}{i}" for i in range(n)] for c, n in (("x", 30), ("p", 60), ("y", 30)))
+    rows = [(1, " ".join(p)), (2, " ".join(x + [f"o{i}" for i in range(60)] + y)), (3, " ".join(x + p + y))]
+    got = {tuple(r) for r in fuzzy_passages(spark.createDataFrame(rows, DDL)).collect()}
+    assert got == {(3, 30, 90, 1, 0, 60, 60, 1.0)}
+
+
 @pytest.mark.parametrize("n,identity", [(55, 0.8), (55, 0.9), (70, 0.85), (90, 0.8), (100, 0.95)])
 def test_recall_of_passages_with_substituted_words(spark, n, identity):
     rng = random.Random(n * 100 + int(identity * 100))
@@ -218,6 +226,30 @@ def test_fuzzy_passages_hold_the_exact_ones(spark, sf):
     assert total and sum(len(ws & have.get(d, set())) for d, ws in want.items()) >= 0.9 * total
 
 
+def test_packed_places():
+    rng = np.random.default_rng(6)
+    ids, who, a, b = rng.integers(-(1 << 62), 1 << 62, 50), rng.integers(0, 50, 300), rng.integers(0, 1 << 32, 300), rng.integers(0, 70_000, 300)
+    got = unpack(pack(ids, who, a, b), 2)
+    assert (got[0] == ids[who]).all() and (got[1] == a).all() and (got[2] == b).all()
+
+
+def test_matches_by_batch_and_by_part(spark):
+    """However the rows lie in batches, each place of a seed but those of the least id is matched with one of it or of another."""
+    rng = random.Random(11)
+    p = [f"p{i}" for i in range(60)]
+    rows = [(d, " ".join([f"v{rng.randrange(10**6)}" for _ in range(30)] + p + (p if d % 3 == 0 else []))) for d in range(300)]
+    rng.shuffle(rows)
+    for n in (1, 7):
+        got = matches(seeds(spark.createDataFrame(rows, DDL).repartition(n), 5, 12, 8)).collect()
+        assert all(r.doc_a < r.doc_b and (r.b_pos - r.a_pos) % 60 == 0 for r in got)
+        by = {}
+        for r in got:
+            by.setdefault(r.doc_b, set()).add(r.b_pos)
+        sampled = {x for x in by[1]}
+        assert set(by) == set(range(1, 300)) and all(by[d] >= sampled for d in by) and all(by[d] >= {x + 60 for x in sampled} for d in by if d % 3 == 0)
+        assert len(got) < 400 * 60 * 2
+
+
 def edge_rows():
     p = " ".join(f"w{i}" for i in range(70))
     return [(None, p, 1), (1, None, 2), (2, "", 3), (3, " \t\n", 4), (4, p, 5), (5, "a " + p + " b", 6), (5, "a " + p + " b", 6), (6, "same " * 300, None), (7, "same " * 300, 7), (8, " ".join(f"z{i}" for i in range(150_000)), 8)]
@@ -225,7 +257,7 @@ def edge_rows():
 
 def test_defined_results(spark):
     df = spark.createDataFrame(edge_rows(), DDL + ", n_chars long").selectExpr("*", "n_chars AS __cut", "n_chars AS __gone", "n_chars AS link", "n_chars AS h")
-    exact = {(r.doc_a, r.doc_b) for r in repeats(df).collect()}
+    exact = {(r.source_id, r.doc_id) for r in repeats(df).collect()}
     assert exact == {(4, 5), (6, 7)}
     assert {r.doc_id for r in fuzzy_passages(df).collect()} >= {5}
     left = without_passages(df)
