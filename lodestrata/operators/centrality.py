@@ -10,24 +10,68 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from lodestrata.operators.graph import degrees, vertices
-from lodestrata.operators.ranking import materialised, numbered
+from lodestrata.operators.ranking import Rounds, materialised, numbered
 
 #: Vertices up to which betweenness starts a search from each; beyond, from the square root of their number.
 ALL_SOURCES = 50_000
-#: Edges of a graph that is broadcast: 8 bytes each.
+#: Edges of a graph that a task holds, or that is broadcast: 8 bytes each.
 HELD_EDGES = 20_000_000
 
 
-def pagerank(edges: DataFrame, rounds: int = 100, damping: float = 0.85, rule: str = "standard", every: int = 5) -> DataFrame:
-    """GR2: (node, rank). Parallel edges count each. A round is one join on the source and one aggregate by target; both frames
-    stay partitioned alike, so ranks move and edges don't."""
-    e = materialised(edges.select("src", "dst").withColumn("__o", F.lit(1)), "pr-edges").drop("__o")
+def held(e: DataFrame, run, ddl: str) -> DataFrame:
+    """run(src, dst) over all edges at once, in one task: for graphs whose number of edges was checked. It gives columns of numpy."""
+    schema = to_arrow_schema(_parse_datatype_string(ddl))
+
+    def work(it):
+        got = [[b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("src", "dst")] for b in it if b.num_rows]
+        if got:
+            cols = run(*[np.concatenate(c) for c in zip(*got)])
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
+
+    return e.select("src", "dst").repartition(1).mapInArrow(work, ddl)
+
+
+def compressed(src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    nodes, at = np.unique(np.concatenate([src, dst]), return_inverse=True)
+    return nodes, at[: len(src)], at[len(src) :]
+
+
+def ranks(src: np.ndarray, dst: np.ndarray, rounds: int, damping: float, rule: str) -> tuple[np.ndarray, np.ndarray]:
+    """pagerank() in memory."""
+    nodes, s, d = compressed(src, dst)
+    n = len(nodes)
+    out = np.bincount(s, minlength=n)
+    dangling = out == 0
+    once = np.unique(s.astype(np.int64) * n + d) if rule != "standard" else None
+    r = np.full(n, 1.0 / n)
+    for _ in range(rounds):
+        got = np.bincount(d, (r / np.maximum(out, 1))[s], minlength=n)
+        loose = r[dangling].sum()
+        if rule == "standard":
+            r = (1 - damping) / n + damping * (got + loose / n)
+        else:
+            near = np.bincount(once % n, r[once // n], minlength=n)
+            r = damping * got + damping * loose / n + (1 - damping) / n * (r.sum() - loose - near)
+            r /= r.sum()
+    return nodes, r
+
+
+def pagerank(edges: DataFrame, rounds: int = 100, damping: float = 0.85, rule: str = "standard", every: int = 5, most_edges: int = HELD_EDGES) -> DataFrame:
+    """GR2: (node, rank). Parallel edges count each. Up to most_edges edges a task holds all of them as compressed rows; beyond, a
+    round is one join on the source and one aggregate by target, with the same result, written down each few rounds."""
+    keep = Rounds(edges)
+    e = keep.keep(edges.select("src", "dst"), "pr-edges")
+    if e.count() <= most_edges:
+        return held(e, lambda s, d: ranks(s, d, rounds, damping, rule), f"node {e.schema['src'].dataType.simpleString()}, rank double")
     out = e.groupBy("src").agg(F.count(F.lit(1)).alias("out"))
-    v = materialised(vertices(e).join(out, F.col("node") == F.col("src"), "left").select("node", F.coalesce("out", F.lit(0)).alias("out")), "pr-nodes")
+    v = keep.keep(vertices(e).join(out, F.col("node") == F.col("src"), "left").select("node", F.coalesce("out", F.lit(0)).alias("out")), "pr-nodes")
     n = v.count()
     if n == 0:
         return v.select("node", F.lit(0.0).alias("rank"))
@@ -46,24 +90,43 @@ def pagerank(edges: DataFrame, rounds: int = 100, damping: float = 0.85, rule: s
             j = j.join(who, F.col("node") == F.col("__d"), "left")
         r = j.select("node", "out", new.alias("rank"))
         if rule != "standard":
-            r = materialised(r, "pr")
+            r = keep.keep(r, "pr")
             r = r.crossJoin(F.broadcast(r.agg(F.sum("rank").alias("__s")))).select("node", "out", (F.col("rank") / F.col("__s")).alias("rank"))
         if k % every == 0 or k == rounds:
-            r = materialised(r, "pr")
+            r = keep.keep(r, "pr")
+    keep.end("pr")
     return r.select("node", "rank")
 
 
-def hits(edges: DataFrame, rounds: int = 100, tolerance: float = 1e-10) -> DataFrame:
+def mutual(src: np.ndarray, dst: np.ndarray, rounds: int, tolerance: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """hits() in memory."""
+    nodes, s, d = compressed(src, dst)
+    n = len(nodes)
+    hub = aut = np.full(n, 1 / math.sqrt(n))
+    for _ in range(rounds):
+        a, h = np.bincount(d, hub[s], minlength=n), np.bincount(s, aut[d], minlength=n)
+        a, h = (x / (math.sqrt(float((x * x).sum())) or 1.0) for x in (a, h))
+        done = np.abs(h - hub).sum() < tolerance and np.abs(a - aut).sum() < tolerance
+        hub, aut = h, a
+        if done:
+            break
+    return nodes, *(x / x.max() if x.max() > 0 else x for x in (hub, aut))
+
+
+def hits(edges: DataFrame, rounds: int = 100, tolerance: float = 1e-10, most_edges: int = HELD_EDGES) -> DataFrame:
     """GR4: (node, hub, authority): both from the old values of the other, made of length 1, ended when both change by less than
-    the tolerance in all, then divided by their maxima. Unweighted."""
-    e = materialised(edges.select("src", "dst"), "hits-edges")
-    v = materialised(vertices(e), "hits-nodes")
+    the tolerance in all, then divided by their maxima. Unweighted. Held by one task, or by joins, as pagerank() is."""
+    keep = Rounds(edges)
+    e = keep.keep(edges.select("src", "dst"), "hits-edges")
+    if e.count() <= most_edges:
+        return held(e, lambda s, d: mutual(s, d, rounds, tolerance), f"node {e.schema['src'].dataType.simpleString()}, hub double, authority double")
+    v = keep.keep(vertices(e), "hits-nodes")
     n = v.count()
     s = v.select("node", F.lit(1.0 / math.sqrt(max(n, 1))).alias("hub"), F.lit(1.0 / math.sqrt(max(n, 1))).alias("authority"))
     for _ in range(rounds):
         a = e.join(s.select(F.col("node").alias("src"), "hub"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum("hub").alias("a"))
         h = e.join(s.select(F.col("node").alias("dst"), "authority"), "dst").groupBy(F.col("src").alias("node")).agg(F.sum("authority").alias("h"))
-        j = materialised(s.join(a, "node", "left").join(h, "node", "left").select("node", "hub", "authority", F.coalesce("a", F.lit(0.0)).alias("a"), F.coalesce("h", F.lit(0.0)).alias("h")), "hits")
+        j = keep.keep(s.join(a, "node", "left").join(h, "node", "left").select("node", "hub", "authority", F.coalesce("a", F.lit(0.0)).alias("a"), F.coalesce("h", F.lit(0.0)).alias("h")), "hits")
         z = j.agg(F.sqrt(F.sum(F.col("a") * F.col("a"))).alias("za"), F.sqrt(F.sum(F.col("h") * F.col("h"))).alias("zh")).first()
         za, zh = z.za or 1.0, z.zh or 1.0
         s = j.select("node", (F.col("h") / zh).alias("hub"), (F.col("a") / za).alias("authority"), (F.abs(F.col("h") / zh - F.col("hub"))).alias("dh"), F.abs(F.col("a") / za - F.col("authority")).alias("da"))
@@ -71,6 +134,7 @@ def hits(edges: DataFrame, rounds: int = 100, tolerance: float = 1e-10) -> DataF
         s = s.select("node", "hub", "authority")
         if d.dh is None or (d.dh < tolerance and d.da < tolerance):
             break
+    keep.end("hits", "hits-nodes")
     top = s.agg(F.max("hub").alias("mh"), F.max("authority").alias("ma"))
     out = s.crossJoin(F.broadcast(top))
     over = lambda x, m: F.when(F.col(m) > 0, F.col(x) / F.col(m)).otherwise(F.col(x))

@@ -1,100 +1,152 @@
-"""Communities of files: Louvain in one task for graphs that fit one, label propagation on DataFrames beyond, modularity."""
+"""Communities of files: Louvain's moves and contraction at every size, modularity, coupling.
+
+A level is a graph of weighted undirected edges, each vertex alone at first. A sweep goes through COLOURS classes of vertices,
+told by a hash of their ids; the vertices of a class move at once, each to the neighbouring community of the greatest gain in
+modularity, if that is over the gain of staying (to 12 places; equals: the least community). So few neighbours move together,
+and what comes out depends on nothing but the graph. Sweeps end when nothing moves; the communities are the next level's
+vertices, named by their least, until a level gains no modularity. Graphs of up to HELD_EDGES edges are held by one task; beyond,
+the same steps are joins and aggregates, with the same result.
+"""
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestrata.operators.graph import components
-from lodestrata.operators.ranking import materialised
-
-#: Edges of one component up to which Louvain runs on it in a task.
-LOUVAIN_EDGES = 2_000_000
-
-
-def louvain(src: np.ndarray, dst: np.ndarray, w: np.ndarray, sweeps: int = 20, levels: int = 10) -> tuple[np.ndarray, np.ndarray]:
-    """(nodes, community of each): undirected, parallel edges adding up, weights of 0 and less as 1. Vertices move in the order
-    of their ids to the neighbouring community of the greatest gain in modularity, if it is over that of staying; equals go to
-    the least community. Then communities become vertices, until nothing moves."""
-    nodes, inv = np.unique(np.concatenate([src, dst]), return_inverse=True)
-    a, b = inv[: len(src)], inv[len(src) :]
+from lodestrata.operators.centrality import HELD_EDGES
+from lodestrata.operators.ranking import Rounds
+
+COLOURS, SWEEPS, LEVELS = 8, 10, 12
+#: Of the hash of a vertex.
+_PRIME, _FACTOR = 1_000_003, 48_271
+_LEAST_GAIN = 1e-9
+
+
+def _best(u: np.ndarray, c: np.ndarray, l: np.ndarray, com: np.ndarray, k: np.ndarray, tot: np.ndarray) -> np.ndarray:
+    """Communities after the moves of the vertices that occur in u, from their links l to communities c (own ones among them).
+    All weights are shares of twice the total."""
+    gain = np.round(l - k[u] * (tot[c] - np.where(c == com[u], k[u], 0.0)), 12)
+    order = np.lexsort((c, -gain, u))
+    first = order[np.flatnonzero(np.append(True, np.diff(u[order]) != 0))]
+    stay = np.full(len(com), -np.inf)
+    own = c == com[u]
+    stay[u[own]] = gain[own]
+    out = com.copy()
+    up = first[gain[first] > stay[u[first]]]
+    out[u[up]] = c[up]
+    return out
+
+
+def louvain(src: np.ndarray, dst: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, community of each, named by its least node): parallel edges add up, weights of 0 and less count 1."""
+    nodes, at = np.unique(np.concatenate([src, dst]), return_inverse=True)
+    a, b = at[: len(src)], at[len(src) :]
     w = np.where(w > 0, w, 1.0)
-    member = np.arange(len(nodes))
-    for _ in range(levels):
-        n = member.max() + 1 if len(member) else 0
-        near: list[dict[int, float]] = [{} for _ in range(n)]
-        loops = np.zeros(n)
-        for x, y, c in zip(a.tolist(), b.tolist(), w.tolist()):
-            if x == y:
-                loops[x] += c
-            else:
-                near[x][y] = near[x].get(y, 0.0) + c
-                near[y][x] = near[y].get(x, 0.0) + c
-        deg = np.array([sum(d.values()) for d in near]) + 2 * loops
-        m2 = deg.sum()
-        if m2 == 0:
-            break
-        com, tot = list(range(n)), deg.tolist()
-        moved_any = False
-        for _ in range(sweeps):
+    w = w / (2 * w.sum())
+    member = np.arange(len(nodes))  # of each node its vertex, which is called by its least node's place
+    n, before = len(nodes), -np.inf
+    for _ in range(LEVELS):
+        lo, hi = np.minimum(a, b), np.maximum(a, b)
+        key, inv = np.unique(lo * n + hi, return_inverse=True)
+        a, b, w = key // n, key % n, np.bincount(inv, w)
+        k = np.bincount(a, w, minlength=n) + np.bincount(b, w, minlength=n)
+        x = a != b
+        u, v, l = np.concatenate([a[x], b[x]]), np.concatenate([b[x], a[x]]), np.concatenate([w[x], w[x]])
+        own = np.unique(np.concatenate([a, b]))
+        colour = np.mod(np.mod(nodes, _PRIME) * _FACTOR, _PRIME) % COLOURS
+        com = np.arange(n)
+        for _ in range(SWEEPS):
             moved = False
-            for v in range(n):
-                c0 = com[v]
-                to: dict[int, float] = {}
-                for u, c in near[v].items():
-                    to[com[u]] = to.get(com[u], 0.0) + c
-                tot[c0] -= deg[v]
-                stay = to.get(c0, 0.0) - tot[c0] * deg[v] / m2
-                best, where = stay, c0
-                for c in sorted(to):
-                    g = to[c] - tot[c] * deg[v] / m2
-                    if g > best + 1e-12:
-                        best, where = g, c
-                tot[where] += deg[v]
-                if where != c0:
-                    com[v], moved, moved_any = where, True, True
+            for step in range(COLOURS):
+                tot = np.bincount(com, k, minlength=n)
+                on = colour[u] == step
+                mine = own[colour[own] == step]
+                if not len(mine):
+                    continue
+                pair, inv = np.unique(np.concatenate([u[on] * n + com[v[on]], mine * n + com[mine]]), return_inverse=True)
+                sums = np.bincount(inv, np.concatenate([l[on], np.zeros(len(mine))]), minlength=len(pair))
+                new = _best(pair // n, pair % n, sums, com, k, tot)
+                moved |= bool((new != com).any())
+                com = new
+            if not moved:
+                break
+        inside = w[com[a] == com[b]].sum() * 2
+        tot = np.bincount(com, k, minlength=n)
+        q = inside - (tot * tot).sum()
+        if q <= before + _LEAST_GAIN:
+            break
+        before = q
+        least = np.full(n, n)
+        np.minimum.at(least, com[own], own)
+        name = least[com]
+        member, a, b = name[member], name[a], name[b]
+    return nodes, nodes[member]
+
+
+def communities(edges: DataFrame, most_edges: int = HELD_EDGES) -> DataFrame:
+    """GR9: (node, community), a community being named by its least node."""
+    keep = Rounds(edges)
+    e = keep.keep(edges.select("src", "dst", F.coalesce("weight", F.lit(1.0)).alias("weight")), "lv-edges")
+    if e.count() > most_edges:
+        return _by_joins(e, keep)
+
+    def run(it):
+        import pandas as pd
+
+        parts = [p for p in it if len(p)]
+        if parts:
+            d = pd.concat(parts)
+            nodes, com = louvain(d["src"].to_numpy(), d["dst"].to_numpy(), d["weight"].to_numpy(np.float64))
+            yield pd.DataFrame({"node": nodes, "community": com})
+
+    return e.repartition(1).mapInPandas(run, "node long, community long")
+
+
+def _by_joins(e: DataFrame, keep: Rounds) -> DataFrame:
+    w = F.when(F.col("weight") > 0, F.col("weight")).otherwise(1.0)
+    m = e.agg(F.sum(w)).first()[0]
+    if not m:
+        return e.select(F.col("src").alias("node"), F.col("src").alias("community"))
+    level = e.select("src", "dst", (w / (2 * m)).alias("w"))
+    member = keep.keep(e.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("community", F.col("node")), "lv-member")
+    before = float("-inf")
+    for _ in range(LEVELS):
+        g = level.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.sum("w").alias("w"))
+        g = keep.keep(g, "lv-level")
+        ends = F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v"), "w"), F.struct(F.col("b").alias("u"), F.col("a").alias("v"), "w"))).alias("x")
+        both = keep.keep(g.select(ends).select("x.*").repartition("u"), "lv-both")
+        links = both.filter("u != v")
+        colour = F.pmod(F.pmod("u", F.lit(_PRIME)) * _FACTOR, F.lit(_PRIME)) % COLOURS
+        com = keep.keep(both.groupBy("u").agg(F.sum("w").alias("k")).select("u", "k", colour.alias("colour"), F.col("u").alias("c")), "lv-com")
+        for _ in range(SWEEPS):
+            moved = 0
+            for step in range(COLOURS):
+                tot = com.groupBy("c").agg(F.sum("k").alias("tot"))
+                mine = com.filter(F.col("colour") == step).select("u", "k", F.col("c").alias("own"))
+                near = links.join(mine.select("u"), "u", "left_semi").join(com.select(F.col("u").alias("v"), "c"), "v").select("u", "c", "w")
+                near = near.unionByName(mine.select("u", F.col("own").alias("c"), F.lit(0.0).alias("w"))).groupBy("u", "c").agg(F.sum("w").alias("l"))
+                j = near.join(mine, "u").join(tot, "c")
+                gain = F.round(F.col("l") - F.col("k") * (F.col("tot") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0.0)), 12)
+                best = j.withColumn("gain", gain).groupBy("u").agg(F.min(F.struct((-F.col("gain")).alias("g"), "c")).alias("b"), F.max(F.when(F.col("c") == F.col("own"), F.col("gain"))).alias("stay"))
+                best = best.filter(-F.col("b.g") > F.col("stay")).select("u", F.col("b.c").alias("to"))
+                com = keep.keep(com.join(best, "u", "left").select("u", "k", "colour", F.coalesce("to", "c").alias("c"), F.col("to").isNotNull().alias("moved")), "lv-com")
+                moved += com.filter("moved").count()
+                com = com.drop("moved")
             if not moved:
                 break
-        if not moved_any:
+        names = com.groupBy("c").agg(F.min("u").alias("name"), F.sum("k").alias("tot"))
+        name = keep.keep(com.join(names, "c").select("u", "name"), "lv-name")
+        up = g.join(name.select(F.col("u").alias("a"), F.col("name").alias("src")), "a").join(name.select(F.col("u").alias("b"), F.col("name").alias("dst")), "b").select("src", "dst", "w")
+        level = keep.keep(up, "lv-up")
+        q = 2 * (level.filter("src = dst").agg(F.sum("w")).first()[0] or 0.0) - names.agg(F.sum(F.col("tot") * F.col("tot"))).first()[0]
+        if q <= before + _LEAST_GAIN:
             break
-        _, com = np.unique(com, return_inverse=True)
-        member = com[member]
-        a, b = com[a], com[b]
-    return nodes, member
-
-
-def communities(edges: DataFrame, most: int = LOUVAIN_EDGES) -> DataFrame:
-    """GR9: (node, community), a community being named by its least node. The order in which vertices move matters within a
-    connected component only, so each is a task's work; components of more than `most` edges go by label propagation."""
-    e = materialised(edges.select("src", "dst", F.coalesce("weight", F.lit(1.0)).alias("weight")), "louvain")
-    parts = components(e)
-    c = e.join(parts.select(F.col("node").alias("src"), "root"), "src", "left").withColumn("root", F.coalesce("root", F.col("src")))
-    c = materialised(c.withColumn("__k", F.count(F.lit(1)).over(W.partitionBy("root"))), "louvain-parts")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        nodes, com = louvain(pdf["src"].to_numpy(), pdf["dst"].to_numpy(), pdf["weight"].to_numpy())
-        least = pd.Series(nodes).groupby(com).transform("min")
-        return pd.DataFrame({"node": nodes, "community": least})
-
-    small = c.filter(F.col("__k") <= most).groupBy("root").applyInPandas(run, "node long, community long")
-    if c.filter(F.col("__k") > most).limit(1).count() == 0:
-        return small
-    return small.unionByName(label_propagation(c.filter(F.col("__k") > most)))
-
-
-def label_propagation(edges: DataFrame, rounds: int = 10) -> DataFrame:
-    """(node, community): each node takes, a round, the label of most weight around it (its own counting once; equals: the least)."""
-    e = edges.select("src", "dst", "weight")
-    both = materialised(e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")).filter("src != dst").groupBy("src", "dst").agg(F.sum("weight").alias("weight")), "lp-edges")
-    lab = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("label", F.col("node"))
-    for _ in range(rounds):
-        votes = both.join(lab.select(F.col("node").alias("dst"), "label"), "dst").select(F.col("src").alias("node"), "label", "weight").unionByName(lab.withColumn("weight", F.lit(1.0)))
-        sums = votes.groupBy("node", "label").agg(F.sum("weight").alias("weight"))
-        lab = materialised(sums.groupBy("node").agg(F.min(F.struct((-F.col("weight")).alias("x"), "label")).alias("b")).select("node", F.col("b.label").alias("label")), "lp")
-    return lab.select("node", F.col("label").alias("community"))
+        before = q
+        member = keep.keep(member.join(name.withColumnRenamed("u", "community"), "community").select("node", F.col("name").alias("community")), "lv-member")
+    keep.end("lv-member")
+    return member
 
 
 def modularity(edges: DataFrame, assigned: DataFrame, gamma: float = 1.0) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestrata.operators.ranking import materialised
+from lodestrata.operators.ranking import Rounds
 
+#: Edges of which a task holds all: 16 bytes each, and as much again for labels.
+HELD_EDGES = 5_000_000
 SOURCE_ROLES = ("caller", "importer", "source", "dependent", "member")
 TARGET_ROLES = ("callee", "imported", "target", "dependency", "container")
 
@@ -75,11 +78,13 @@ def bfs(edges: DataFrame, start: DataFrame, depth: int, directed_: bool = True)
     if not directed_:
         step = step.unionByName(step.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     step = step.distinct()
-    seen = materialised(start.select("node").distinct().withColumn("depth", F.lit(0)), "bfs")
+    rounds = Rounds(edges)
+    seen = rounds.keep(start.select("node").distinct().withColumn("depth", F.lit(0)), "bfs")
     for d in range(1, depth + 1):
         front = seen.filter(F.col("depth") == d - 1).select(F.col("node").alias("src"))
         new = step.join(front, "src").select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti")
-        seen = materialised(seen.unionByName(new.withColumn("depth", F.lit(d))), "bfs")
+        seen = rounds.keep(seen.unionByName(new.withColumn("depth", F.lit(d))), "bfs")
+    rounds.end("bfs")
     return seen
 
 
@@ -89,18 +94,48 @@ def neighborhood(edges: DataFrame, centers: DataFrame, hops: int) -> DataFrame:
     return bfs(edges, known, hops, directed_=False)
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root): connected components by large-star and small-star rounds, each written to the shared folder."""
-    e = materialised(edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).filter("u != v").distinct(), "cc")
+def least_of_each(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, the least of each one's component), by labels that fall along edges and are looked up at their own labels."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    lab = np.arange(len(nodes))
+    while True:
+        low = np.minimum(lab[a], lab[b])
+        new = lab.copy()
+        for x in (a, b, lab[a], lab[b]):
+            np.minimum.at(new, x, low)
+        new = new[new]
+        if (new == lab).all():
+            return nodes, nodes[lab]
+        lab = new
+
+
+def components(edges: DataFrame, most_edges: int = HELD_EDGES) -> DataFrame:
+    """(node, root), root being the component's least node; nodes on loops only are left out. Up to most_edges edges a task holds
+    all; beyond, large-star and small-star rounds, with the same result, each written to the shared folder. Least neighbours are
+    pre-aggregated and joined, so the root of a large component is nobody's single task."""
+    rounds = Rounds(edges)
+
+    def least(e: DataFrame) -> DataFrame:
+        return e.join(e.groupBy("u").agg(F.min("v").alias("m")).hint("shuffle_hash"), "u")
+
+    e = rounds.keep(edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).filter("u != v").distinct(), "cc")
+    if e.count() <= most_edges:
+
+        def run(it):
+            got = [[b.column(b.schema.get_field_index(c)).to_numpy() for c in ("u", "v")] for b in it if b.num_rows]
+            if got:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in least_of_each(*(np.concatenate(c) for c in zip(*got)))], names=["node", "root"])
+
+        return e.select(F.col("u").cast("long"), F.col("v").cast("long")).repartition(1).mapInArrow(run, "node long, root long")
     mark = None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = F.least(F.min("v").over(W.partitionBy("u")), F.col("u"))
-        large = both.withColumn("m", low).filter("v > u AND v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small = large.withColumn("m", F.min("v").over(W.partitionBy("u")))
-        small = small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").filter("u != v").distinct()
-        e = materialised(small, "cc")
+        large = least(both).filter("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
+        small = least(large).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").filter("u != v").distinct()
+        e = rounds.keep(small, "cc")
         got = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if got == mark:
+            rounds.end("cc")
             return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
         mark = got

@@ -17,9 +17,34 @@ def shared_dir(df: DataFrame) -> str:
 
 def materialised(df: DataFrame, what: str) -> DataFrame:
     """df written to the shared folder and read again: cuts lineage and survives the loss of executors."""
-    at = f"{shared_dir(df)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+    return Rounds(df).keep(df, what)
+
+
+class Rounds:
+    """Tables of a loop: keep() writes one and deletes the one of the same name of the round before last, which nothing reads any
+    more; what the loop returns stays."""
+
+    def __init__(self, df: DataFrame):
+        self.spark, self.at, self.had = df.sparkSession, shared_dir(df), {}
+
+    def keep(self, df: DataFrame, what: str) -> DataFrame:
+        at = f"{self.at}/{what}-{uuid.uuid4().hex}"
+        df.write.parquet(at)
+        had = self.had.setdefault(what, [])
+        had.append(at)
+        if len(had) > 2:
+            self.drop(had.pop(0))
+        return self.spark.read.schema(df.schema).parquet(at)
+
+    def drop(self, at: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def end(self, *but: str) -> None:
+        """Deletes all tables but the last of these names."""
+        for what, had in self.had.items():
+            for at in had[:-1] if what in but else had:
+                self.drop(at)
 
 
 def numbered(df: DataFrame, name: str, *order: Column) -> DataFrame:

@@ -12,8 +12,8 @@ def trend_class(slope: Column) -> Column:
 
 
 def trends(history: DataFrame, keep: int = 10) -> DataFrame:
-    """History (node, at, score): of each node's last `keep` scores, in order, the slope over their index (0 for one score), to 6
-    places, and its class."""
+    """History (node, at, score): of each node's last `keep` scores, in order, the slope over their index (0 for one score), its
+    class, and the latest score, to 4 places."""
     last = history.withColumn("back", F.row_number().over(W.partitionBy("node").orderBy(F.desc("at")))).filter(F.col("back") <= keep)
     g = last.groupBy("node").agg(
         F.coalesce(F.regr_slope("score", -F.col("back")), F.lit(0.0)).alias("slope"),
@@ -21,7 +21,7 @@ def trends(history: DataFrame, keep: int = 10) -> DataFrame:
         F.max_by("score", F.col("at")).alias("current_score"),
         F.transform(F.array_sort(F.collect_list(F.struct("at", "score"))), lambda x: x["score"]).alias("score_history"),
     )
-    return g.select("node", F.round("slope", 6).alias("slope"), trend_class(F.col("slope")).alias("trend"), "current_score", "score_history", "snapshots")
+    return g.select("node", F.round("slope", 4).alias("slope"), trend_class(F.col("slope")).alias("trend"), F.round("current_score", 4).alias("current_score"), "score_history", "snapshots")
 
 
 def difference(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
@@ -45,11 +45,18 @@ def definitions_diff(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def resolve_aliases(aliases: DataFrame, hops: int = 10) -> DataFrame:
-    """I8: aliases (old, new): each old name's last successor within so many hops. Pointer doubling: a few joins for many hops."""
-    at = aliases.select("old", "new", F.lit(1).alias("n"))
-    step = aliases.select(F.col("old").alias("new"), F.col("new").alias("to"))
-    for _ in range(hops - 1):
-        at = at.join(step, "new", "left").select("old", F.coalesce("to", "new").alias("new"), (F.col("n") + F.col("to").isNotNull().cast("int")).alias("n"))
+    """I8: aliases (old, new): each old name's last successor within so many hops. Pointer doubling: jumps of 1, 2, 4 ... hops
+    are joined with themselves, and those that the bits of `hops` name follow each other."""
+    def then(x: DataFrame, y: DataFrame) -> DataFrame:
+        y = y.select(F.col("old").alias("new"), F.col("new").alias("to"), F.col("n").alias("more"))
+        return x.join(y, "new", "left").select("old", F.coalesce("to", "new").alias("new"), (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"))
+
+    jump, at = aliases.select("old", "new", F.lit(1).alias("n")), None
+    while hops:
+        if hops & 1:
+            at = jump if at is None else then(at, jump)
+        hops >>= 1
+        jump = then(jump, jump) if hops else jump
     return at.select("old", F.col("new").alias("current"), F.col("n").alias("hops"))
 
 

@@ -40,7 +40,7 @@ def imports(spark: SparkSession, d: str) -> DataFrame:
     j = m.join(o, m.l_orderkey == o.o_orderkey).join(c, F.col("o_custkey") == c.c_custkey).join(s, F.col("l_suppkey") == s.s_suppkey)
     g = j.groupBy(F.col("c_nationkey").cast("long").alias("src"), F.col("s_nationkey").cast("long").alias("dst")).agg(F.count(F.lit(1)).alias("n"))
     top = g.agg(F.max("n").alias("top"))
-    # only relations over a tenth of the strongest, so that the graph isn't complete
+    # only relations over three tenths of the strongest, so that the graph isn't complete
     return g.crossJoin(F.broadcast(top)).filter("n * 10 > top * 3").select("src", "dst", F.round(F.col("n") / F.col("top"), 6).alias("weight"))
 
 

@@ -27,8 +27,9 @@ def random_edges(seed, n=25, m=70):
     return [(rng.randrange(n), rng.randrange(n), rng.random()) for _ in range(m)]
 
 
-def test_pagerank_against_numpy(spark, sf):
-    rows = [(r.src, r.dst) for r in calls(spark, sf).collect()]
+def test_pagerank_and_hits_held_and_by_joins(spark, sf):
+    e = calls(spark, sf)
+    rows = [(r.src, r.dst) for r in e.collect()]
     nodes = sorted({x for e in rows for x in e})
     at = {x: i for i, x in enumerate(nodes)}
     n = len(nodes)
@@ -37,10 +38,24 @@ def test_pagerank_against_numpy(spark, sf):
         m[at[d], at[s]] += 1
         out[at[s]] += 1
     p = np.full(n, 1 / n)
-    for _ in range(20):
+    for _ in range(6):
         p = 0.15 / n + 0.85 * (m @ np.divide(p, out, out=np.zeros(n), where=out > 0) + p[out == 0].sum() / n)
-    got = {r.node: r["rank"] for r in C.pagerank(calls(spark, sf), 20).collect()}
-    assert all(abs(got[x] - p[at[x]]) < 1e-9 for x in nodes)
+    for most in (10**6, 0):
+        got = {r.node: r["rank"] for r in C.pagerank(e, 6, most_edges=most).collect()}
+        assert set(got) == set(nodes) and all(abs(got[x] - p[at[x]]) < 1e-9 for x in nodes)
+    # the other rule: a round's sum over all pairs, then made 1
+    few = random_edges(8, 12, 25)
+    names = sorted({x for s, d, _ in few for x in (s, d)})
+    links, outs = {(s, d) for s, d, _ in few}, {x: sum(s == x for s, _, _ in few) for x in names}
+    q = {x: 1 / len(names) for x in names}
+    for _ in range(2):
+        new = {v: sum(sum(s == w and d == v for s, d, _ in few) * 0.85 * q[w] / outs[w] if (w, v) in links else (0.85 if not outs[w] else 0.15) * q[w] / len(names) for w in names) for v in names}
+        q = {x: y / sum(new.values()) for x, y in new.items()}
+    for most in (10**6, 0):
+        got = {r.node: r["rank"] for r in C.pagerank(spark.createDataFrame(few, EDGES), 2, rule="reference", most_edges=most).collect()}
+        assert all(abs(got[x] - q[x]) < 1e-9 for x in names)
+    one, two = ({r.node: (r.hub, r.authority) for r in C.hits(e, 3, most_edges=most).collect()} for most in (10**6, 0))
+    assert set(one) == set(two) == set(nodes) and all(abs(x - y) < 1e-9 for v in one for x, y in zip(one[v], two[v]))
 
 
 def test_betweenness_against_brute_force(spark):
@@ -75,14 +90,56 @@ def test_betweenness_against_brute_force(spark):
     assert set(got) == nodes and all(abs(got[x] - want[x] / top) < 1e-9 for x in nodes)
 
 
+def planted(seed, groups=5, size=10):
+    rng, rows = random.Random(seed), []
+    for c in range(groups):
+        for _ in range(6 * size):
+            rows.append((c * size + rng.randrange(size), c * size + rng.randrange(size), 1.0))
+        rows.append((c * size, (c + 1) % groups * size, 0.2))
+    return rows
+
+
+def q_of(rows, com):
+    m = sum(w for *_, w in rows)
+    deg = defaultdict(float)
+    for s, d, w in rows:
+        deg[com[s]] += w
+        deg[com[d]] += w
+    return sum(w for s, d, w in rows if com[s] == com[d]) / m - sum((x / 2 / m) ** 2 for x in deg.values())
+
+
+def greedy(rows):
+    """Vertices move one at a time, in order, until none moves: the first level of a sequential Louvain."""
+    com = {x: x for s, d, _ in rows for x in (s, d)}
+    for _ in range(10):
+        was = dict(com)
+        for v in sorted(com):
+            com[v] = max(sorted({com[x] for s, d, _ in rows if v in (s, d) for x in (s, d)}), key=lambda c: round(q_of(rows, com | {v: c}), 12))
+        if was == com:
+            return com
+    return com
+
+
 def test_louvain_finds_planted_communities(spark):
-    rng, rows = random.Random(1), []
-    for c in range(5):
-        for _ in range(60):
-            rows.append((c * 10 + rng.randrange(10), c * 10 + rng.randrange(10), 1.0))
-        rows.append((c * 10, (c + 1) % 5 * 10, 0.2))
+    rows = planted(1)
     got = {r.node: r.community for r in K.communities(spark.createDataFrame(rows, EDGES)).collect()}
     assert all(len({got[x] for x in got if x // 10 == c}) == 1 for c in range(5)) and len(set(got.values())) == 5
+    assert all(com == min(x for x in got if got[x] == com) for com in got.values())
+
+
+def test_louvain_is_no_worse_than_a_sequential_one(spark):
+    over = []
+    for seed in range(6):
+        rows = random_edges(seed, 30, 60)
+        nodes, com = K.louvain(*(np.array(c) for c in zip(*rows)))
+        over.append(q_of(rows, dict(zip(nodes.tolist(), com.tolist()))) / q_of(rows, greedy(rows)))
+    assert min(over) > 0.9 and sum(over) >= len(over)
+
+
+def test_louvain_by_joins_gives_the_same(spark):
+    rows = [(s * 7 - 100, d * 7 - 100, w) for s, d, w in planted(2, 2, 4)] + [(s + 10**12, d + 10**12, w) for s, d, w in random_edges(9, 5, 8)]
+    one, two = ({r.node: r.community for r in K.communities(spark.createDataFrame(rows, EDGES), most_edges=most).collect()} for most in (10**6, 0))
+    assert one == two
 
 
 def test_components_against_union_find(spark):
@@ -97,8 +154,9 @@ def test_components_against_union_find(spark):
     for s, d, _ in rows:
         a, b = find(s), find(d)
         root[max(a, b)] = min(a, b)
-    got = {r.node: r.root for r in G.components(spark.createDataFrame(rows, EDGES)).collect()}
-    assert got == {x: find(x) for s, d, _ in rows if s != d for x in (s, d)}
+    for most in (10**6, 0):
+        got = {r.node: r.root for r in G.components(spark.createDataFrame(rows, EDGES), most).collect()}
+        assert got == {x: find(x) for s, d, _ in rows if s != d for x in (s, d)}
 
 
 def test_cochange_groups(spark):
