@@ -22,6 +22,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def has_table(spark: SparkSession, sf_dir: str, name: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, set here only where it is unset (tests on one machine)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
@@ -43,7 +48,10 @@ def stored(df: DataFrame, what: str) -> DataFrame:
 
 def local_path(uri: str) -> str:
     """A shared folder's path for Python's own file calls; the folder has to be mounted on every machine."""
-    return uri.removeprefix("file://").removeprefix("file:") if uri.startswith("file:") else uri
+    path = uri.removeprefix("file://").removeprefix("file:") if uri.startswith("file:") else uri
+    if "://" in path or not path.startswith("/"):
+        raise ValueError(f"files that are mapped into memory need a mounted folder as spark.checkpoint.dir, not {uri}")
+    return path
 
 
 class WordHashes(dict):

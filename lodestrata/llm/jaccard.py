@@ -2,16 +2,18 @@
 
 Each text becomes the set of its word n-grams (folded; a text of fewer words is one n-gram). Bands and rows are chosen for
 the wanted recall at the threshold (common.bands_for). What is shuffled on the way to candidates are band hashes with an id;
-what verifies them are the full sets of hashed n-grams, sent once for each centre that a text is compared with.
+what verifies them are the full sets of n-grams, hashed to 32 bits.
 
-Every pair is compared, however large a group: no cap. Texts with the same set form one class, which is compared once and
-put in place of its members at the end, each with each. In a band's bucket all pairs of classes are candidates; large buckets
-are cut into blocks, and a pair of blocks is a row's work. For the comparison, classes that fall into buckets together are
-numbered in blocks too, and a set is sent once to each pair of blocks in which it has a candidate, not once a pair. What is
-listed grows with the square of a group, as the result does.
+Texts with the same set form one class of equals, which is compared once: each task makes the bands of an equal set once, so
+that copies are folded before the first shuffle. All pairs of the classes that share a bucket are candidates, with no cap:
+large buckets are cut into blocks by a hash of their members, and a pair of blocks is a row's work, so no bucket, however
+large, is in one task. For the comparison, classes that fall into buckets together are put into blocks too, and a set is sent
+once to each pair of blocks in which it has a candidate, not once a pair.
 
-near_pairs(every=False) lists a skeleton only: in large buckets each class with the bucket's first and its predecessor, and
-members of a class with its least id. Neither the query nor the pipeline uses it.
+Results: near_pairs() has the verified pairs of classes by their least ids, and each other member with its class's least id.
+near_documents() has one row for each document that is alike to another: doc_id; class_id, the least id that it hangs together
+with by links; and links, the number of other documents that are alike to it (for an id with several texts, the sum over its
+different texts, its own others among them). Equal texts are counted, not listed as pairs. A document without a row is a class of its own, with no links.
 
 Defined results: a null, empty or wordless text has no set and no partner; a null id is left out; rows that repeat an id
 count as one document, whose likeness to another is that of its most alike row; pairs come once, the lesser id first;
@@ -23,18 +25,17 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.llm.common import U64, WordHashes, arrow_schema, bands_for, batches, fresh, kgrams, pick, read_table, ship, signed, stored
 from lodestrata.llm.passages import SENT
+from lodestrata.operators.graph import components
 
 N = 3
 THRESHOLD = 0.6
 RECALL = 0.95
 MOST_HASHES = 128
-ALL_PAIRS = 9
 #: Classes in a block.
 BLOCK = 128
 _P = (U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F))
@@ -67,61 +68,65 @@ def signatures(sets: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
     return out
 
 
-def sign(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
-    ddl = "doc_id long,set_hash long,bands array<long>"
+def sign(docs: DataFrame, n: int, bands: int, rows: int, most: int = 500_000) -> DataFrame:
+    """(doc_id, node, bands) of each text that has a set; node is its set's hash. A task makes the bands of an equal set once
+    (twice, if it has met `most` others between), and leaves them null for the copies."""
+    ddl = "doc_id long,node long,bands array<long>"
     schema = arrow_schema(ddl)
 
     def run(it):
-        words = WordHashes(fold=True)
+        words, seen = WordHashes(fold=True), set()
         for ids, texts in batches(it, "doc_id", "text"):
             for i in range(0, len(ids), 256):
-                got = [(d, s) for d, t in zip(ids[i : i + 256], texts[i : i + 256]) if d is not None and len(s := gram_set(t, n, words))]
-                if got:
-                    sig = signed(signatures([s for _, s in got], bands, rows).reshape(-1))
-                    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(sig) + 1, bands), pa.int32()), pa.array(sig))
-                    hashes = np.array([set_hash(s) for _, s in got], np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in got], pa.int64()), pa.array(hashes), lists], schema=schema)
+                got = [(d, s, set_hash(s)) for d, t in zip(ids[i : i + 256], texts[i : i + 256]) if d is not None and len(s := gram_set(t, n, words))]
+                if not got:
+                    continue
+                if len(seen) > most:
+                    seen.clear()
+                new = {}
+                for _, s, h in got:
+                    if h not in seen and h not in new:
+                        new[h] = s
+                seen.update(new)
+                lists = pa.array([None] * len(got), schema.field("bands").type)
+                if new:
+                    sig = signed(signatures(list(new.values()), bands, rows).reshape(-1))
+                    made = pa.ListArray.from_arrays(pa.array(np.arange(0, len(sig) + 1, bands), pa.int32()), pa.array(sig))
+                    nth = {h: k for k, h in enumerate(new)}
+                    lists = made.take(pa.array([nth.pop(h, None) for _, _, h in got], pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array([d for d, _, _ in got], pa.int64()), pa.array([h for _, _, h in got], pa.int64()), lists], schema=schema)
 
     return pick(docs, "doc_id", "text").mapInArrow(run, ddl)
 
 
+def part_of(x: Column, size: Column) -> Column:
+    """One of the blocks, of BLOCK members each on the whole, that a group of this size is cut into."""
+    return F.pmod(F.xxhash64(x), F.ceil(size / BLOCK)).cast("int")
+
+
 def buckets(classes: DataFrame) -> DataFrame:
     """(h, size, me) for the classes in buckets of two or more, from (rep, node, bands). me is rep, node and home, the block of
-    classes that a class is numbered in: those that meet the same first class are numbered together."""
-    key = W.partitionBy("h")
-    b = classes.select("rep", "node", F.explode("bands").alias("h")).withColumn("size", F.count(F.lit(1)).over(key)).filter("size > 1")
-    b = stored(b.withColumn("first", F.first("node").over(key.orderBy("rep", "node"))), "buckets")
-    home = b.groupBy("rep", "node").agg(F.min("first").alias("loc"))
-    home = home.withColumn("blk", F.floor((F.row_number().over(W.partitionBy("loc").orderBy("rep", "node")) - 1) / BLOCK))
-    home = home.withColumn("home", F.min("node").over(W.partitionBy("loc", "blk"))).select("node", "home")
-    return b.hint("shuffle_hash").join(home, "node").select("h", "size", F.struct("rep", "node", "home").alias("me"))
-
-
-def all_pairs(groups: DataFrame) -> DataFrame:
-    """(a, b) with a < b for each two of (h, size, me) with the same h; blocks of members meet, so no group is one task's work."""
-    nth = F.row_number().over(W.partitionBy("h").orderBy("me")) - 1
-    block = groups.withColumn("blk", F.floor(nth / BLOCK).cast("int")).withColumn("last", F.floor((F.col("size") - 1) / BLOCK).cast("int"))
-    block = block.groupBy("h", "blk", "last").agg(F.collect_list("me").alias("all"))
-    block = block.select("h", "blk", "all", F.explode(F.sequence(F.lit(0), "last")).alias("x")).withColumn("i", F.least("blk", "x")).withColumn("j", F.greatest("blk", "x"))
-    met = block.groupBy("h", "i", "j").agg(*[F.first(F.when(F.col("blk") == F.col(c), F.col("all")), ignorenulls=True).alias(f"all_{c}") for c in ("i", "j")])
-    return met.select(F.explode("all_i").alias("a"), "all_j").select("a", F.explode("all_j").alias("b")).filter("a < b")
-
-
-def candidates(classes: DataFrame, every: bool) -> DataFrame:
-    """(a, b) with a < b, from (rep, node, bands): each once."""
-    found = stored(buckets(classes), "members")
-    order = W.partitionBy("h").orderBy("me")
-    small = found if not every else found.filter(F.col("size") <= ALL_PAIRS)
-    small = small.withColumn("first", F.first("me").over(order))
-    for j in range(1, ALL_PAIRS):
-        small = small.withColumn(f"p{j}", F.lag("me", j).over(order))
-    to = F.array(*[f"p{j}" for j in range(1, ALL_PAIRS)])
-    if not every:
-        to = F.when(F.col("size") <= ALL_PAIRS, to).otherwise(F.array("first", "p1"))
-    pairs = small.select(F.explode(F.array_distinct(to)).alias("a"), F.col("me").alias("b")).filter("a < b")
-    if every:
-        pairs = pairs.unionByName(all_pairs(found.filter(F.col("size") > ALL_PAIRS)))
-    return pairs.distinct()
+    classes that a class is compared in: those that meet the same first class are put into blocks together."""
+    b = classes.select("rep", "node", F.explode("bands").alias("h"))
+    met = b.groupBy("h").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("first")).filter("size > 1")
+    b = stored(b.join(met.hint("shuffle_hash"), "h"), "buckets")
+    home = b.groupBy("node").agg(F.min("first").alias("loc"))
+    sizes = home.groupBy("loc").agg(F.count(F.lit(1)).alias("many"))
+    home = home.join(sizes.hint("shuffle_hash"), "loc").select("node", F.xxhash64("loc", part_of(F.col("node"), F.col("many"))).alias("home"))
+    return b.join(home.hint("shuffle_hash"), "node").select("h", "size", F.struct("rep", "node", "home").alias("me"))
+
+
+def candidates(classes: DataFrame) -> DataFrame:
+    """(a, b) with a < b for each two classes that share a bucket, from (rep, node, bands): each once."""
+    blocks = buckets(classes).withColumn("blk", part_of(F.col("me.node"), F.col("size"))).groupBy("h", "blk", "size").agg(F.collect_list("me").alias("all"))
+    own = blocks.select("all", F.posexplode("all").alias("at", "a")).select("a", F.explode(F.expr("slice(all, at + 2, size(all))")).alias("b"))
+    # blocks of a large bucket meet two by two
+    last = (F.ceil(F.col("size") / BLOCK) - 1).cast("int")
+    large = blocks.filter(F.col("size") > BLOCK).select("h", "blk", "all", F.explode(F.sequence(F.lit(0), last)).alias("x")).filter("x != blk")
+    large = large.select("h", F.least("blk", "x").alias("i"), F.greatest("blk", "x").alias("j"), "blk", "all").groupBy("h", "i", "j")
+    both = large.agg(*[F.first(F.when(F.col("blk") == F.col(c), F.col("all")), ignorenulls=True).alias(f"all_{c}") for c in ("i", "j")])
+    both = both.filter("all_i IS NOT NULL AND all_j IS NOT NULL").select(F.explode("all_i").alias("a"), "all_j").select("a", F.explode("all_j").alias("b"))
+    return own.unionByName(both).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def verified(docs: DataFrame, pairs: DataFrame, n: int, threshold: float) -> DataFrame:
@@ -186,72 +191,57 @@ def verified(docs: DataFrame, pairs: DataFrame, n: int, threshold: float) -> Dat
     return sent.repartition("home_a", "home_b").sortWithinPartitions("home_a", "home_b", F.asc_nulls_first("node_b")).mapInArrow(compare, out_ddl)
 
 
-def near_classes(docs: DataFrame, n: int, threshold: float, recall: float, every: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(node, rep, doc_id, size) of the classes of equal sets, and (node_a, node_b, jaccard) of classes that are alike."""
+def near_classes(docs: DataFrame, n: int, threshold: float, recall: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(node, doc_id) of the members of classes of equal sets, (node, rep, size) of the classes, and (rep_a, size_a, rep_b,
+    size_b, node_a, node_b, jaccard) of classes that are alike."""
     bands, rows = bands_for(threshold, recall, MOST_HASHES)
-    w = W.partitionBy("set_hash").orderBy("doc_id")
-    s = sign(docs, n, bands, rows).withColumn("rep", F.first("doc_id").over(w)).withColumn("nth", F.row_number().over(w)).withColumn("size", F.count(F.lit(1)).over(W.partitionBy("set_hash")))
-    s = stored(s.select(F.col("set_hash").alias("node"), "rep", "doc_id", "size", F.when(F.col("nth") == 1, F.col("bands")).alias("bands")), "signatures")
-    pairs = stored(candidates(s.filter("bands IS NOT NULL").select("rep", "node", "bands"), every), "candidates")
-    return s.drop("bands"), verified(docs, pairs, n, threshold)
-
-
-def links(classes: DataFrame, near: DataFrame) -> DataFrame:
-    """(doc_a, doc_b, jaccard): members of a class with its least id, and the least ids of classes that are alike."""
-    reps = classes.select("node", "rep").distinct()
-    same = classes.filter("doc_id != rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"), F.lit(1.0).alias("jaccard"))
-    for c in ("a", "b"):
-        near = near.hint("shuffle_hash").join(reps.select(F.col("node").alias(f"node_{c}"), F.col("rep").alias(c)), f"node_{c}")
-    return once(same.unionByName(near.select("a", "b", "jaccard")))
-
-
-def once(pairs: DataFrame) -> DataFrame:
-    got = pairs.filter("a != b").select(F.least("a", "b").alias("doc_a"), F.greatest("a", "b").alias("doc_b"), "jaccard")
-    return got.groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
-
-
-def near_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, every: bool = False) -> DataFrame:
-    """doc_a, doc_b, jaccard: pairs of documents at or above the threshold, every one or a skeleton (see the module's text)."""
-    classes, near = near_classes(docs, n, threshold, recall, every)
-    if not every:
-        return links(classes, near)
-    near = stored(near, "near")
-    many = classes.filter("size > 1").select("node", "doc_id", "size")
-    same = all_pairs(many.select(F.col("node").alias("h"), "size", F.col("doc_id").alias("me"))).withColumn("jaccard", F.lit(1.0))
-    # each class by its members; most have one only
-    ids = classes.select("node", "doc_id")
+    s = stored(sign(docs, n, bands, rows), "signatures")
+    members = s.select("node", "doc_id").distinct()
+    classes = members.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size"))
+    made = s.filter("bands IS NOT NULL").groupBy("node").agg(F.first("bands").alias("bands"))
+    classes = stored(classes.join(made.hint("shuffle_hash"), "node"), "classes")
+    pairs = stored(candidates(classes.select("rep", "node", "bands")), "candidates")
+    near = verified(docs, pairs, n, threshold)
+    known = classes.select("node", "rep", "size")
     for c in ("a", "b"):
-        near = near.hint("shuffle_hash").join(ids.select(F.col("node").alias(f"node_{c}"), F.col("doc_id").alias(c)), f"node_{c}")
-    return once(same.unionByName(near.select("a", "b", "jaccard")))
-
-
-def components(edges: DataFrame, a: str = "doc_a", b: str = "doc_b") -> DataFrame:
-    """(doc_id, root) for every id in an edge, root being its component's least id: large-star and small-star rounds, each
-    written to the shared folder, until the edges stay the same. The number of rounds grows with the logarithm of the size."""
-    e = stored(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u != v").distinct(), "edges")
-    mark = None
-    while True:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        m = F.least(F.min("v").over(W.partitionBy("u")), F.col("u"))
-        large = both.withColumn("m", m).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
-        m = F.min("v").over(W.partitionBy("u"))
-        small = large.withColumn("m", m)
-        small = small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").filter("u != v").distinct()
-        e = stored(small, "edges")
-        got = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if got == mark:
-            return e.groupBy(F.col("u").alias("doc_id")).agg(F.min("v").alias("root")).unionByName(e.select(F.col("v").alias("doc_id"), F.col("v").alias("root")).distinct())
-        mark = got
+        near = near.hint("shuffle_hash").join(known.select(*[F.col(x).alias(f"{x}_{c}") for x in known.columns]), f"node_{c}")
+    return members, known, stored(near, "near")
+
+
+def near_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """doc_a, doc_b, jaccard: all pairs of different texts at or above the threshold, by the least ids that hold them, and
+    each other holder of a text with its least one."""
+    members, classes, near = near_classes(docs, n, threshold, recall)
+    same = members.join(classes.filter("size > 1").hint("shuffle_hash"), "node").filter("doc_id != rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"), F.lit(1.0).alias("jaccard"))
+    both = same.unionByName(near.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"), "jaccard")).filter("a != b")
+    return both.select(F.least("a", "b").alias("doc_a"), F.greatest("a", "b").alias("doc_b"), "jaccard").groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
+
+
+def near_documents(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """doc_id, class_id, links of every document that is alike to another one (see the module's text)."""
+    members, classes, near = near_classes(docs, n, threshold, recall)
+    edges = near.select(F.col("rep_a").alias("doc_a"), F.col("rep_b").alias("doc_b"))
+    # an id with several texts holds their classes together
+    many = members.join(classes.hint("shuffle_hash"), "node").select("doc_id", "rep")
+    first = many.groupBy("doc_id").agg(F.min("rep").alias("doc_a"), F.max("rep").alias("last"), F.min("rep").alias("least")).filter("last != least").select("doc_id", "doc_a")
+    edges = edges.unionByName(many.join(first.hint("shuffle_hash"), "doc_id").select("doc_a", F.col("rep").alias("doc_b")))
+    roots = components(edges.select(F.col("doc_a").alias("src"), F.col("doc_b").alias("dst"))).select(F.col("node").alias("rep"), "root")
+    others = near.select(F.col("node_a").alias("node"), F.col("size_b").alias("k")).unionByName(near.select(F.col("node_b").alias("node"), F.col("size_a").alias("k")))
+    others = others.groupBy("node").agg(F.sum("k").alias("others"))
+    known = classes.join(others.hint("shuffle_hash"), "node", "left").join(roots.hint("shuffle_hash"), "rep", "left")
+    known = known.select("node", F.coalesce("root", "rep").alias("class_id"), (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("links")).filter("links > 0")
+    got = members.join(known.hint("shuffle_hash"), "node").groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.sum("links").alias("links"))
+    return got.select("doc_id", "class_id", "links")
 
 
 def one_of_each(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """docs without those that have a near copy of a lesser id: one document of each group stays. Rows without an id or
     without words stay; rows that repeat an id stay or go together."""
     gone = fresh(docs, "gone")
-    out = stored(components(links(*near_classes(docs, n, threshold, recall))).filter("doc_id != root").select(F.col("doc_id").alias(gone)), "gone")
-    return docs.join(out.hint("shuffle_hash"), F.col("doc_id") == F.col(gone), "left_anti")
+    out = stored(near_documents(docs, n, threshold, recall).filter("doc_id != class_id").select(F.col("doc_id").alias(gone)), "gone")
+    return docs.join(out.hint("shuffle_hash"), docs["doc_id"] == F.col(gone), "left_anti")
 
 
 def op7_near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
-    return near_pairs(read_table(spark, sf_dir, "documents"), every=True)
+    return near_documents(read_table(spark, sf_dir, "documents"))
