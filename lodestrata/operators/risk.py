@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestrata.functions.text import directory, is_test_file, mentions_test
+from lodestrata.operators.guide import cluster_name
 
 #: Reason, its part of the score, and what is advised for it.
 REASONS = {
@@ -143,13 +144,12 @@ def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def cluster_labels(members: DataFrame) -> DataFrame:
-    """Members (community, file): each community's commonest directory (ties by name) in title case; those of one label
-    as one, with their files."""
-    d = members.select("community", "file", directory(F.col("file")).alias("dir"))
-    n = d.groupBy("community", "dir").agg(F.count(F.lit(1)).alias("n"))
-    top = n.withColumn("r", F.row_number().over(W.partitionBy("community").orderBy(F.desc("n"), "dir"))).filter("r = 1")
-    last = F.element_at(F.split("dir", "/"), -1)
-    label = top.select("community", F.when(last == "", "Root").otherwise(F.initcap(F.regexp_replace(last, "[_-]+", " "))).alias("label"))
+    """Members (community, file): each community by what its commonest directory (ties by name; files at the root don't
+    count) means; those of one label as one, with their files."""
+    d = members.select("community", directory(F.col("file")).alias("dir"), F.contains("file", F.lit("/")).alias("inner"))
+    n = d.groupBy("community", F.when(F.col("inner"), F.col("dir")).alias("dir")).agg(F.count(F.lit(1)).alias("n"))
+    top = n.groupBy("community").agg(F.min(F.when(F.col("dir").isNotNull(), F.struct((-F.col("n")).alias("n"), "dir")))["dir"].alias("dir"))
+    label = top.select("community", cluster_name(F.coalesce("dir", F.lit(""))).alias("label"))
     return members.join(label, "community").groupBy("label").agg(F.array_sort(F.collect_set("community")).alias("communities"), F.array_sort(F.collect_list("file")).alias("files"))
 
 

@@ -137,20 +137,3 @@ def w3(spark, d):
 def j8(spark, d):
     o, c = table(spark, d, "orders"), table(spark, d, "customer").filter("c_acctbal > 0")
     return o.join(c, o.o_custkey == c.c_custkey, "left").select(F.col("o_orderkey").alias("commit"), F.col("c_name").alias("author"))
-
-
-@register("r12_module_change_profile", with_(MODIFIES) + f""", b AS ({BUS.replace("WITH RECURSIVE " + MODIFIES, "WITH " + MODIFIES)}), t AS (SELECT file, count(*) AS total FROM m GROUP BY file)
-SELECT n_name AS module, count(*) AS files, CAST(sum(total) AS BIGINT) AS changes, CAST(sum(total) // count(*) AS BIGINT) AS mean_changes, min(bus_factor) AS min_bus_factor FROM t JOIN b USING (file) JOIN supplier ON s_suppkey = file JOIN nation ON n_nationkey = s_nationkey GROUP BY n_name""")
-def r12(spark, d):
-    m = modifies(spark, d)
-    t = m.groupBy("file").agg(F.count(F.lit(1)).alias("total"))
-    s, n = table(spark, d, "supplier"), table(spark, d, "nation")
-    j = t.join(B.contributor_concentration(m), "file").join(s, F.col("file") == s.s_suppkey).join(n, s.s_nationkey == n.n_nationkey)
-    return j.groupBy(F.col("n_name").alias("module")).agg(F.count(F.lit(1)).alias("files"), F.sum("total").alias("changes"), F.expr("sum(total) div count(1)").alias("mean_changes"), F.min("bus_factor").alias("min_bus_factor"))
-
-
-@register("a27_module_map", "SELECT r_name AS module, count(DISTINCT n_nationkey) AS submodules, count(*) AS files, count_if(s_acctbal > 5000) AS large FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
-def a27(spark, d):
-    s, n, r = (table(spark, d, t) for t in ("supplier", "nation", "region"))
-    j = s.join(n, s.s_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
-    return j.groupBy(F.col("r_name").alias("module")).agg(F.countDistinct("n_nationkey").alias("submodules"), F.count(F.lit(1)).alias("files"), F.count_if(F.col("s_acctbal") > 5000).alias("large"))

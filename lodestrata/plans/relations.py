@@ -190,19 +190,6 @@ def a23(spark, d):
     return R.import_projection(r).select("src", "dst", F.array_join("symbols", ",").alias("symbols"), "confidence")
 
 
-@register("a25_cluster_labels", "WITH m AS (SELECT p_size AS community, 'src/' || lower(p_type) || '/' || p_partkey || '.go' AS file, lower(p_type) AS dir FROM part), n AS (SELECT community, dir, row_number() OVER (PARTITION BY community ORDER BY count(*) DESC, 'src/' || dir) AS r FROM m GROUP BY community, dir), l AS (SELECT community, dir FROM n WHERE r = 1) SELECT l.dir AS label, count(DISTINCT m.community) AS communities, count(*) AS files FROM m JOIN l USING (community) GROUP BY l.dir")
-def a25(spark, d):
-    p = table(spark, d, "part")
-    m = p.select(F.col("p_size").alias("community"), F.concat(F.lit("src/"), F.lower("p_type"), F.lit("/"), F.col("p_partkey").cast("string"), F.lit(".go")).alias("file"))
-    return R.cluster_labels(m).select(F.lower("label").alias("label"), F.size("communities").cast("long").alias("communities"), F.size("files").cast("long").alias("files"))
-
-
-@register("a28_topology_counts", "SELECT count_if(k = 0) AS added, count_if(k = 1) AS modified, count_if(k = 2) AS deleted, count_if(k = 3) AS renamed FROM (SELECT p_partkey % 4 AS k FROM part WHERE p_size > 10)")
-def a28(spark, d):
-    k = F.col("p_partkey") % 4
-    return table(spark, d, "part").filter("p_size > 10").agg(*[F.count_if(k == i).alias(n) for i, n in enumerate(("added", "modified", "deleted", "renamed"))])
-
-
 @register("k2_top_missing_as_zero", with_(NODES) + "SELECT id, name, coalesce(score, 0) AS score FROM nd WHERE kind <> 'Contributor' ORDER BY coalesce(score, 0) DESC, name LIMIT 30")
 def k2(spark, d):
     n = nodes(spark, d).filter("kind != 'Contributor'")
@@ -285,19 +272,16 @@ def r7(spark, d):
     return sessions.correction_hotspots(u).filter("is_confusion_zone").select("file", F.col("correction_rate").alias("rate")).orderBy(F.desc("rate"), "file").limit(10)
 
 
-@register("r10_key_entities", "SELECT module, name, score FROM (SELECT s_nationkey AS module, s_name AS name, s_acctbal AS score, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_name) AS r FROM supplier WHERE s_acctbal > 0) WHERE r <= 20")
-def r10(spark, d):
-    s = table(spark, d, "supplier").filter("s_acctbal > 0").withColumn("r", F.row_number().over(W.partitionBy("s_nationkey").orderBy(F.desc("s_acctbal"), "s_name")))
-    return s.filter("r <= 20").select(F.col("s_nationkey").alias("module"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("score"))
-
-
-@register("r16_skills", "WITH f AS (SELECT l_orderkey AS s, list_sort(list(DISTINCT l_suppkey % 6)) AS files FROM lineitem GROUP BY 1), p AS (SELECT files, count(*) AS frequency FROM f GROUP BY files HAVING count(*) >= 2) SELECT array_to_string(files, ',') AS files, frequency, 'task' AS kind FROM p")
+@register("r16_skills", """WITH f AS (SELECT l_orderkey AS s, list_sort(list(DISTINCT l_suppkey % 6)) AS files FROM lineitem GROUP BY 1), p AS (SELECT files, count(*) AS frequency FROM f GROUP BY files HAVING count(*) >= 2),
+g AS (SELECT n_regionkey AS g, list_sort(list(DISTINCT CAST(n_nationkey * 3 % 10 AS BIGINT))) AS files, count(*) + n_regionkey AS frequency FROM nation GROUP BY n_regionkey),
+k AS (SELECT * FROM g WHERE len(files) >= 3 AND frequency >= 3 AND NOT EXISTS (SELECT 1 FROM p WHERE len(list_intersect(p.files, g.files)) >= len(g.files) // 2 AND len(list_intersect(p.files, g.files)) > 0))
+SELECT array_to_string(files, ',') AS files, frequency, 'task' AS kind FROM p UNION ALL SELECT array_to_string(files, ','), frequency, 'co_change' FROM k""")
 def r16(spark, d):
     from lodestrata.operators import sessions
 
     r = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("session"), (F.col("l_suppkey") % 6).alias("file"), F.lit(True).alias("modified"))
-    none = spark.createDataFrame([], "members array<bigint>, arity int, co_occurrences bigint")
-    return R.skills(sessions.task_patterns(r), none).select(F.array_join("files", ",").alias("files"), "frequency", "kind")
+    g = table(spark, d, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_set((F.col("n_nationkey") * 3 % 10).cast("long"))).alias("members"), (F.count(F.lit(1)) + F.col("n_regionkey")).alias("co_occurrences"))
+    return R.skills(sessions.task_patterns(r), g.select("members", F.size("members").alias("arity"), "co_occurrences")).select(F.array_join("files", ",").alias("files"), "frequency", "kind")
 
 
 @register("src18_references", "SELECT p_partkey, count(*) AS n FROM (SELECT DISTINCT p_partkey, unnest(['src/' || p_size || '.go', 'lib/b' || (p_size % 7) || '.py', 'a/c.md']) AS t FROM part) GROUP BY p_partkey")

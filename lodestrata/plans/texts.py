@@ -242,9 +242,3 @@ def user_sessions(spark, d):
     e = table(spark, d, "events").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
     e = e.withColumn("new", F.when(F.col("us") - F.lag("us").over(w) <= 12 * 3_600_000_000, 0).otherwise(1)).withColumn("sid", F.sum("new").over(w))
     return e.groupBy("user_id", "sid").agg(F.count(F.lit(1)).alias("n"), (F.max("us") - F.min("us")).alias("length_us"))
-
-
-@register("w7_recent_labels", with_(MODIFIES) + "SELECT * FROM (SELECT file, commit, CAST(row_number() OVER (PARTITION BY file ORDER BY ts DESC, commit DESC) AS INT) AS rank FROM (SELECT DISTINCT file, commit, ts FROM m)) WHERE rank <= 5")
-def w7(spark, d):
-    m = modifies(spark, d).select("file", "commit", "ts").distinct()
-    return m.withColumn("rank", F.row_number().over(W.partitionBy("file").orderBy(F.desc("ts"), F.desc("commit")))).filter("rank <= 5").select("file", "commit", "rank")

@@ -81,11 +81,16 @@ def report(title: str, parts: dict[str, DataFrame], k: int = 20) -> str:
     return f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{e(title)}</title></head><body><h1>{e(title)}</h1>{''.join(body)}</body></html>"
 
 
-def risk_map_json(risks: DataFrame, commit: str | None, k: int = 1000) -> str:
-    """SNK9: the k riskiest files and how many are safe."""
-    top = risks.filter("score > 0").orderBy(F.desc("score"), "file").limit(k).select(F.to_json(F.struct("file", "level", "score", "reasons", "recommendations")).alias("j")).collect()
-    safe = risks.filter("score = 0").count()
-    return json.dumps({"version": 1, "generated_at": datetime.now(timezone.utc).isoformat(), "commit": commit, "risk_areas": [json.loads(r.j) for r in top], "safe_areas": safe}, indent=1)
+def risk_map_json(risks: DataFrame, commit: str | None) -> str:
+    """SNK9: all files at risk, the riskiest first, and those that are safe: a row a file of one work tree, brought here part by part."""
+    rows = risks.orderBy(F.desc("score"), "file").select("score", "file", F.to_json(F.struct("file", "level", "score", "reasons", "recommendations")).alias("j"))
+    areas, safe = [], []
+    for r in rows.toLocalIterator():
+        if r.score > 0:
+            areas.append(json.loads(r.j))
+        else:
+            safe.append(r.file)
+    return json.dumps({"version": 1, "generated_at": datetime.now(timezone.utc).isoformat(), "commit": commit, "risk_areas": areas, "safe_areas": safe}, indent=1)
 
 
 def module_contexts(entities: DataFrame, files: DataFrame, k: int = 20) -> DataFrame:

@@ -1,5 +1,6 @@
 """From a small work tree to documents, and scope graphs."""
 
+import json
 import subprocess
 
 from lodestrata.engine import Engine
@@ -16,15 +17,33 @@ def test_update_query_render(spark, tmp_path):
     git("init", "-q"), git("add", "."), git("commit", "-qm", "one")
     (repo / "src/main.py").write_text("import util\n\ndef main():\n    far()\n    near()\n\ndef near():\n    return 1\n")
     git("commit", "-qam", "two")
+    git("tag", "v1")
+    (repo / "src/util_test.py").write_text("def check():\n    pass\n")
+    (repo / "Makefile").write_text("all:\n\techo\n")
+    git("add", "."), git("commit", "-qm", "three")
     e = Engine(spark, str(repo), f"file:{tmp_path}/store")
     assert e.update() == ["git", "tree"] and e.update() == []
     counts = {(r.what, r.kind): r.n for r in e.status().collect()}
-    assert counts["node", "Commit"] == 2 and counts["node", "File"] == 3 and counts["node", "Function"] == 3 and counts["edge", "Calls"] == 2 and counts["edge", "Imports"] == 1 and counts["edge", "Documents"] == 1
+    assert counts["node", "Commit"] == 3 and counts["node", "File"] == 5 and counts["node", "Function"] == 4 and counts["edge", "Calls"] == 2 and counts["edge", "Imports"] == 1 and counts["edge", "Documents"] == 1
+    # a release holds the commits up to it, and has its snapshot
+    assert counts["node", "Release"] == 1 and counts["edge", "Includes"] == 2 and [r.label for r in e.store.snapshots().collect()] == ["v1"]
+    # nothing that is read has changed but what an analyser itself gave
+    assert [a.name for a in e.analyzers if a.needs_rerun(e)] == []
     assert e.query("src/main.py").first().kind == "File" and e.query("near").first().kind == "Function"
     assert e.top("ChangeFrequency", "total").first().name == "src/main.py"
-    assert {r.file for r in e.risks().collect()} == {"README.md", "src/main.py", "src/util.py"} and e.risk_check().count() == 0
-    assert sorted(e.render(str(tmp_path / "out"))) == ["AGENTS.md", "report.html", "risk-map.json"]
-    assert "src/main.py" in (tmp_path / "out/AGENTS.md").read_text()
+    sal = {r.name: r for r in e.named("CompositeSalience", "name", code_size="double", test_presence="double", pagerank="double").collect()}
+    assert sal["src/util.py"].test_presence == 1.0 and sal["src/main.py"].test_presence == 0.0 and sal["src/main.py::main"].code_size == 1.0 and sal["src/main.py::near"].pagerank > 0
+    assert {r.file for r in e.risks().collect()} == {"README.md", "Makefile", "src/main.py", "src/util.py", "src/util_test.py"} and e.risk_check().count() == 0 and e.risk_check(0.3).count() > 0
+    assert e.tool_query("MAIN", "file").first().total == 1 and e.tool_risk("src/main.py").first().risk_level == "medium" and e.tool_graph("salience", 2).count() == 2
+    assert e.tool_conventions().count() == 4 and '"dominant":"lowercase"' in e.tool_conventions("naming").first().data and e.tool_co_changes("src/main.py").count() == 0
+    counted, impact = e.diff("v1", "HEAD")
+    assert counted.first().added == 2 and {r.file for r in impact.collect()} == {"Makefile", "src/util_test.py"}
+    done = e.render(str(tmp_path / "out"), leave=["skills"])
+    assert {"AGENTS.md", "report.html", "risk-map.json", "spec.tps.md", "src/.context.md"} <= set(done) and e.render(str(tmp_path / "out"), only=["agents_md"]) == []
+    text = (tmp_path / "out/AGENTS.md").read_text()
+    assert "src/main.py" in text and "make all" in text and "## Modules" in text and "## Danger zones" not in text
+    risks = json.loads((tmp_path / "out/risk-map.json").read_text())
+    assert len(risks["risk_areas"]) + len(risks["safe_areas"]) == 5
 
 
 def test_scope_resolution(spark):
