@@ -1,22 +1,28 @@
 """LM scoring with an n-gram trie in Elias-Fano levels (operator 4).
 
-A model over bytes of UTF-8 (no vocabulary to bound or to learn; BOS and EOS are bytes that UTF-8 never uses), interpolated by
-Witten-Bell: P(w | c) = a(c, w) + g(c) P(w | c') with a(c, w) = n(c, w) / (n(c) + t(c)), g(c) = t(c) / (n(c) + t(c)), t(c) the
-number of different continuations and c' the context without its first byte; under the unigrams lies the uniform
-distribution.
-
-Counting. Each task sorts the ORDER-grams of its texts as 40-bit numbers and sends on each distinct one with its count;
-shorter n-grams are prefixes, so one pass over the sorted counts gives all orders. All documents are counted.
-
-Trie. N-grams with the same first byte make one sub-trie, built by the task that holds them and written to the shared folder
-as one file: for each level the symbols as the monotone sequence (parent's pointer + symbol), the first-child pointers as
-another, both in Elias-Fano form, and log a and log g in 8 bits each by a quantiser of equal-mass bins per level (its levels
-stand in the file). Workers map the files into memory and share the pages. Looking up w after c is a search for the
-successor of c's range start + w in the level's sequence, relative to the context found one level up.
-
-Scores. The distinct ORDER-grams of a batch are looked up once, each distinct context before them once, and their
+A model over the tokens of a public byte-level vocabulary (every text has tokens, none is unknown; BOS and EOS are two numbers
+beyond them), of order 3, interpolated by Witten-Bell: P(w | c) = a(c, w) + g(c) P(w | c') with a(c, w) = n(c, w) / (n(c) +
+t(c)), g(c) = t(c) / (n(c) + t(c)), t(c) the number of different continuations and c' the context without its first token;
+under the unigrams lies the uniform distribution.
+
+Counting. Each task counts the n-grams of its texts as numbers of 16 bits a token and sends each distinct one on with its
+count, as packed arrays by shards of the context; shorter n-grams are prefixes, so one pass gives all orders. All documents are
+counted. A context's different n-grams are no more than the vocabulary, and the hash of the context tells the shard, so that a
+frequent first token is spread over all shards; there are as many as shuffle partitions.
+
+Trie. A shard is one task's work, written to the shared folder as one file: for each level the symbols as the monotone
+sequence (parent's pointer + symbol), the first-child pointers as another, both in Elias-Fano form, and log a and log g in 8
+bits each by a quantiser of equal-mass bins per level (its levels stand in the file). A first token's totals are spread over
+shards: the level of pairs holds log n, and the totals, one row a token of the vocabulary, are summed by Spark and kept beside
+the files. Workers map the files into memory and share the pages. Looking up w after c is a search for the successor of c's
+range start + w: the bucket of high bits meets the range of c's children, and low bits are searched within.
+
+Scores. The distinct n-grams of a batch are looked up once, each distinct context before them once, and their
 log-probabilities are gathered over the texts; what a worker has looked up it keeps for its next tasks.
 
+The folder in spark.checkpoint.dir has to be a path that every machine has mounted, as the files are mapped into memory; a
+folder that only Hadoop can read is refused.
+
 Defined results: a null text has a null score; an empty text is scored by its end alone; null ids are carried along; rows
 are scored each, repeated ones too, and counted each; whole texts count and are scored, however long; the model of an empty
 table is the uniform distribution; columns beside doc_id and text are not looked at.
@@ -35,16 +41,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import U64, arrow_schema, batches, local_path, pick, read_table, shared_dir, ship
+from lodestrata.llm.common import U64, arrow_schema, batches, local_path, mix, pick, read_table, shared_dir, ship, stored
+from lodestrata.llm.fertility import Vocabularies
 
-ORDER = 5
-BOS, EOS = 255, 254
+#: 2 or 3.
+ORDER = 3
+EOS, BOS = 50_256, 50_257
+VOCABULARY = 50_258
 BINS = 256
-#: Bytes of text made into grams at a time, and held for one look-up.
-SLICE, HELD = 1 << 20, 1 << 23
-#: Grams whose probabilities a worker keeps.
+#: Characters of text made into tokens at a time, and held for one look-up.
+SLICE, HELD = 1 << 19, 1 << 23
+#: N-grams that a task gathers before it sends them.
+GATHERED = 6_000_000
+#: N-grams whose probabilities a worker keeps.
 MOST_KEPT = 1_500_000
-SCHEMA = "doc_id long,n_bytes long,log2_prob double,bits_per_byte double,perplexity double"
+SCHEMA = "doc_id long,n_tokens long,log2_prob double,bits_per_token double,perplexity double"
 
 
 #: Of each byte, how many bits are set, and where its n-th set bit is.
@@ -58,8 +69,9 @@ _PLACE = np.array([([k for k in range(8) if x >> k & 1] + [0] * 8)[:8] for x in
 class EliasFano:
     """A sequence of numbers that never falls: low bits packed, high bits in unary, with a rank sample per 512 high bits."""
 
-    def __init__(self, n: int, low: int, lows: np.ndarray, highs: np.ndarray, ones: np.ndarray):
-        self.n, self.low, self.lows, self.highs, self.ones = n, low, lows, highs, ones
+    def __init__(self, n: int, low: int, top: int, lows: np.ndarray, highs: np.ndarray, ones: np.ndarray):
+        self.n, self.low, self.top, self.lows, self.highs, self.ones = n, low, top, lows, highs.reshape(-1, 8), ones
+        self.zeros = np.arange(len(ones), dtype=np.int64) * 512 - ones
 
     @staticmethod
     def build(v: np.ndarray, top: int) -> bytes:
@@ -77,16 +89,16 @@ class EliasFano:
         else:
             lows = np.zeros(16, np.uint8)
         lows = np.append(lows, np.zeros(-len(lows) % 8, np.uint8))
-        return struct.pack("<QQQQQ", n, low, len(lows), len(highs), len(ones)) + lows.tobytes() + highs.tobytes() + ones.tobytes()
+        return struct.pack("<QQQQQQ", n, low, top, len(lows), len(highs), len(ones)) + lows.tobytes() + highs.tobytes() + ones.tobytes()
 
     @classmethod
     def read(cls, buf: memoryview, at: int) -> tuple[EliasFano, int]:
-        n, low, a, b, c = struct.unpack_from("<QQQQQ", buf, at)
-        at += 40
+        n, low, top, a, b, c = struct.unpack_from("<QQQQQQ", buf, at)
+        at += 48
         lows = np.frombuffer(buf, np.uint8, a, at)
-        highs = np.frombuffer(buf, np.uint8, b, at + a)
+        highs = np.frombuffer(buf, np.uint64, b // 8, at + a)
         ones = np.frombuffer(buf, np.int64, c, at + a + b)
-        return cls(n, low, lows, highs, ones), at + a + b + 8 * c
+        return cls(n, low, top, lows, highs, ones), at + a + b + 8 * c
 
     def low_of(self, i: np.ndarray) -> np.ndarray:
         if not self.low:
@@ -99,17 +111,22 @@ class EliasFano:
 
     def select(self, i: np.ndarray, bit: int) -> np.ndarray:
         """Place of the i-th (from 0) high bit of this value."""
-        before = self.ones if bit else np.arange(len(self.ones), dtype=np.int64) * 512 - self.ones
-        block = np.searchsorted(before, i, side="right") - 1
-        rest = i - before[block]
-        rows = self.highs.reshape(-1, 64)[np.minimum(block, len(self.ones) - 2)]
+        before = self.ones if bit else self.zeros
+        block = np.minimum(np.searchsorted(before, i, side="right") - 1, len(self.ones) - 2)
+        rest = (i - before[block]).astype(np.int16)
+        rows = self.highs[block]
         if not bit:
             rows = ~rows
-        upto = np.cumsum(_ONES[rows], axis=1, dtype=np.int16)  # by byte, then within the byte that holds it
-        byte = (upto > rest[:, None]).argmax(1)
+        # the word that holds it, then the byte
         nth = np.arange(len(i))
+        upto = np.cumsum(np.bitwise_count(rows), axis=1, dtype=np.int16)
+        word = (upto > rest[:, None]).argmax(1)
+        rest = rest - np.where(word > 0, upto[nth, word - 1], 0)
+        some = rows[nth, word].view(np.uint8).reshape(-1, 8)
+        upto = np.cumsum(_ONES[some], axis=1, dtype=np.int16)
+        byte = (upto > rest[:, None]).argmax(1)
         left = rest - np.where(byte > 0, upto[nth, byte - 1], 0)
-        return block * 512 + byte * 8 + _PLACE[rows[nth, byte], left]
+        return block * 512 + word * 64 + byte * 8 + _PLACE[some[nth, byte], left]
 
     def get(self, i: np.ndarray) -> np.ndarray:
         out = np.empty(len(i), np.int64)
@@ -119,37 +136,53 @@ class EliasFano:
         return out
 
     def find(self, v: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        """Index of v in [lo, hi), or -1: the successor of v by binary search over the range of its context."""
-        lo, hi, end = lo.copy(), hi.copy(), hi
-        live = np.flatnonzero(lo < hi)
-        while len(live):
-            mid = (lo[live] + hi[live]) >> 1
-            less = self.get(mid) < v[live]
-            lo[live] = np.where(less, mid + 1, lo[live])
-            hi[live] = np.where(less, hi[live], mid)
-            live = live[lo[live] < hi[live]]
+        """Index of v in [lo, hi), or -1: the successor of v, which lies in the bucket of its high bits if it is v itself."""
         out = np.full(len(v), -1)
-        some = np.flatnonzero(lo < end)
-        if len(some):
-            out[some] = np.where(self.get(lo[some]) == v[some], lo[some], -1)
+        could = np.flatnonzero((lo < hi) & (v <= self.top))
+        for s in range(0, len(could), 8192):
+            c = could[s : s + 8192]
+            h, want = v[c] >> self.low, v[c] & ((1 << self.low) - 1)
+            # ones before the zeros that end this bucket and the one before it
+            ends = self.select(np.concatenate([h, np.maximum(h - 1, 0)]), 0)
+            start = np.where(h > 0, ends[len(h) :] - (h - 1), 0)
+            a, b = np.maximum(lo[c], start), np.minimum(hi[c], ends[: len(h)] - h)
+            end, live = b.copy(), np.flatnonzero(a < b)
+            while len(live):
+                mid = (a[live] + b[live]) >> 1
+                less = self.low_of(mid) < want[live]
+                a[live] = np.where(less, mid + 1, a[live])
+                b[live] = np.where(less, b[live], mid)
+                live = live[a[live] < b[live]]
+            some = np.flatnonzero(a < end)
+            hit = some[self.low_of(a[some]) == want[some]]
+            out[c[hit]] = a[hit]
         return out
 
 
 # ---- counting ---------------------------------------------------------------------------------------------------------
 
 
-def windows(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
-    """(ORDER-grams as numbers, one for each place of BOS + text + EOS, padded behind by EOS; places a text)."""
-    flat = np.frombuffer(b"".join(b"\xff" + t + b"\xfe" * order for t in texts), np.uint8).astype(U64)
-    lens = np.fromiter(map(len, texts), np.int64, len(texts))
+def tokens_of(text: str, folder: str) -> np.ndarray:
+    core = Vocabularies.get(folder).bytes_bpe._core_bpe
+    try:
+        ids = core.encode_ordinary(text)
+    except UnicodeEncodeError:
+        ids = core.encode_ordinary(text.encode("utf-16", "surrogatepass").decode("utf-16", "replace"))
+    return np.array(ids, np.uint16)
+
+
+def windows(texts: list[np.ndarray], order: int) -> np.ndarray:
+    """N-grams as numbers, one for each place of BOS + text + EOS, padded behind by EOS."""
+    begin, end = np.array([BOS], np.uint16), np.full(order, EOS, np.uint16)
+    flat = np.concatenate([x for t in texts for x in (begin, t, end)]).astype(U64)
     acc = np.zeros(len(flat) - order + 1, U64)
     for k in range(order):
-        acc = (acc << U64(8)) | flat[k : len(flat) - order + 1 + k]
-    ends = np.cumsum(lens + 1 + order)
+        acc = (acc << U64(16)) | flat[k : len(flat) - order + 1 + k]
+    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1 + order)
     keep = np.ones(len(flat), bool)
     for k in range(1, order):
         keep[ends - k] = False
-    return acc[keep[: len(acc)]], lens + 2
+    return acc[keep[: len(acc)]]
 
 
 def fold(grams: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -160,32 +193,69 @@ def fold(grams: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray,
     return g[at], np.add.reduceat(c, at) if len(g) else c
 
 
-def count(docs: DataFrame, order: int) -> DataFrame:
-    ddl = "gram long,n long"
-    schema = arrow_schema(ddl)
+def shard_of(ctx: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of the n-grams that begin with this context (of one token less)."""
+    return ((mix(ctx.astype(U64)) >> U64(48)) * U64(shards) >> U64(16)).astype(np.int64)
+
+
+#: Sorted n-grams and counts as planes of 16 bits, of which the high ones are nearly constant.
+COUNTS = "shard int,data binary"
+
+
+def planes(g: np.ndarray, c: np.ndarray) -> bytes:
+    parts = [(g >> U64(16 * k)).astype(np.uint16) for k in range(3)] + [(c >> (16 * k)).astype(np.uint16) for k in range(3)]
+    return b"".join(x.tobytes() for x in parts)
+
+
+def unplanes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    flat = np.frombuffer(data, np.uint16).reshape(6, -1)
+    g = flat[0].astype(U64) | flat[1].astype(U64) << U64(16) | flat[2].astype(U64) << U64(32)
+    return g, flat[3].astype(np.int64) | flat[4].astype(np.int64) << 16 | flat[5].astype(np.int64) << 32
+
+
+def count(docs: DataFrame, order: int, shards: int, folder: str) -> DataFrame:
+    """Each task's distinct n-grams with their counts, by shard."""
+    schema = arrow_schema(COUNTS)
+
+    def send(gs, cs):
+        g, c = fold(gs, cs)
+        at = shard_of(g >> U64(16), shards)
+        by = np.argsort(at, kind="stable")
+        cuts = np.searchsorted(at[by], np.arange(shards + 1)).tolist()
+        rows = [(k, planes(g[by[lo:hi]], c[by[lo:hi]])) for k, (lo, hi) in enumerate(zip(cuts, cuts[1:])) if hi > lo]
+        for i in range(0, len(rows), 256):
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), f.type) for x, f in zip(zip(*rows[i : i + 256]), schema)], schema=schema)
 
     def run(it):
-        gs, cs, size = [], [], 0
+        gs, cs, size, held, chars = [], [], 0, [], 0
+
+        def taken():
+            g, c = np.unique(windows(held, order), return_counts=True)
+            gs.append(g)
+            cs.append(c)
+            held.clear()
+            return len(g)
+
         for (texts,) in batches(it, "text"):
-            for i in range(0, len(texts), 256):
-                some = [t.encode("utf-8", "surrogatepass") for t in texts[i : i + 256] if t is not None]
-                if some:
-                    g, c = np.unique(windows(some, order)[0], return_counts=True)
-                    gs.append(g)
-                    cs.append(c)
-                    size += len(g)
-                if size > 4_000_000:
-                    g, c = fold(gs, cs)
-                    gs, cs, size = [g], [c], 0
-                    if len(g) > 3_000_000:  # so many different ones are sent on as they are
-                        yield pa.RecordBatch.from_arrays([pa.array(g.astype(np.int64)), pa.array(c)], schema=schema)
-                        gs, cs = [], []
+            for t in texts:
+                if t is None:
+                    continue
+                held.append(tokens_of(t, folder))
+                chars += len(t)
+                if chars > 4 * SLICE:
+                    size, chars = size + taken(), 0
+                    if size > GATHERED:
+                        g, c = fold(gs, cs)
+                        gs, cs, size = [g], [c], len(g)
+                        if size > GATHERED // 2:  # so many different ones are sent on as they are
+                            yield from send(gs, cs)
+                            gs, cs, size = [], [], 0
+        if held:
+            taken()
         if gs:
-            g, c = fold(gs, cs)
-            for i in range(0, len(g), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(g[i : i + 100_000].astype(np.int64)), pa.array(c[i : i + 100_000])], schema=schema)
+            yield from send(gs, cs)
 
-    return pick(docs, "text").mapInArrow(run, ddl).groupBy("gram").agg(F.sum("n").alias("n"))
+    return pick(docs, "text").mapInArrow(run, COUNTS)
 
 
 # ---- the trie ---------------------------------------------------------------------------------------------------------
@@ -205,43 +275,41 @@ def quantiser(v: np.ndarray, bins: int = BINS) -> tuple[np.ndarray, np.ndarray]:
     return book.astype(np.float32), code.astype(np.uint8)
 
 
-def build(grams: np.ndarray, counts: np.ndarray, order: int) -> bytes:
-    """The file of one first byte's sub-trie, from its sorted ORDER-grams."""
-    g = grams.astype(U64)
-    out, size, parent_of = [], [], None
-    prev_key, total = None, None
+def build(g: np.ndarray, counts: np.ndarray, order: int) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """(a shard's file, its first tokens, their counts and different continuations here), from sorted distinct n-grams."""
+    out, size = [], []
     for k in range(1, order + 1):
-        key = g >> U64(8 * (order - k))
+        key = g >> U64(16 * (order - k))
         at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         n = np.add.reduceat(counts, at).astype(np.float64)
-        sym = (key[at] & U64(255)).astype(np.int64)
-        m = len(at)
+        key = key[at]
         if k == 1:
-            parent, first = np.zeros(m, np.int64), np.array([0, m])
+            parent, first = np.zeros(len(at), np.int64), np.array([0, len(at)])
         else:
-            parent = np.searchsorted(prev_key, key[at] >> U64(8))
-            first = np.append(np.searchsorted(parent, np.arange(len(prev_key))), m)
-        size.append((key[at], n, sym, parent, first))
-        prev_key = key[at]
-        total = n if k == 1 else total
-    for k, (_, n, sym, parent, first) in enumerate(size, 1):
-        v = parent * 256 + sym
+            before = size[-1][0]
+            parent = np.searchsorted(before, key >> U64(16))
+            first = np.append(np.searchsorted(parent, np.arange(len(before))), len(at))
+        size.append((key, n, parent, first))
+
+    def coded(v: np.ndarray) -> bytes:
+        book, code = quantiser(v)
+        return book.tobytes() + struct.pack("<Q", len(code)) + code.tobytes() + b"\0" * (-len(code) % 8)
+
+    for k, (key, n, parent, _) in enumerate(size, 1):
+        v = (parent << 16) + (key & U64(0xFFFF)).astype(np.int64)
         out.append(EliasFano.build(v, int(v[-1])))
-        if k == 1:
-            alpha = np.log2(n)  # unigrams: the count, as the whole corpus is known only when all files are
-        else:
-            _, up, _, _, _ = size[k - 2]
-            t = np.diff(first)
-            alpha = np.log2(n / (up + t)[parent])
-        book, code = quantiser(alpha) if k > 1 else (np.zeros(BINS, np.float32), np.zeros(len(n), np.uint8))
-        out.append(book.tobytes() + struct.pack("<Q", len(code)) + code.tobytes() + b"\0" * (-len(code) % 8))
+        if k == 2:
+            out.append(coded(np.log2(n)))  # the first token's totals lie in other shards too
+        elif k > 2:
+            t = np.diff(size[k - 1][3])
+            out.append(coded(np.log2(n / (size[k - 2][1] + t)[parent])))
         if k < order:
-            nxt = size[k][4]
-            out.append(EliasFano.build(nxt, int(nxt[-1])))
-            t = np.diff(nxt)
-            book, code = quantiser(np.log2(t / (n + t)))
-            out.append(book.tobytes() + struct.pack("<Q", len(code)) + code.tobytes() + b"\0" * (-len(code) % 8))
-    return struct.pack("<QQ", order, int(size[0][1].sum())) + b"".join(out)
+            first = size[k][3]
+            out.append(EliasFano.build(first, int(first[-1])))
+            if k > 1:
+                t = np.diff(first)
+                out.append(coded(np.log2(t / (n + t))))
+    return struct.pack("<Q", order) + b"".join(out), size[0][0], size[0][1], np.diff(size[1][3])
 
 
 class Level:
@@ -254,8 +322,8 @@ class SubTrie:
         self.map = mmap.mmap(f, 0, prot=mmap.PROT_READ)
         os.close(f)
         buf = memoryview(self.map)
-        self.order, self.count = struct.unpack_from("<QQ", buf, 0)
-        at, self.levels = 16, []
+        (self.order,) = struct.unpack_from("<Q", buf, 0)
+        at, self.levels = 8, []
 
         def coded(at):
             book = np.frombuffer(buf, np.float32, BINS, at)
@@ -266,12 +334,31 @@ class SubTrie:
         for k in range(1, self.order + 1):
             lv = Level()
             lv.keys, at = EliasFano.read(buf, at)
-            lv.alpha, at = coded(at)
+            if k > 1:
+                lv.alpha, at = coded(at)
             if k < self.order:
                 lv.first, at = EliasFano.read(buf, at)
-                lv.gamma, at = coded(at)
+                if k > 1:
+                    lv.gamma, at = coded(at)
             self.levels.append(lv)
 
+    def children(self, node: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Range of the children of nodes of level k, which is empty for -1."""
+        lo, hi = np.zeros(len(node), np.int64), np.zeros(len(node), np.int64)
+        there = np.flatnonzero(node >= 0)
+        if len(there):
+            pair = self.levels[k - 1].first.get(np.concatenate([node[there], node[there] + 1]))
+            lo[there], hi[there] = pair[: len(there)], pair[len(there) :]
+        return lo, hi
+
+    def pairs(self, key: np.ndarray) -> np.ndarray:
+        """Nodes of distinct pairs of tokens, or -1; each distinct first token is looked up once."""
+        up, inv = np.unique(key >> U64(16), return_inverse=True)
+        top = self.levels[0].keys
+        above = top.find(up.astype(np.int64), np.zeros(len(up), np.int64), np.full(len(up), top.n))
+        lo, hi = self.children(above, 1)
+        return self.levels[1].keys.find((above[inv] << 16) + (key & U64(0xFFFF)).astype(np.int64), lo[inv], hi[inv])
+
 
 class Model:
     _one: dict[str, Model] = {}
@@ -279,14 +366,12 @@ class Model:
     def __init__(self, folder: str):
         with open(f"{folder}/manifest.json") as f:
             m = json.load(f)
-        self.order = m["order"]
+        self.order, self.shards = m["order"], m["shards"]
         self.tries = {int(b): SubTrie(f"{folder}/{name}") for b, name in m["files"].items()}
-        counts = np.zeros(256)
-        for b, t in self.tries.items():
-            counts[b] = t.count
-        n, kinds = counts.sum(), (counts > 0).sum()
+        self.n, self.t = np.load(f"{folder}/totals.npy")
+        n, kinds = self.n.sum(), (self.n > 0).sum()
         self.keys, self.vals = np.full(1, (1 << 64) - 1, U64), np.zeros(1)
-        self.unigram = (counts + kinds / 256) / (n + kinds) if n else np.full(256, 1 / 256)
+        self.unigram = (self.n + kinds / VOCABULARY) / (n + kinds) if n else np.full(1 << 16, 1 / VOCABULARY)
 
     @classmethod
     def get(cls, folder: str) -> Model:
@@ -295,46 +380,6 @@ class Model:
             cls._one[folder] = cls(folder)
         return cls._one[folder]
 
-    def locate(self, t: SubTrie, keys: np.ndarray, k: int) -> np.ndarray:
-        """Nodes of distinct k-symbol contexts in t, or -1; each distinct beginning is looked up once."""
-        if k == 1:
-            return np.zeros(len(keys), np.int64)
-        up, inv = np.unique(keys >> U64(8), return_inverse=True)
-        above = self.locate(t, up, k - 1)
-        lo, hi = self.children(t, above, k - 1)
-        return t.levels[k - 1].keys.find(above[inv] * 256 + (keys & U64(255)).astype(np.int64), lo[inv], hi[inv])
-
-    @staticmethod
-    def children(t: SubTrie, node: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Range of each node's children, which is empty for -1."""
-        lo, hi = np.zeros(len(node), np.int64), np.zeros(len(node), np.int64)
-        there = np.flatnonzero(node >= 0)
-        if len(there):
-            pair = t.levels[k - 1].first.get(np.concatenate([node[there], node[there] + 1]))
-            lo[there], hi[there] = pair[: len(there)], pair[len(there) :]
-        return lo, hi
-
-    def part(self, ctx: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(a, g) of symbol w after ctx, the k symbols before it as a number; (0, 1) where ctx is unknown."""
-        a, g = np.zeros(len(w)), np.ones(len(w))
-        head = (ctx >> U64(8 * (k - 1))).astype(np.int64)
-        for b in np.unique(head):
-            t = self.tries.get(int(b))
-            if t is None:
-                continue
-            sel = np.flatnonzero(head == b)
-            keys, inv = np.unique(ctx[sel], return_inverse=True)
-            node = self.locate(t, keys, k)
-            lo, hi = self.children(t, node, k)
-            known = np.flatnonzero(node[inv] >= 0)
-            sel, inv = sel[known], inv[known]
-            book, code = t.levels[k - 1].gamma
-            g[sel] = np.exp2(book[code[node[inv]]].astype(np.float64))
-            at = t.levels[k].keys.find(node[inv] * 256 + w[sel].astype(np.int64), lo[inv], hi[inv])
-            book, code = t.levels[k].alpha
-            a[sel[at >= 0]] = np.exp2(book[code[at[at >= 0]]].astype(np.float64))
-        return a, g
-
     def known_logs(self, key: np.ndarray) -> np.ndarray:
         """log2 of the probabilities of distinct grams (with how much of the context is there above them). What was asked before
         is kept by the worker from task to task, MOST_KEPT at most."""
@@ -343,7 +388,7 @@ class Model:
         val = self.vals[at]
         new = np.sort(key[~hit])
         if len(new):
-            logs = np.log2(self.prob(new & U64((1 << (8 * self.order)) - 1), (new >> U64(8 * self.order)).astype(np.int64)))
+            logs = np.log2(self.prob(new & U64((1 << 48) - 1), (new >> U64(48)).astype(np.int64)))
             val[~hit] = logs[np.searchsorted(new, key[~hit])]
             if len(self.keys) > MOST_KEPT:
                 self.keys, self.vals = new, logs
@@ -354,79 +399,124 @@ class Model:
         return val
 
     def prob(self, grams: np.ndarray, known: np.ndarray) -> np.ndarray:
-        """P of each gram's last symbol after its `known` symbols before."""
-        p = self.unigram[(grams & U64(255)).astype(np.int64)].copy()
-        for k in range(1, self.order):
-            sel = np.flatnonzero(known >= k)
-            if len(sel):
-                key, inv = np.unique(grams[sel] & U64((1 << (8 * (k + 1))) - 1), return_inverse=True)
-                a, g = self.part(key >> U64(8), key & U64(255), k)
-                p[sel] = a[inv] + g[inv] * p[sel]
+        """P of each n-gram's last token after its `known` tokens before."""
+        p = self.unigram[(grams & U64(0xFFFF)).astype(np.int64)].copy()
+        last, ctx = grams & U64(0xFFFFFFFF), grams >> U64(16)
+        full = np.flatnonzero(known >= 2) if self.order > 2 else np.zeros(0, np.int64)
+        pairs, inv = np.unique(np.concatenate([last, ctx[full]]), return_inverse=True)
+        if self.order > 2:
+            shard = shard_of(pairs, self.shards)
+        else:
+            shard = shard_of(pairs >> U64(16), self.shards)
+        number, alpha, gamma = np.zeros(len(pairs)), np.zeros(len(full)), np.ones(len(full))
+        by = np.argsort(shard, kind="stable")
+        cuts = np.searchsorted(shard[by], np.arange(self.shards + 1)).tolist()
+        mine = inv[len(last) :]
+        of = np.argsort(shard[mine], kind="stable")
+        parts = np.searchsorted(shard[mine][of], np.arange(self.shards + 1)).tolist()
+        place = np.zeros(len(pairs), np.int64)
+        for s, t in self.tries.items():
+            some = by[cuts[s] : cuts[s + 1]]
+            if not len(some):
+                continue
+            node = t.pairs(pairs[some])
+            there = np.flatnonzero(node >= 0)
+            book, code = t.levels[1].alpha
+            number[some[there]] = np.exp2(book[code[node[there]]].astype(np.float64))
+            sel = of[parts[s] : parts[s + 1]]
+            if not len(sel):
+                continue
+            place[some] = np.arange(len(some))
+            lo, hi = t.children(node, 2)
+            j = place[mine[sel]]
+            there = np.flatnonzero(node[j] >= 0)
+            sel, j = sel[there], j[there]
+            book, code = t.levels[1].gamma
+            gamma[sel] = np.exp2(book[code[node[j]]].astype(np.float64))
+            at = t.levels[2].keys.find((node[j] << 16) + (grams[full[sel]] & U64(0xFFFF)).astype(np.int64), lo[j], hi[j])
+            book, code = t.levels[2].alpha
+            alpha[sel[at >= 0]] = np.exp2(book[code[at[at >= 0]]].astype(np.float64))
+        one = np.flatnonzero(known >= 1)
+        before = (last[one] >> U64(16)).astype(np.int64)
+        n, t = self.n[before], self.t[before]
+        seen = n > 0
+        total = np.where(seen, n + t, 1.0)
+        p[one] = np.where(seen, number[inv[: len(last)][one]] / total + t / total * p[one], p[one])
+        p[full] = alpha + gamma * p[full]
         return p
 
 
-def train(docs: DataFrame, order: int = ORDER) -> str:
-    """The folder with the model's files, in the shared folder. Rows of a first byte are one task's work; what is brought to
-    the driver are at most 256 file names. Tasks that are repeated write files of other names; the one that is reported counts."""
+def train(docs: DataFrame, order: int = ORDER, folder: str = "/opt/tokenizers") -> str:
+    """The place of the model's files in the shared folder. A shard is one task's work; what is brought to the driver are the
+    shards' file names and, for each token of the vocabulary, its totals. Tasks that are repeated write files of other names;
+    the one that is reported counts."""
+    if not 2 <= order <= 3:
+        raise ValueError("order is 2 or 3")
     spark = docs.sparkSession
     uri = f"{shared_dir(spark)}/trie-{uuid.uuid4().hex}"
-    folder = local_path(uri)
-    os.makedirs(folder, exist_ok=True)
-    grams = count(docs, order).withColumn("b0", F.shiftright("gram", 8 * (order - 1)))
-    out_schema = arrow_schema("b0 long,name string")
+    to = local_path(uri)
+    os.makedirs(to, exist_ok=True)
+    shards = min(1 << 16, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    out_ddl = "shard long,name string,token array<long>,n array<long>,t array<long>"
+    out_schema = arrow_schema(out_ddl)
 
     def run(it):
         def flush():
-            if now is not None:
-                name = f"{now}-{uuid.uuid4().hex}.ef"
-                with open(f"{folder}/{name}", "wb") as f:
-                    f.write(build(np.concatenate(gs), np.concatenate(ns), order))
-                yield pa.RecordBatch.from_pydict({"b0": [now], "name": [name]}, schema=out_schema)
-
-        now, gs, ns = None, [], []
-        for b in it:
-            b0, g, n = (b.column(b.schema.get_field_index(c)).to_numpy() for c in ("b0", "gram", "n"))
-            cuts = np.flatnonzero(np.append(True, b0[1:] != b0[:-1])).tolist() + [len(b0)]
-            for lo, hi in zip(cuts, cuts[1:]):
-                if hi > lo:
-                    if b0[lo] != now:
+            g, c = fold(*zip(*held))
+            data, token, n, t = build(g, c, order)
+            name = f"{now}-{uuid.uuid4().hex}.ef"
+            with open(f"{to}/{name}", "wb") as f:
+                f.write(data)
+            yield pa.RecordBatch.from_pydict({"shard": [now], "name": [name], "token": [token.astype(np.int64)], "n": [n.astype(np.int64)], "t": [t.astype(np.int64)]}, schema=out_schema)
+
+        now, held = None, []
+        for shard, data in batches(it, "shard", "data"):
+            for s, d in zip(shard, data):
+                if s != now:
+                    if held:
                         yield from flush()
-                        now, gs, ns = int(b0[lo]), [], []
-                    gs.append(g[lo:hi])
-                    ns.append(n[lo:hi])
-        yield from flush()
-
-    files = grams.repartition("b0").sortWithinPartitions("b0", "gram").mapInArrow(run, "b0 long,name string").collect()
-    with open(f"{folder}/manifest.json", "w") as f:
-        json.dump({"order": order, "files": {r.b0: r.name for r in files}}, f)
-    return folder
-
-
-def score(docs: DataFrame, folder: str) -> DataFrame:
+                    now, held = s, []
+                held.append(unplanes(d))
+        if held:
+            yield from flush()
+
+    made = stored(count(docs, order, shards, folder).repartition("shard").sortWithinPartitions("shard").mapInArrow(run, out_ddl), "shards")
+    files = made.select("shard", "name").collect()
+    totals = made.select(F.explode(F.arrays_zip("token", "n", "t")).alias("x")).groupBy("x.token").agg(F.sum("x.n").alias("n"), F.sum("x.t").alias("t")).toPandas()
+    both = np.zeros((2, 1 << 16))
+    both[:, totals["token"].to_numpy(np.int64)] = totals[["n", "t"]].to_numpy(np.float64).T
+    np.save(f"{to}/totals.npy", both)
+    with open(f"{to}/manifest.json", "w") as f:
+        json.dump({"order": order, "shards": shards, "files": {r.shard: r.name for r in files}}, f)
+    return to
+
+
+def score(docs: DataFrame, model: str, folder: str = "/opt/tokenizers") -> DataFrame:
     schema = arrow_schema(SCHEMA)
 
-    def grams_of(some: list[bytes], order: int) -> tuple[pa.DictionaryArray, np.ndarray]:
-        """The texts' grams, by hashing (np.unique would sort), and how many each text has."""
+    def grams_of(some: list[np.ndarray], order: int) -> tuple[pa.DictionaryArray, np.ndarray]:
+        """The texts' n-grams, by hashing (np.unique would sort), and how many each text has."""
         lens = np.fromiter(map(len, some), np.int64, len(some)) + 1
-        # BOS stands in front as often as the context is long; the number above the gram is what of the context is there
-        flat = np.frombuffer(b"".join(b"\0" * (order - 2) + b"\xff" + t + b"\xfe" for t in some), np.uint8)
+        # BOS stands in front; the number above the n-gram is what of the context is there
+        front, end = np.append(np.zeros(order - 2, np.uint16), np.uint16(BOS)), np.array([EOS], np.uint16)
+        flat = np.concatenate([x for t in some for x in (front, t, end)])
         acc = np.zeros(len(flat) - order + 1, U64)
         for k in range(order):
-            acc <<= U64(8)
+            acc <<= U64(16)
             acc |= flat[k : len(flat) - order + 1 + k]
         first = np.cumsum(lens) - lens
         nth = np.arange(int(lens.sum())) - np.repeat(first, lens)
-        # acc[j] ends at place j + order - 1; a text's symbols begin order - 1 places after it does
+        # acc[j] ends at place j + order - 1; a text's tokens begin order - 1 places after it does
         grams = acc[nth + np.repeat(np.cumsum(lens + order - 1) - (lens + order - 1), lens)]
-        grams |= np.minimum(nth + 1, order - 1).astype(U64) << U64(8 * order)
+        grams |= np.minimum(nth + 1, order - 1).astype(U64) << U64(48)
         return pa.array(grams).dictionary_encode(), lens
 
     def run(it):
-        m = Model.get(folder)
+        m = Model.get(model)
         held, size = [], 0
 
         def flush():
-            """Scores what is held: all its distinct grams are looked up together."""
+            """Scores what is held: all its distinct n-grams are looked up together."""
             keys = [c.dictionary.to_numpy() for _, _, c, _ in held if c is not None]
             key = np.unique(np.concatenate(keys)) if keys else np.zeros(0, U64)
             val = m.known_logs(key)
@@ -453,8 +543,8 @@ def score(docs: DataFrame, folder: str) -> DataFrame:
             while i < len(ids):
                 part, n, at = [], 0, i
                 while i < len(ids) and n < SLICE:
-                    part.append(None if texts[i] is None else texts[i].encode("utf-8", "surrogatepass"))
-                    n += len(part[-1] or b"")
+                    part.append(None if texts[i] is None else tokens_of(texts[i], folder))
+                    n += len(texts[i] or "")
                     i += 1
                 some = [t for t in part if t is not None]
                 coded, lens = grams_of(some, m.order) if some else (None, None)
@@ -468,9 +558,9 @@ def score(docs: DataFrame, folder: str) -> DataFrame:
     return pick(docs, "doc_id", "text").mapInArrow(run, SCHEMA)
 
 
-def lm_scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
+def lm_scores(docs: DataFrame, order: int = ORDER, folder: str = "/opt/tokenizers") -> DataFrame:
     """Each document's log-probability under the model of all documents."""
-    return score(docs, train(docs, order))
+    return score(docs, train(docs, order, folder), folder)
 
 
 def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

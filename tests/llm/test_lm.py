@@ -5,16 +5,19 @@ from collections import Counter
 
 import numpy as np
 
-from lodestrata.llm.ngram_lm import EliasFano, lm_scores, quantiser
+import pytest
+
+from lodestrata.llm.common import local_path
+from lodestrata.llm.ngram_lm import BOS, EOS, VOCABULARY, EliasFano, lm_scores, planes, quantiser, tokens_of, unplanes
 
 DDL = "doc_id long, text string"
 
 
-def brute(texts, order=5):
-    seqs = [bytes([255]) + t.encode() + bytes([254]) for t in texts]
+def brute(texts, order=3):
+    seqs = [(BOS, *tokens_of(t, "/opt/tokenizers").tolist(), EOS) for t in texts]
     n, follow = Counter(), {}
     for s in seqs:
-        padded = s + bytes([254]) * (order - 1)
+        padded = s + (EOS,) * (order - 1)
         for i in range(len(s)):
             for k in range(order):
                 ctx, w = padded[i : i + k], padded[i + k]
@@ -25,7 +28,7 @@ def brute(texts, order=5):
         total[ctx] += c
 
     def p(ctx, w):
-        low = p(ctx[1:], w) if ctx else 1 / 256
+        low = p(ctx[1:], w) if ctx else 1 / VOCABULARY
         if ctx not in follow:
             return low
         t, c = len(follow[ctx]), total[ctx]
@@ -59,8 +62,33 @@ def test_against_dictionaries(spark, sf):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     got = {r.doc_id: r for r in lm_scores(docs.repartition(3)).collect()}
     want = brute([t for _, t in rows])
-    off = [abs(got[d].log2_prob - w) / (len(t.encode()) + 1) for (d, t), w in zip(rows, want)]
-    assert max(off) < 0.15 and sum(off) / len(off) < 0.02  # bits a byte, from the quantised tables
+    off = [abs(got[d].log2_prob - w) / (got[d].n_tokens + 1) for (d, t), w in zip(rows, want)]
+    assert max(off) < 0.15 and sum(off) / len(off) < 0.02  # bits a token, from the quantised tables
+    two = {r.doc_id: r.log2_prob for r in lm_scores(docs, order=2).collect()}
+    off = [abs(two[d] - w) / (got[d].n_tokens + 1) for (d, t), w in zip(rows, brute([t for _, t in rows], 2))]
+    assert max(off) < 0.15 and sum(off) / len(off) < 0.02
+
+
+def test_counts_in_planes():
+    rng = np.random.default_rng(3)
+    g, c = rng.integers(0, 1 << 48, 1000).astype(np.uint64), rng.integers(1, 1 << 40, 1000)
+    x, y = unplanes(planes(g, c))
+    assert (x == g).all() and (y == c).all()
+
+
+def test_documents_that_the_corpus_holds_twice_score_better(spark):
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 5000, 200)) for _ in range(300)]
+    rows = list(enumerate(texts + texts[:30]))
+    got = {r.doc_id: r.bits_per_token for r in lm_scores(spark.createDataFrame(rows, DDL)).collect()}
+    assert max(got[d] for d in range(30)) < min(got[d] for d in range(30, 300))
+
+
+def test_folders_that_cannot_be_mapped():
+    assert local_path("file:/a") == local_path("file:///a") == local_path("/a") == "/a"
+    for uri in ("hdfs://x/a", "s3a://x/a", "a/b"):
+        with pytest.raises(ValueError):
+            local_path(uri)
 
 
 def test_exact_where_few_values(spark):
@@ -77,10 +105,10 @@ def test_defined_results(spark):
     by = {}
     for r in got:
         by.setdefault(r.doc_id, []).append(r)
-    assert len(got) == 6 and by[1][0].log2_prob is None and by[1][0].n_bytes is None
-    assert by[2][0].n_bytes == 0 and by[2][0].log2_prob < 0
+    assert len(got) == 6 and by[1][0].log2_prob is None and by[1][0].n_tokens is None
+    assert by[2][0].n_tokens == 0 and by[2][0].log2_prob < 0
     assert by[3][0].log2_prob == by[3][1].log2_prob == by[None][0].log2_prob
-    assert by[4][0].n_bytes == len(rows[5][1].encode()) and by[4][0].bits_per_byte < 1
+    assert by[4][0].n_tokens > 60_000 and by[4][0].bits_per_token < 1
     assert lm_scores(spark.createDataFrame([], DDL)).count() == 0
     only = lm_scores(spark.createDataFrame([(1, None)], DDL)).collect()
     assert len(only) == 1 and only[0].log2_prob is None
