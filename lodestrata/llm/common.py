@@ -116,7 +116,12 @@ def arrow_schema(ddl: str) -> pa.Schema:
 
 
 def pick(df: DataFrame, *cols: str) -> DataFrame:
-    """Only these columns, whatever else the table has; a name is met without regard to case, once."""
+    """Only these columns, whatever else the table has: of several that differ in case the one written so, else the first."""
+    have = df.columns
+    if len({c.lower() for c in have}) < len(have):
+        at = [next((i for i, x in enumerate(have) if x == c), next((i for i, x in enumerate(have) if x.lower() == c.lower()), None)) for c in cols]
+        if None not in at:
+            return df.toDF(*[f"c{i}" for i in range(len(have))]).select(*[F.col(f"c{i}").alias(c) for i, c in zip(at, cols)])
     return df.select(*[F.col(f"`{c}`") for c in cols])
 
 
