@@ -19,8 +19,9 @@ DELTA characters, drafts that are regenerated, and user messages edited after a
 
 Defined results: rows without conv_id, seq, turn or kind, and of other kinds, are left out; a row delivered twice counts once;
 of different rows with one seq that of the lesser kind, then payload, comes first; a null payload is empty; a null role is
-"unknown"; deltas of a message that was never opened are dropped with it; an empty log gives no rows. In to_log(), of rows
-with the same conversation and turn the first by role and text counts.
+"unknown"; deltas of a message that was never opened are dropped with it; an empty log gives no rows; columns beside the six
+are not looked at; texts are put together whole, however long (one message's deltas are one row's array, as its text is one
+value). In to_log(), of rows with the same conversation and turn the first by role and text counts.
 """
 
 from __future__ import annotations

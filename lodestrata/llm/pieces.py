@@ -10,8 +10,8 @@ pieces tie in score, are merged step by step.
 No piece holds a blank behind another character, so a text is cut before each run of blanks, and each distinct run is
 encoded once a worker.
 
-Defined results: null text gives null ids; an empty text no ids; ids of null and repeated rows are computed like any
-others; whole texts are encoded, however long. A text that itself holds the mark U+2581, which stands for a blank, or no
+Defined results: null text gives null ids; an empty text no ids; null ids are carried along, and repeated rows come out each;
+an empty table gives an empty one; columns beside doc_id and text are not looked at; whole texts are encoded, however long. A text that itself holds the mark U+2581, which stands for a blank, or no
 valid Unicode, doesn't come back the same: round_trip says so for each row.
 """
 

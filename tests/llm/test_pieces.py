@@ -68,3 +68,11 @@ def test_defined_results(spark):
     assert by[3][0].ids == by[3][1].ids and by[4][0].round_trip and by[6][0].round_trip and by[5][0].round_trip is False
     assert decode(encode(df)).count() == len(rows)
     assert encode(spark.createDataFrame([], DDL)).count() == 0
+
+
+def test_columns_that_differ_in_case(spark):
+    from lodestrata.llm.common import pick
+
+    df = spark.createDataFrame([(1, "a", "b", 2)], "doc_id long, TEXT string, text string, Lang long")
+    assert pick(df, "doc_id", "text", "lang").collect() == [(1, "b", 2)] and pick(df, "TEXT").columns == ["TEXT"]
+    assert pick(spark.createDataFrame([("a",)], "TEXT string"), "text").collect() == [("a",)]
