@@ -17,7 +17,8 @@ TARGET_ROLES = ("callee", "imported", "target", "dependency", "container")
 
 def role_member(members, roles):
     """the first member, by position, with one of the roles, the roles' order before that of positions."""
-    found = [F.filter(members, lambda m, r=r: m["role"] == r) for r in roles]
+    of = lambda role: F.filter(members, lambda m: m["role"] == role)
+    found = [of(r) for r in roles]
     return F.coalesce(*[F.try_element_at(f, F.lit(1))["node_id"] for f in found])
 
 

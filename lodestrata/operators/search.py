@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.operators.ranking import materialised
+
 K1, B = 1.2, 0.75
 
 
@@ -24,6 +26,7 @@ def bm25(docs: DataFrame, query: list[str], k: int | None = 20) -> DataFrame:
 
     base = docs.select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)).alias("t"))
     base = base.select("doc_id", F.size("t").alias("len"), *[count(w).alias(f"tf{i}") for i, w in enumerate(words)])
+    base = materialised(base, "bm25")  # texts are read and taken apart once
     stats = base.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(words))])
     hit = base.filter(sum((F.col(f"tf{i}") for i in range(len(words))), F.lit(0)) > 0).crossJoin(F.broadcast(stats))  # one row
     score = F.lit(0.0)

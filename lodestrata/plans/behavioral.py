@@ -80,13 +80,12 @@ def a8(spark, d):
     return B.cochange_groups(pairs(spark, d, 0.36))
 
 
-@register("a9_group_cooccurrence", with_(BASKETS) + """, g AS (SELECT r_regionkey AS id, s_suppkey AS file FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE s_suppkey % 20 = r_regionkey),
-k AS (SELECT id, count(*) AS arity FROM g GROUP BY id)
-SELECT CAST(id AS BIGINT) AS grp, count(*) AS co_occurrences FROM (SELECT g.id, commit, count(*) AS n FROM g JOIN bk USING (file) GROUP BY ALL) JOIN k USING (id) WHERE n = arity GROUP BY id""")
+@register("a9_group_cooccurrence", with_(BASKETS) + """, g AS (SELECT a.s_suppkey AS id, unnest([a.s_suppkey, b.s_suppkey]) AS file FROM supplier a JOIN supplier b ON b.s_suppkey = a.s_suppkey + 1)
+SELECT CAST(id AS BIGINT) AS grp, count(*) AS co_occurrences FROM (SELECT g.id, commit, count(*) AS n FROM g JOIN bk USING (file) GROUP BY ALL) WHERE n = 2 GROUP BY id""")
 def a9(spark, d):
-    s, n = table(spark, d, "supplier"), table(spark, d, "nation")
-    g = s.join(n, s.s_nationkey == n.n_nationkey).filter("s_suppkey % 20 = n_regionkey").groupBy(F.col("n_regionkey").cast("long").alias("grp")).agg(F.array_sort(F.collect_list("s_suppkey")).alias("members"))
-    g = g.withColumn("arity", F.size("members"))
+    """Each supplier and the next one are a group."""
+    s = table(spark, d, "supplier").select("s_suppkey")
+    g = s.join(s.select((F.col("s_suppkey") - 1).alias("s_suppkey"), F.col("s_suppkey").alias("next")), "s_suppkey").select(F.col("s_suppkey").alias("grp"), F.array("s_suppkey", "next").alias("members"), F.lit(2).alias("arity"))
     return B.group_cooccurrence(baskets(spark, d), g).join(g, "members").select("grp", "co_occurrences")
 
 

@@ -185,10 +185,10 @@ def w4(spark, d):
     return T.trends(h).select("node", "slope", "trend", "current_score", "snapshots")
 
 
-@register("u2_snapshot_diff", "WITH o AS (SELECT DISTINCT o_custkey AS id FROM orders WHERE o_orderdate < TIMESTAMP '1995-04-01'), n AS (SELECT DISTINCT o_custkey AS id FROM orders WHERE o_orderdate >= TIMESTAMP '2001-05-01') SELECT 'added' AS change, id FROM n WHERE id NOT IN (SELECT id FROM o) UNION ALL SELECT 'removed', id FROM o WHERE id NOT IN (SELECT id FROM n)")
+@register("u2_snapshot_diff", "WITH o AS (SELECT DISTINCT o_custkey AS id FROM orders WHERE o_orderdate < TIMESTAMP '1998-04-16'), n AS (SELECT DISTINCT o_custkey AS id FROM orders WHERE o_orderdate >= TIMESTAMP '1998-04-16') SELECT 'added' AS change, id FROM n WHERE id NOT IN (SELECT id FROM o) UNION ALL SELECT 'removed', id FROM o WHERE id NOT IN (SELECT id FROM n)")
 def u2(spark, d):
     o = table(spark, d, "orders").select(F.col("o_custkey").alias("id"), "o_orderdate")
-    return T.difference(o.filter("o_orderdate < '1995-04-01'"), o.filter("o_orderdate >= '2001-05-01'"))
+    return T.difference(o.filter("o_orderdate < '1998-04-16'"), o.filter("o_orderdate >= '1998-04-16'"))
 
 
 @register("i8_alias_chain", """WITH RECURSIVE a AS (SELECT p_partkey AS old, p_partkey + 1 AS new FROM part WHERE p_partkey % 5 > 0), r AS (SELECT old, new, 1 AS hops FROM a UNION ALL SELECT r.old, a.new, hops + 1 FROM r JOIN a ON a.old = r.new WHERE hops < 10)

@@ -88,6 +88,40 @@ def j3(spark, d):
     return ST.pairs_view(members(spark, d), "commit_files")
 
 
+VIEW_ROWS = "SELECT CAST(s_suppkey AS BIGINT) AS edge, CAST(s_suppkey AS BIGINT) AS {a}, CAST(1000000 + s_nationkey AS BIGINT) AS {b} FROM supplier"
+
+
+def _view(spark, d, view, role_a, role_b):
+    """Each supplier on an edge with its nation, with the roles as they were once called."""
+    kind, _ = ST.VIEWS[view]
+    s = table(spark, d, "supplier")
+    m = s.select(F.col("s_suppkey").alias("edge"), F.lit(kind).alias("kind"), F.explode(F.array(F.struct(F.lit(role_a).alias("role"), F.col("s_suppkey").alias("node")), F.struct(F.lit(role_b).alias("role"), (1_000_000 + F.col("s_nationkey")).cast("long").alias("node")), F.struct(F.lit("other").alias("role"), F.col("s_suppkey").alias("node")))).alias("m"))
+    return ST.pairs_view(m.select("edge", "kind", "m.role", "m.node"), view)
+
+
+@register("j2_import_graph_view", VIEW_ROWS.format(a="importer", b="imported"))
+def j2(spark, d):
+    return _view(spark, d, "import_graph", "source", "target")
+
+
+@register("j4_document_references_view", VIEW_ROWS.format(a="document", b="code_entity"))
+def j4(spark, d):
+    return _view(spark, d, "document_references", "document", "entity")
+
+
+@register("j5_prompt_modifications_view", VIEW_ROWS.format(a="session", b="file"))
+def j5(spark, d):
+    return _view(spark, d, "prompt_modifications", "prompt", "file")
+
+
+@register("f10_directed_pairs", with_(MEMBERS) + "SELECT 3000000 + o AS src, min(s) AS dst, 1.0::DOUBLE AS weight FROM bs GROUP BY o UNION ALL SELECT s_suppkey, 1000000 + s_nationkey, 1.0 FROM supplier")
+def f10(spark, d):
+    """A commit's edge has no roles of a pair, so its first two members make one."""
+    from lodestrata.operators.graph import directed
+
+    return directed(ST.with_members(members(spark, d)).withColumn("confidence", F.lit(1.0)))
+
+
 @register("j6_edges_of_nodes", with_(MEMBERS) + "SELECT DISTINCT edge, kind FROM mb WHERE node IN (3, 5, 1000002)")
 def j6(spark, d):
     want = spark.range(1).select(F.explode(F.array(F.lit(3), F.lit(5), F.lit(1_000_002)).cast("array<long>")).alias("node"))
@@ -154,23 +188,23 @@ def j18(spark, d):
     return R.tested(tree(spark, d))
 
 
-@register("j20_directory_imports", "SELECT dir, array_to_string(list_sort(list(DISTINCT other)), ',') AS imports_from FROM (SELECT n1.n_name AS dir, n2.n_name AS other FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey JOIN nation n1 ON n1.n_nationkey = c_nationkey JOIN nation n2 ON n2.n_nationkey = s_nationkey WHERE l_quantity >= 49) WHERE dir <> other GROUP BY dir")
+@register("j20_directory_imports", "SELECT dir, array_to_string(list_sort(list(DISTINCT other)), ',') AS imports_from FROM (SELECT n1.n_name AS dir, n2.n_name AS other FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey JOIN nation n1 ON n1.n_nationkey = c_nationkey JOIN nation n2 ON n2.n_nationkey = s_nationkey) WHERE dir <> other GROUP BY dir")
 def j20(spark, d):
     li, o, c, s, n = (table(spark, d, t) for t in ("lineitem", "orders", "customer", "supplier", "nation"))
-    j = li.filter("l_quantity >= 49").join(o, li.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey).join(s, li.l_suppkey == s.s_suppkey)
+    j = li.join(o, li.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey).join(s, li.l_suppkey == s.s_suppkey)
     a, b = n.select(F.col("n_nationkey").alias("ka"), F.col("n_name").alias("na")), n.select(F.col("n_nationkey").alias("kb"), F.col("n_name").alias("nb"))
     i = j.join(a, F.col("c_nationkey") == F.col("ka")).join(b, F.col("s_nationkey") == F.col("kb")).select(F.concat("na", F.lit("/x.go")).alias("importer"), F.concat("nb", F.lit("/y.go")).alias("imported"))
     return R.directory_imports(i).select("dir", F.array_join("imports_from", ",").alias("imports_from"))
 
 
-SPANS = "sp AS (SELECT DISTINCT l_suppkey AS file, 'f' || l_partkey AS name, l_partkey AS start, l_partkey + CAST(l_quantity AS BIGINT) AS \"end\" FROM lineitem WHERE l_linenumber = 1), rf AS (SELECT DISTINCT l_suppkey AS file, l_orderkey AS ref, l_partkey + 5 AS \"at\" FROM lineitem WHERE l_linenumber = 2)"
+SPANS = "sp AS (SELECT DISTINCT l_suppkey AS file, 'f' || l_partkey AS name, l_partkey AS start, l_partkey + CAST(l_quantity AS BIGINT) AS \"end\" FROM lineitem), rf AS (SELECT DISTINCT l_suppkey AS file, l_orderkey AS ref, l_partkey + 5 AS \"at\" FROM lineitem)"
 
 
 @register("w6_enclosing_span", with_(SPANS) + "SELECT file, ref, \"at\", s.name, s.start, s.\"end\" FROM (SELECT rf.file, rf.ref, rf.\"at\", min({'size': sp.\"end\" - sp.start, 'start': sp.start, 'name': sp.name, 'end': sp.\"end\"}) AS s FROM rf JOIN sp ON sp.file = rf.file AND rf.\"at\" BETWEEN sp.start AND sp.\"end\" GROUP BY ALL)")
 def w6(spark, d):
     li = table(spark, d, "lineitem")
-    s = li.filter("l_linenumber = 1").select(F.col("l_suppkey").alias("file"), F.concat(F.lit("f"), "l_partkey").alias("name"), F.col("l_partkey").alias("start"), (F.col("l_partkey") + F.col("l_quantity").cast("long")).alias("end")).distinct()
-    r = li.filter("l_linenumber = 2").select(F.col("l_suppkey").alias("file"), F.col("l_orderkey").alias("ref"), (F.col("l_partkey") + 5).alias("at")).distinct()
+    s = li.select(F.col("l_suppkey").alias("file"), F.concat(F.lit("f"), "l_partkey").alias("name"), F.col("l_partkey").alias("start"), (F.col("l_partkey") + F.col("l_quantity").cast("long")).alias("end")).distinct()
+    r = li.select(F.col("l_suppkey").alias("file"), F.col("l_orderkey").alias("ref"), (F.col("l_partkey") + 5).alias("at")).distinct()
     return R.enclosing(r, s)
 
 
@@ -239,11 +273,11 @@ def q3(spark, d):
     return R.entity_lookup(nodes(spark, d), "00012").select("id", "kind", "name")
 
 
-@register("q11_impact", with_(MODIFIES, CALLS) + """, c AS (SELECT s_suppkey AS file FROM supplier WHERE s_suppkey % 5 = 0), i AS (SELECT dst AS file, count(DISTINCT src) AS importers FROM ca GROUP BY dst), pr AS (SELECT p.file AS a, q.file AS b FROM (SELECT DISTINCT commit, file FROM m) p JOIN (SELECT DISTINCT commit, file FROM m) q ON p.commit = q.commit AND p.file <> q.file GROUP BY ALL HAVING count(*) >= 3), pn AS (SELECT a AS file, count(DISTINCT b) AS partners FROM pr GROUP BY a)
+@register("q11_impact", with_(MODIFIES, CALLS) + """, c AS (SELECT s_suppkey AS file FROM supplier), i AS (SELECT dst AS file, count(DISTINCT src) AS importers FROM ca GROUP BY dst), pr AS (SELECT p.file AS a, q.file AS b FROM (SELECT DISTINCT commit, file FROM m) p JOIN (SELECT DISTINCT commit, file FROM m) q ON p.commit = q.commit AND p.file <> q.file GROUP BY ALL HAVING count(*) >= 3), pn AS (SELECT a AS file, count(DISTINCT b) AS partners FROM pr GROUP BY a)
 SELECT c.file, s_nationkey AS module, coalesce(importers, 0) AS importers, coalesce(partners, 0) AS partners, s_acctbal / 10000 > 0.3 AS high_salience, s_suppkey % 4 <= 1 AS single_owner FROM c JOIN supplier ON s_suppkey = c.file LEFT JOIN i ON i.file = c.file LEFT JOIN pn ON pn.file = c.file""")
 def q11(spark, d):
     s = table(spark, d, "supplier").withColumn("file", F.col("s_suppkey"))
-    return R.impact(s.filter("s_suppkey % 5 = 0"), s.select("file", F.col("s_nationkey").alias("module")), calls(spark, d), B.cochange_pairs(modifies(spark, d), 3, 0.0), s.select("file", (F.col("s_acctbal") / 10000).alias("score")), s.select("file", (F.col("s_suppkey") % 4).alias("bus_factor")))
+    return R.impact(s, s.select("file", F.col("s_nationkey").alias("module")), calls(spark, d), B.cochange_pairs(modifies(spark, d), 3, 0.0), s.select("file", (F.col("s_acctbal") / 10000).alias("score")), s.select("file", (F.col("s_suppkey") % 4).alias("bus_factor")))
 
 
 @register("q12_root_module", "SELECT n_name AS name FROM nation ORDER BY length(n_name), n_name LIMIT 1")
@@ -251,11 +285,12 @@ def q12(spark, d):
     return R.root_module(table(spark, d, "nation").select(F.col("n_name").alias("name"), F.lit(None).cast("boolean").alias("is_root"))).select("name")
 
 
-@register("i5_invalidated", "WITH ch AS (SELECT s_suppkey AS n FROM supplier WHERE s_suppkey % 10 = 1), e AS (SELECT DISTINCT l_orderkey AS e, l_suppkey AS n FROM lineitem WHERE l_orderkey % 97 = 0), near AS (SELECT n FROM ch UNION SELECT b.n FROM e a JOIN e b USING (e) JOIN ch ON ch.n = a.n) SELECT s_suppkey AS node_id FROM supplier WHERE s_suppkey NOT IN (SELECT n FROM near)")
+@register("i5_invalidated", "WITH ch AS (SELECT c_custkey AS n FROM customer WHERE c_acctbal < -900), e AS (SELECT DISTINCT date_trunc('day', o_orderdate) AS e, o_custkey AS n FROM orders), near AS (SELECT n FROM ch UNION SELECT b.n FROM e a JOIN e b USING (e) JOIN ch ON ch.n = a.n) SELECT c_custkey AS node_id FROM customer WHERE c_custkey NOT IN (SELECT n FROM near)")
 def i5(spark, d):
-    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("node_id"))
-    m = table(spark, d, "lineitem").filter("l_orderkey % 97 = 0").select(F.col("l_orderkey").alias("hyperedge_id"), F.col("l_suppkey").alias("node_id")).distinct()
-    return T.invalidated(s, s.filter("node_id % 10 = 1"), m)
+    """Customers of a day's orders are on one edge."""
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("node_id"), "c_acctbal")
+    m = table(spark, d, "orders").select(F.date_trunc("day", "o_orderdate").alias("hyperedge_id"), F.col("o_custkey").alias("node_id")).distinct()
+    return T.invalidated(c.select("node_id"), c.filter("c_acctbal < -900").select("node_id"), m)
 
 
 @register("r3_key_documents", "SELECT doc_id, n FROM (SELECT l_orderkey % 50 AS doc_id, count(DISTINCT l_suppkey) AS n FROM lineitem GROUP BY 1) ORDER BY n DESC, doc_id LIMIT 10")

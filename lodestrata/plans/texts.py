@@ -82,9 +82,8 @@ def fn_text(spark, d):
     return table(spark, d, "documents").select("doc_id", X.word_count(t).alias("words"), X.occurrences(t, "the").alias("the_count"), X.good_comment(t).alias("long_enough"), X.line_count(t).alias("lines"))
 
 
-@register("fn_fnv1a64")
+@register("fn_fnv1a64", "SELECT p_partkey, CAST(CASE WHEN h >= 9223372036854775808 THEN h::HUGEINT - 18446744073709551616 ELSE h::HUGEINT END AS BIGINT) AS hash, left(p_name, 10) AS prefix FROM (SELECT p_partkey, p_name, list_reduce(list_concat([14695981039346656037::HUGEINT], list_transform(string_split(p_name, ''), lambda c: ascii(c)::HUGEINT)), lambda h, b: (xor(h, b) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT) AS h FROM part)")
 def fn_fnv(spark, d):
-    """Rows only: 64-bit products that wrap; tests hold it against published values."""
     return table(spark, d, "part").select("p_partkey", X.fnv1a64("p_name").alias("hash"), X.byte_prefix(10)("p_name").alias("prefix"))
 
 
@@ -100,10 +99,15 @@ def src30(spark, d):
     return p.select("page_id", X.remote_of(F.col("url"))["host"].alias("host"))
 
 
-@register("src17_documents", "SELECT doc_id, string_split(text, chr(10))[1] AS title, len(string_split(text, chr(10))) - 1 AS sections, CAST(len(regexp_extract_all(text, '[^ \\t\\n\\r\\f]+')) AS INT) AS words FROM documents")
+@register("src17_documents", r"SELECT doc_id, coalesce(trim(regexp_replace(list_filter(l, lambda x: regexp_matches(x, '^#\s'))[1], '^#\s+', '')), doc_id || '.md') AS title, len(list_filter(l, lambda x: regexp_matches(x, '^#{2,3}\s'))) AS sections, CAST(len(regexp_extract_all(text, '[^ \t\n\r\f\v]+')) AS INT) AS words FROM (SELECT doc_id, string_split(CASE WHEN doc_id % 3 = 0 THEN '# Title ' || doc_id || chr(10) || '## One' || chr(10) || text || chr(10) || '### Two' ELSE text END, chr(10)) AS l, CASE WHEN doc_id % 3 = 0 THEN '# Title ' || doc_id || chr(10) || '## One' || chr(10) || text || chr(10) || '### Two' ELSE text END AS text FROM documents)")
 def src17(spark, d):
-    lines = F.split("text", "\n")
-    return table(spark, d, "documents").select("doc_id", F.element_at(lines, 1).alias("title"), (F.size(lines) - 1).cast("long").alias("sections"), X.word_count(F.col("text")).alias("words"))
+    """Every third document gets headings, as the tables have none."""
+    from lodestrata.sources import files
+
+    n = F.col("doc_id").cast("string")
+    text = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("# Title "), n, F.lit("\n## One\n"), "text", F.lit("\n### Two"))).otherwise(F.col("text"))
+    m = files.documents(table(spark, d, "documents").select(F.concat(n, F.lit(".md")).alias("path"), text.alias("content")))
+    return m.select(F.regexp_replace("path", r"\.md$", "").cast("long").alias("doc_id"), "title", F.size("sections").cast("long").alias("sections"), F.col("word_count").alias("words"))
 
 
 TERMS = ["the", "and", "oring", "thion"]

@@ -1,5 +1,5 @@
 """The engine's incremental path as Structured Streaming: windowed change counts, contributor sessions, edges once each, score
-history by state. State is bounded by watermarks; sinks write by batch id, so a batch that is repeated changes nothing."""
+history by state. State is bounded by watermarks, or forgotten in time; sinks write by batch id, so a batch that is repeated changes nothing."""
 
 from __future__ import annotations
 
@@ -50,20 +50,25 @@ def trend_of(x: float) -> str:
     return "Rising" if x > 0.01 else "Falling" if x < -0.01 else "Stable"
 
 
-def score_trends(scores: DataFrame, keep: int = 10) -> DataFrame:
+def score_trends(scores: DataFrame, keep: int = 10, forget_ms: int = 90 * 86_400_000) -> DataFrame:
     """W4 as it comes in: of (node, at, score) each node's last scores are its state; every batch in which it has new ones gives its
-    trend. Order within a batch is by time; scores that are older than what a former batch brought stand behind it."""
+    trend. Order within a batch is by time; scores that are older than what a former batch brought stand behind it. A node of which
+    nothing came for forget_ms is forgotten."""
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def step(key: tuple[Any, ...], parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         held = list(state.get[0]) if state.exists else []
         new = pd.concat(list(parts)).sort_values(["at", "score"])
         held = (held + new["score"].tolist())[-keep:]
         state.update((held,))
+        state.setTimeoutDuration(forget_ms)
         x = slope(held)
         yield pd.DataFrame({"node": [key[0]], "slope": [round(x, 6)], "trend": [trend_of(x)], "current_score": [held[-1]], "snapshots": [len(held)]})
 
-    return scores.filter("node IS NOT NULL AND score IS NOT NULL").groupBy("node").applyInPandasWithState(step, TREND, "held array<double>", "update", GroupStateTimeout.NoTimeout)
+    return scores.filter("node IS NOT NULL AND score IS NOT NULL").groupBy("node").applyInPandasWithState(step, TREND, "held array<double>", "update", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def into_store(stream: DataFrame, store, table: str, checkpoint: str):
