@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import math
 import os
 import uuid
@@ -54,6 +56,14 @@ def local_path(uri: str) -> str:
     return path
 
 
+def trim() -> None:
+    """Gives what a worker has freed since its former tasks back to the system: workers are used again, and keep it otherwise."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 class WordHashes(dict):
     """Word -> 64-bit hash; emptied when it has grown large, so that long tasks keep to their memory."""
 

@@ -10,8 +10,10 @@ four frames that use all of the above (global and own palettes, part frames, int
 
 Defined results: a null id is carried along; null bytes give no rows; what isn't a GIF, or breaks off before its first image
 is whole, gives one row with an error and no pixels; one that breaks off later gives its whole frames and a row with the
-error; images of no size give no row; repeated rows come out each; an empty table gives no rows. A null or empty vector has
-no animation; one of other length fills the cells in order, over and over.
+error; images of no size give no row; repeated rows come out each; an empty table gives no rows; columns beside the two are not
+looked at. A canvas of more than MOST_PIXELS, of which the first image fills less than a quarter, gives an error and no
+pixels: a few bytes can claim 65,535 x 65,535. So does one for which there is no memory. A null or empty vector has no
+animation; one of other length fills the cells in order, over and over.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ from lodestrata.llm.common import batches, pick, read_table, ship
 SCHEMA = "media_id long,frame int,start_ms long,delay_ms int,disposal int,width int,height int,opaque int,histogram array<int>,rgba binary,error string"
 #: Canvas side of what animation() draws.
 SIDE = 16
+MOST_PIXELS = 1 << 24
 
 
 def lzw_decode(data: bytes, size: int, n: int) -> bytes:
@@ -122,7 +125,7 @@ def decode(data: bytes):
         n = 3 << ((flags & 7) + 1)
         whole = np.frombuffer(data, np.uint8, n, at).reshape(-1, 3)
         at += n
-    canvas = np.zeros((h, w, 4), np.uint8)
+    canvas = None
     delay, disposal, clear = 0, 0, None
     while True:
         kind = data[at]
@@ -165,6 +168,10 @@ def decode(data: bytes):
                     lines = np.empty_like(px)
                     lines[rows_of(ih)] = px
                     px = lines
+                if canvas is None:
+                    if w * h > max(MOST_PIXELS, 4 * iw * ih):
+                        raise ValueError("canvas too large for its first image")
+                    canvas = np.zeros((h, w, 4), np.uint8)
                 before = canvas.copy() if disposal == 3 else None
                 px = px[: max(0, h - y), : max(0, w - x)]
                 part = canvas[y : y + px.shape[0], x : x + px.shape[1]]
@@ -260,8 +267,8 @@ def frames(media: DataFrame) -> DataFrame:
                         if held > 8_000_000 or len(rows) >= 5000:
                             yield batch(rows)
                             rows, held = [], 0
-                except (ValueError, IndexError, struct.error) as x:
-                    rows.append((d, k, start, None, None, w, h, None, None, None, str(x) or "broken"))
+                except (ValueError, IndexError, struct.error, MemoryError) as x:
+                    rows.append((d, k, start, None, None, w, h, None, None, None, str(x) or ("no memory" if isinstance(x, MemoryError) else "broken")))
         if rows:
             yield batch(rows)
 

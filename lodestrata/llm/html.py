@@ -5,10 +5,13 @@
    out, ids and positions left out.
 2. Spark counts the votes of each host; the path of most votes wins (of equals that of the higher score, then the first).
 3. Each page is taken apart once more and gives the text of the containers on its host's path; a page without one falls back
-   to its own best container.
+   to its own best container. The winners, a row a host, are broadcast if they have no more than HELD_BYTES; else they and the
+   pages are shuffled by host and salt. So pages move only where there are very many hosts, and no host is one task's work.
 
 The parser is a scanner over tags with a stack: it skips comments, scripts and styles, closes what HTML lets stay open (p, li,
-td, option ...), and passes over stray ends. It takes time in proportion to the page.
+td, option ...), and passes over stray ends. A '>' in a quoted value doesn't end a tag; where a quote so never ends, or a
+tag with it, quotes are ordinary from there on. Each place of a page is looked at a bounded number of times, open tags are
+found by their places on the stack, and paths are links to the path above, so that time and memory are in proportion to the page.
 
 Defined results: null or empty html gives a null text, by "none"; a null url, or one without a host, has no consensus and
 takes the page's own container; null ids are carried along; repeated rows vote each and come out each; an empty table gives
@@ -18,6 +21,7 @@ no rows; columns beside page_id, url and html are not looked at.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from html import unescape
 
 import pyarrow as pa
@@ -25,9 +29,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import arrow_schema, batches, pick, read_table, ship
+from lodestrata.llm.common import arrow_schema, batches, pick, read_table, ship, stored
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
+NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
+#: What ends a tag or opens a quoted value.
+STOP = re.compile(r"""=\s*(["'])|>""")
+RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in "script style noscript template svg iframe textarea".split()}
 CLASS = re.compile(r"""\bclass\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CONTAINERS = frozenset("body main article section div td th nav aside header footer form ul ol dl table tbody tr blockquote center fieldset details".split())
@@ -43,31 +50,91 @@ CLOSES["tr"] = (frozenset(["tr", "td", "th", "p"]), frozenset(["table", "tbody",
 CLOSES["option"] = (frozenset(["option"]), frozenset(["select"]))
 DIGITS = re.compile(r"\d+")
 BLANKS = re.compile(r"[ \t\r\f\v]*\n[ \t\r\f\v\n]*|[ \t\r\f\v]+")
+#: Bytes of hosts and their paths that are broadcast, and parts that a host's pages are in beyond that.
+HELD_BYTES, SALTS = 32 << 20, 16
 SCHEMA = "page_id long,host string,path string,how string,text string,n_chars int"
 
 
 class Container:
-    __slots__ = ("path", "score", "start", "end", "up")
+    """number is that of the path among the page's; depth are the containers around it."""
 
-    def __init__(self, path: str, up: Container | None, start: int):
-        self.path, self.up, self.score, self.start, self.end = path, up, 0, start, 0
+    __slots__ = ("number", "step", "depth", "score", "start", "end", "up")
+
+    def __init__(self, number: int, step: str, up: Container | None, start: int):
+        self.number, self.step, self.up, self.score, self.start, self.end = number, step, up, 0, start, 0
+        self.depth = 0 if up is None else up.depth + 1
+
+    @property
+    def path(self) -> str:
+        steps, c = [], self
+        while c is not None and c.step:
+            steps.append(c.step)
+            c = c.up
+        return ">".join(reversed(steps))
 
 
 def step(tag: str, attrs: str) -> str:
     m = CLASS.search(attrs) if attrs else None
     if not m:
         return tag
-    names = sorted({DIGITS.sub("#", c) for c in (m[1] or m[2] or m[3] or "").lower().split()})
+    names = sorted({DIGITS.sub("#", c) for c in (m[1] or m[2] or m[3] or "").lower().replace(">", "_").split()})
     return ".".join([tag, *names])
 
 
-def take_apart(html: str) -> tuple[list[Container], list[str]]:
-    """Containers in document order, with scores (twice the characters), and the texts between tags; a container's are
-    texts[start:end]."""
+def tags(html: str):
+    """(start, end, tag or None, whether it ends one, attributes) of each piece that isn't text; None: a comment and the like."""
+    at, quotes = 0, True
+    while (lt := html.find("<", at)) >= 0:
+        if html.startswith("<!--", lt):
+            end = html.find("-->", lt + 4)
+            end = len(html) if end < 0 else end + 3
+            yield lt, end, None, False, ""
+            at = end
+            continue
+        m = NAME.match(html, lt)
+        if m is None:
+            if html.startswith(("<!", "<?"), lt):
+                end = html.find(">", lt)
+                if end < 0:
+                    return
+                yield lt, end + 1, None, False, ""
+                at = end + 1
+            else:
+                at = lt + 1
+            continue
+        end, k = -1, m.end()
+        while quotes:
+            stop = STOP.search(html, k)
+            if stop is None:
+                quotes = False
+            elif stop[1] is None:
+                end = stop.start()
+                break
+            elif (k := html.find(stop[1], stop.end()) + 1) == 0:
+                quotes = False
+        if end < 0:
+            end = html.find(">", m.end())
+            if end < 0:
+                return
+        tag, ends = m[1].lower(), html[lt + 1] == "/"
+        attrs = html[m.end() : end]
+        at = end + 1
+        if tag in RAW and not ends:
+            close = RAW[tag].search(html, at)
+            at = len(html) if close is None else close.end()
+            tag = None
+        yield lt, at, tag, ends, attrs
+
+
+def take_apart(html: str) -> tuple[list[Container], list[str], dict[tuple[int, str], int]]:
+    """Containers in document order, with scores (twice the characters); the texts between tags, a container's being
+    texts[start:end]; and the numbers of paths by the number of the path above and the last step."""
     texts: list[str] = []
-    root = Container("", None, 0)
+    root = Container(0, "", None, 0)
+    numbers: dict[tuple[int, str], int] = {}
     found: list[Container] = []
     stack: list[tuple[str, Container]] = [("", root)]
+    places: dict[str, list[int]] = {}
     at, links, block, block_links, owner = 0, 0, 0, 0, root
 
     def close_block():
@@ -82,6 +149,7 @@ def take_apart(html: str) -> tuple[list[Container], list[str]]:
     def pop():
         nonlocal links
         tag, c = stack.pop()
+        places[tag].pop()
         if tag == "a":
             links -= 1
         if tag in BLOCKS:
@@ -89,27 +157,25 @@ def take_apart(html: str) -> tuple[list[Container], list[str]]:
         if c is not stack[-1][1]:
             c.end = len(texts)
 
-    for m in TOKEN.finditer(html):
-        if m.start() > at:
-            t = html[at : m.start()]
+    for start, end, tag, ends, attrs in tags(html):
+        if start > at:
+            t = html[at:start]
             texts.append(t)
             n = len(t.strip())
             if stack[-1][0] not in ("title", "head"):
                 block += n
                 if links:
                     block_links += n
-        at = m.end()
-        tag = m[3]
+        at = end
         if tag is None:
             continue
-        tag = tag.lower()
         if tag == "br" or tag == "hr":
             texts.append("\n")
             continue
         if tag in VOID:
             continue
-        if m[2]:
-            if any(x[0] == tag for x in stack):
+        if ends:
+            if places.get(tag):
                 if tag in BLOCKS:
                     close_block()
                 while stack[-1][0] != tag:
@@ -119,25 +185,24 @@ def take_apart(html: str) -> tuple[list[Container], list[str]]:
             continue
         if tag in BLOCKS:
             close_block()
-            closes = CLOSES.get(tag)
-            if closes:
-                k = len(stack) - 1
-                last = 0
-                while k > 0 and stack[k][0] not in closes[1]:
-                    if stack[k][0] in closes[0]:
-                        last = k
-                    k -= 1
-                while last and len(stack) > last:
-                    pop()
+            if tag in CLOSES:
+                inner, outer = CLOSES[tag]
+                wall = max((places[t][-1] for t in outer if places.get(t)), default=0)
+                first = [p[k] for t in inner if (p := places.get(t)) and (k := bisect_right(p, wall)) < len(p)]
+                if first:
+                    while len(stack) > min(first):
+                        pop()
             texts.append("\n")
         up = stack[-1][1]
         if tag in CONTAINERS:
-            c = Container(f"{up.path}>{step(tag, m[4])}" if up.path else step(tag, m[4]), up, len(texts))
+            key = up.number, step(tag, attrs)
+            c = Container(numbers.setdefault(key, len(numbers) + 1), key[1], up, len(texts))
             found.append(c)
         else:
             c = up
-        if m[4].endswith("/") and tag not in BLOCKS:
+        if attrs.endswith("/") and tag not in BLOCKS:
             continue
+        places.setdefault(tag, []).append(len(stack))
         stack.append((tag, c))
         owner = c
         if tag == "a":
@@ -151,12 +216,21 @@ def take_apart(html: str) -> tuple[list[Container], list[str]]:
     while len(stack) > 1:
         pop()
     root.end = len(texts)
-    return found or [root], texts
+    return found or [root], texts, numbers
 
 
 def best(found: list[Container]) -> Container:
     """The highest score; of equals the deeper one, then the first."""
-    return max(found, key=lambda c: (c.score, c.path.count(">"), -c.start))
+    return max(found, key=lambda c: (c.score, c.depth, -c.start))
+
+
+def on_path(found: list[Container], numbers: dict[tuple[int, str], int], path: str) -> list[Container]:
+    at = 0
+    for part in path.split(">"):
+        at = numbers.get((at, part), -1)
+        if at < 0:
+            return []
+    return [c for c in found if c.number == at]
 
 
 def text_of(parts: list[str]) -> str:
@@ -189,7 +263,7 @@ def winners(v: DataFrame) -> DataFrame:
     return c.withColumn("r", F.row_number().over(order)).filter("r = 1").select("host", F.col("path").alias("winner"))
 
 
-def main_text(pages: DataFrame) -> DataFrame:
+def main_text(pages: DataFrame, held: int = HELD_BYTES) -> DataFrame:
     """page_id, host, the path taken, how (consensus, own, none), the text and its length."""
     p = pick(pages, "page_id", "url", "html").select("page_id", host_of(F.col("url")).alias("host"), "html")
     schema = arrow_schema(SCHEMA)
@@ -201,8 +275,8 @@ def main_text(pages: DataFrame) -> DataFrame:
                 if not x:
                     rows.append((d, h, None, "none", None, None))
                     continue
-                found, texts = take_apart(x)
-                mine = [c for c in found if c.path == w] if w is not None else []
+                found, texts, numbers = take_apart(x)
+                mine = on_path(found, numbers, w) if w is not None else []
                 how, path = "consensus", w
                 if not mine:
                     how, mine = "own", [best(found)]
@@ -217,7 +291,14 @@ def main_text(pages: DataFrame) -> DataFrame:
                 rows.append((d, h, path, how, t, len(t)))
             yield pa.RecordBatch.from_pydict({c: [r[i] for r in rows] for i, c in enumerate(schema.names)}, schema=schema)
 
-    return p.join(winners(votes(p)), "host", "left").select("page_id", "host", "html", "winner").mapInArrow(run, SCHEMA)
+    w = stored(winners(votes(p)), "winners")
+    size = w.agg(F.sum(F.octet_length("host") + F.octet_length("winner") + 64)).first()[0] or 0
+    if size <= held:
+        both = p.join(F.broadcast(w), "host", "left")
+    else:
+        p = p.withColumn("salt", F.pmod(F.xxhash64("page_id", F.length("html")), F.lit(SALTS)).cast("int"))
+        both = p.join(w.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("shuffle_hash"), ["host", "salt"], "left")
+    return both.select("page_id", "host", "html", "winner").mapInArrow(run, SCHEMA)
 
 
 def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

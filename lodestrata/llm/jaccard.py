@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import U64, WordHashes, arrow_schema, bands_for, batches, fresh, kgrams, pick, read_table, ship, signed, stored
+from lodestrata.llm.common import U64, WordHashes, arrow_schema, bands_for, batches, fresh, kgrams, pick, read_table, ship, signed, stored, trim
 from lodestrata.llm.passages import SENT
 from lodestrata.operators.graph import components
 
@@ -68,13 +68,14 @@ def signatures(sets: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
     return out
 
 
-def sign(docs: DataFrame, n: int, bands: int, rows: int, most: int = 500_000) -> DataFrame:
+def sign(docs: DataFrame, n: int, bands: int, rows: int, most: int = 200_000) -> DataFrame:
     """(doc_id, node, bands) of each text that has a set; node is its set's hash. A task makes the bands of an equal set once
     (twice, if it has met `most` others between), and leaves them null for the copies."""
     ddl = "doc_id long,node long,bands array<long>"
     schema = arrow_schema(ddl)
 
     def run(it):
+        trim()
         words, seen = WordHashes(fold=True), set()
         for ids, texts in batches(it, "doc_id", "text"):
             for i in range(0, len(ids), 256):
@@ -139,6 +140,7 @@ def verified(docs: DataFrame, pairs: DataFrame, n: int, threshold: float) -> Dat
     sent_schema = arrow_schema(sent_ddl)
 
     def send(it):
+        trim()
         words = WordHashes(fold=True)
         for b in it:
             for i in range(0, b.num_rows, 64):
@@ -168,6 +170,7 @@ def verified(docs: DataFrame, pairs: DataFrame, n: int, threshold: float) -> Dat
     out_schema = arrow_schema(out_ddl)
 
     def compare(it):
+        trim()
         now, sets = None, {}
         for cols in batches(it, "home_a", "home_b", "node_a", "node_b", "grams"):
             out = ([], [], [])

@@ -3,7 +3,9 @@
 scope_nodes(path, id, kind, symbol, parent): kinds root, scope, push (a reference), pop (a definition), import, export; scope_edges
 (path, source, target) lead from where a name is looked up to where it may be found. Within a file, a reference is resolved by
 a breadth-first walk that carries a stack of symbols; at an import the walk goes on, in Spark, at the exports of that symbol in
-other files. So a file's graph is a task's work, and across files there is one equi-join a hop.
+other files. So a file's graph is a task's work, and across files there is one equi-join a hop; hops end when they come to no
+place, with no stack, that they haven't been at. Nothing else ends a walk but that a stack holds no more symbols than it began
+with and the file has references, so that a circle of references isn't gone round for ever.
 """
 
 from __future__ import annotations
@@ -19,13 +21,14 @@ from lodestrata.operators.ranking import materialised
 HITS = "path string, ref_path string, ref long, found long, symbol string, rest string"
 
 
-def walk(kinds: dict, near: dict, starts: list[tuple], most: int = 10_000) -> list[tuple]:
+def walk(kinds: dict, near: dict, starts: list[tuple]) -> list[tuple]:
     """(origin, hit or None, symbol, stack that is left) from (origin, node, stack): a pop takes the symbol on top, a push adds one; a
     pop that empties the stack is a hit; an import with a stack gives what goes on elsewhere."""
     out = []
+    pushes = sum(kind == "push" for kind, _ in kinds.values())
     for origin, node, stack in starts:
-        seen, queue = set(), deque([(node, stack)])
-        while queue and len(seen) < most:
+        seen, queue, deep = set(), deque([(node, stack)]), len(stack) + pushes
+        while queue:
             at, st = queue.popleft()
             if (at, st) in seen:
                 continue
@@ -40,6 +43,8 @@ def walk(kinds: dict, near: dict, starts: list[tuple], most: int = 10_000) -> li
                     continue
             elif kind == "push":
                 st = (*st, symbol)
+                if len(st) > deep:
+                    continue
             elif kind == "import" and st:
                 out.append((origin, None, st[-1], "\x1f".join(st)))
                 continue
@@ -57,12 +62,12 @@ def _search(key, nodes: pd.DataFrame, edges: pd.DataFrame, starts: pd.DataFrame)
     return pd.DataFrame(rows, columns=["path", "ref_path", "ref", "found", "symbol", "rest"]).astype({"found": "Int64"})
 
 
-def resolve(nodes: DataFrame, edges: DataFrame, hops: int = 5) -> DataFrame:
-    """(ref_path, ref, def_path, def): every definition that a reference may mean; hops: files that the way may lead through."""
+def resolve(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(ref_path, ref, def_path, def): every definition that a reference may mean, through however many files."""
     starts = nodes.filter("kind = 'push'").select("path", F.col("path").alias("ref_path"), F.col("id").alias("ref"), F.col("id").alias("node"), F.lit("").alias("stack"))
     exports = nodes.filter("kind = 'export'").select(F.col("path").alias("to"), F.col("id").alias("node"), F.col("symbol"))
-    out = None
-    for _ in range(hops):
+    out, been = None, starts
+    while True:
         packed = nodes.groupBy("path").agg(F.collect_list(F.struct("id", "kind", "symbol")).alias("n")).join(edges.groupBy("path").agg(F.collect_list(F.struct("source", "target")).alias("e")), "path", "left")
         packed = packed.join(starts.groupBy("path").agg(F.collect_list(F.struct("ref_path", "ref", "node", "stack")).alias("s")), "path")
 
@@ -76,9 +81,11 @@ def resolve(nodes: DataFrame, edges: DataFrame, hops: int = 5) -> DataFrame:
         hits = got.filter("found IS NOT NULL").select("ref_path", "ref", F.col("path").alias("def_path"), F.col("found").alias("def"))
         out = hits if out is None else out.unionByName(hits)
         on = got.filter("found IS NULL").join(exports, "symbol").filter("to != path")
-        starts = materialised(on.select(F.col("to").alias("path"), "ref_path", "ref", "node", F.col("rest").alias("stack")).distinct(), "scope-starts")
+        on = on.select(F.col("to").alias("path"), "ref_path", "ref", "node", F.col("rest").alias("stack")).distinct()
+        starts = materialised(on.join(been, ["path", "ref_path", "ref", "node", "stack"], "left_anti"), "scope-starts")
         if not starts.take(1):
             break
+        been = been.unionByName(starts)
     return out.distinct()
 
 

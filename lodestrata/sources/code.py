@@ -72,7 +72,7 @@ def blank(text: str, lang: Language) -> str:
 
 def ends(clean: list[str], starts: list[int], lang: Language) -> list[int]:
     """The last line of each definition that begins in these lines."""
-    out = []
+    out, begins = [], set(starts)
     if lang.body == "braces":
         depth, d = [0], 0
         first = []  # depth before each line
@@ -92,7 +92,7 @@ def ends(clean: list[str], starts: list[int], lang: Language) -> list[int]:
                     e = k
                     break
                 e = k
-                if not opened and k - s > 20:
+                if not opened and k + 1 in begins:  # no body before the next definition
                     e = s
                     break
             out.append(e)
@@ -132,11 +132,30 @@ def doc_above(lines: list[str], at: int, lang: Language) -> str | None:
 
 
 def docstring(lines: list[str], at: int) -> str | None:
-    """A Python definition's docstring."""
-    for k in range(at, min(at + 12, len(lines))):
-        if lines[k].rstrip().endswith(":"):
-            m = re.match(r"""\s*[rRuU]?(\"\"\"|''')(.*?)\1""", "\n".join(lines[k + 1 :]), re.S)
-            return " ".join(m[2].split()) or None if m else None
+    """A Python definition's docstring: what is quoted right below its head, which ends with a colon outside brackets."""
+    depth = 0
+    for k in range(at, len(lines)):
+        line = re.sub(r"\s*#.*$", "", lines[k])
+        if k > at and re.match(r"\s*(?:async\s+def|def|class)\b", line):
+            return None
+        depth += sum(map(line.count, "([{")) - sum(map(line.count, ")]}"))
+        if depth > 0:
+            continue
+        if not line.rstrip().endswith(":"):
+            return None
+        k += 1
+        while k < len(lines) and not lines[k].strip():
+            k += 1
+        m = re.match(r"""\s*[rRuU]?(\"\"\"|''')(.*)$""", lines[k]) if k < len(lines) else None
+        if not m:
+            return None
+        got = [m[2]]
+        while m[1] not in got[-1]:
+            k += 1
+            if k == len(lines):
+                return None
+            got.append(lines[k])
+        return " ".join("\n".join(got).split(m[1])[0].split()) or None
     return None
 
 

@@ -88,6 +88,13 @@ def test_defined_results(spark):
     assert G.frames(spark.createDataFrame([], "media_id long, gif binary")).count() == 0
 
 
+def test_canvas_that_few_bytes_claim(spark):
+    one = G.image(np.ones((1, 1), np.uint8), 0, 0, None, False, 4)
+    rows = [(1, file(one, w=65_535, h=65_535)), (2, file(one, w=3000, h=2000))]
+    got = {r.media_id: r for r in G.frames(spark.createDataFrame(rows, "media_id long, gif binary")).collect()}
+    assert got[1].error and got[1].rgba is None and got[2].error is None and got[2].opaque == 1 and len(got[2].rgba) == 24_000_000
+
+
 def test_large_image(spark):
     px = np.random.default_rng(3).integers(0, 256, (500, 700)).astype(np.uint8)
     pal = np.random.default_rng(4).integers(0, 256, (256, 3)).astype(np.uint8)

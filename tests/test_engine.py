@@ -60,3 +60,14 @@ def test_scope_resolution(spark):
     assert {(r.ref, r.def_path) for r in scope.resolve(*gone).collect()} == {(4, "a.py")}
     back = scope.add_file(*gone, n.filter("path = 'b.py'"), e.filter("path = 'b.py'"))
     assert scope.resolve(*back).count() == 2
+
+
+def test_scopes_that_lead_in_circles_or_far(spark):
+    """A chain of ten files, two files that import from each other, and references that lead back to themselves."""
+    nodes = [("f0", 1, "push", "x"), ("f0", 2, "import", None), ("loop", 1, "push", "a"), ("loop", 2, "push", "b"), ("loop", 3, "scope", None)]
+    edges = [("f0", 1, 2), ("loop", 1, 2), ("loop", 2, 3), ("loop", 3, 1)]
+    for i in range(1, 10):
+        nodes += [(f"f{i}", 1, "export", "x"), (f"f{i}", 2, "import" if i < 9 else "pop", None if i < 9 else "x")]
+        edges.append((f"f{i}", 1, 2))
+    got = scope.resolve(spark.createDataFrame(nodes, "path string, id long, kind string, symbol string"), spark.createDataFrame(edges, "path string, source long, target long")).collect()
+    assert [(r.ref_path, r.ref, r.def_path) for r in got] == [("f0", 1, "f9")]
