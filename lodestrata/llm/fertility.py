@@ -4,8 +4,8 @@ Three public vocabularies' behaviour on a text: characters per token of a byte-l
 the piece BPE's tokens that are byte fallback, and the entropy of its tokens. Tokens depend only on the run of non-blanks
 (with its leading blank) that they lie in, so each distinct run is tokenised once a task and the rest is table look-up.
 
-Bands. A text is rejected where a measure lies outside the band of its language. fit_bands() fits them on rows that are
-labelled good, LABELLED at most: about the median of each measure, as far as nearly all good rows of that language go, in
+Bands. A text is rejected where a measure lies outside the band of its language. fit_bands() fits them on all rows that are
+labelled good, by exact quantiles: about the median of each measure, as far as nearly all good rows of that language go, in
 units that shrink with the root of the tokens (a long text has to be nearer to the median than a short one), and SLACK times
 that. A language with fewer than FIT_LEAST good rows takes the wide bands of BANDS; one that has none there takes those of its
 script (that of most of its letters), a script without bands takes "*". Entropy is given as a share of the most it could be
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import base64
 import itertools
+import math
 import re
 import unicodedata
 from collections import Counter
@@ -29,10 +30,11 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import arrow_schema, batches, has_table, pick, read_table, ship
+from lodestrata.llm.common import arrow_schema, batches, has_table, pick, read_table, ship, stored
 
 #: Blanks as both tokenisers know them. No token of either holds a blank behind a non-blank, so a text can be cut before each run of blanks.
 _W = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -52,8 +54,10 @@ BANDS: dict[str, tuple[float, float, float, float, float, float]] = {
     "CJK": (0.25, 6.0, 0.25, 6.0, 1.0, 0.35),
     "*": (0.2, 20.0, 0.2, 20.0, 1.0, 0.3),
 }
-#: Good rows that bands are fitted on, at most in all and at least for a language; part of them that may lie outside on each side, and what the rest is widened by.
-LABELLED, FIT_LEAST, OUTSIDE, SLACK = 20_000, 50, 0.001, 1.5
+#: Good rows that bands are fitted on, at least for a language; part of them that may lie outside on each side, and what the rest is widened by.
+FIT_LEAST, OUTSIDE, SLACK = 50, 0.001, 1.5
+#: What bands are fitted on, and the bins of a round of that.
+MEASURES, BINS = ("n_tokens", "chars_per_byte_token", "chars_per_piece_token", "byte_share", "entropy_share"), 256
 SCHEMA = "doc_id long,lang string,script string,n_chars long,n_tokens long,chars_per_byte_token double,chars_per_piece_token double,byte_share double,entropy double,entropy_share double,keep boolean,reason string"
 _SCRIPTS = ("LATIN", "CYRILLIC", "GREEK", "ARABIC", "HEBREW", "CJK", "HIRAGANA", "KATAKANA", "HANGUL", "DEVANAGARI", "THAI")
 
@@ -220,33 +224,114 @@ def fertility(docs: DataFrame, folder: str = "/opt/tokenizers", bands: dict | No
     return pick(docs, "doc_id", "text", "lang").mapInArrow(run, SCHEMA)
 
 
-def fit_bands(docs: DataFrame, labels: DataFrame, folder: str = "/opt/tokenizers", most: int = LABELLED, least: int = FIT_LEAST) -> dict:
-    """BANDS with fitted ones for the languages of rows labelled good (quality 1). What is brought to the driver is one row of
-    numbers for each of `most` ids at most, which are chosen by the hash of the id."""
+def histograms(x: DataFrame, series: list[tuple], within: list[tuple[int, float, float]]) -> dict[int, list[tuple[int, int, float, float]]]:
+    """Of each (series, least, most) in `within`: (bin, values, least, most) of BINS bins of its values from least to most. A series
+    is (language, column, of long texts only, median or None); with a median it is the distances from it times the root of the tokens."""
+
+    def run(it):
+        held: dict[tuple[int, int], list] = {}
+        for b in it:
+            cols = {c: b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in MEASURES}
+            n, langs = cols["n_tokens"], b.column(b.schema.get_field_index("lang"))
+            of = {lang: pc.equal(langs, lang).to_numpy(zero_copy_only=False) for lang in {series[s][0] for s, _, _ in within}}
+            for at, (s, lo, hi) in enumerate(within):
+                lang, c, long, mid = series[s]
+                v = cols[c][of[lang] & (n >= MIN_TOKENS) if long else of[lang]]
+                if mid is not None:
+                    v = (v - mid) * np.sqrt(n[of[lang]])
+                v = v[(v >= lo) & (v <= hi)]
+                part = np.minimum((v - lo) / (hi - lo) * BINS, BINS - 1).astype(np.int64) if np.isfinite(hi) else np.zeros(len(v), np.int64)
+                order = np.lexsort((v, part))
+                v, part = v[order], part[order]
+                heads = np.flatnonzero(np.append(True, part[1:] != part[:-1])[: len(v)])
+                ends = np.append(heads[1:], len(v))
+                for i, j in zip(heads.tolist(), ends.tolist()):
+                    got = held.setdefault((at, int(part[i])), [0, np.inf, -np.inf])
+                    got[:] = got[0] + j - i, min(got[1], float(v[i])), max(got[2], float(v[j - 1]))
+        rows = [(*k, *h) for k, h in held.items()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows) if rows else [[]] * 5, schema)], schema=schema)
+
+    ddl = "at long,bin long,n long,lo double,hi double"
+    schema = arrow_schema(ddl)
+    got = x.select("lang", *MEASURES).mapInArrow(run, ddl).groupBy("at", "bin").agg(F.sum("n"), F.min("lo"), F.max("hi")).collect()
+    out: dict[int, list] = {at: [] for at in range(len(within))}
+    for at, *r in sorted(tuple(r) for r in got):
+        out[at].append(tuple(r))
+    return out
+
+
+def quantiles(x: DataFrame, wanted: list[tuple[tuple, float, int]]) -> list[float]:
+    """The exact quantile of each (series, share, its number of values), interpolated as numpy does. Its two neighbours in order are
+    closed in on by rounds of histograms, so that neither a task nor the driver holds the values."""
+    series = sorted({s for s, _, _ in wanted}, key=str)
+    spots = [(series.index(s), math.floor(q * (n - 1)) + i) for s, q, n in wanted for i in (0, 1) if math.floor(q * (n - 1)) + i < n]
+    # (series, place): least, most and the place among the values from least to most
+    todo = {spot: (-math.inf, math.inf, spot[1]) for spot in spots}
+    value: dict[tuple[int, int], float] = {}
+    while todo:
+        within = sorted({(s, lo, hi) for (s, _), (lo, hi, _) in todo.items()})
+        found = dict(zip(within, histograms(x, series, within).values()))
+        for spot, (lo, hi, place) in list(todo.items()):
+            for _, n, least, most in found[spot[0], lo, hi]:
+                if place < n:
+                    break
+                place -= n
+            if place in (0, n - 1):
+                value[spot] = least if place == 0 else most
+                del todo[spot]
+            elif least == most:
+                value[spot] = least
+                del todo[spot]
+            else:
+                todo[spot] = least, most, place
+    out = []
+    for s, q, n in wanted:
+        at = math.floor(q * (n - 1))
+        lo = value[series.index(s), at]
+        hi = value.get((series.index(s), at + 1), lo)
+        out.append(lo + (hi - lo) * (q * (n - 1) - at))
+    return out
+
+
+def fit_bands(docs: DataFrame, labels: DataFrame, folder: str = "/opt/tokenizers", least: int = FIT_LEAST, measured: DataFrame | None = None) -> dict:
+    """BANDS with fitted ones for the languages of rows labelled good (quality 1), of all of them. `measured` is what fertility()
+    tells of docs, where it is there already. What is shuffled and kept are numbers, never texts."""
     good = labels.filter("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
-    good = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    # no more than `most` ids, so the broadcast has a bound
-    some = fertility(pick(docs, "doc_id", "text", "lang").join(F.broadcast(good), "doc_id", "left_semi"), folder).filter("lang IS NOT NULL AND n_tokens > 0")
-    one = F.min(F.struct("lang", "n_tokens", "chars_per_byte_token", "chars_per_piece_token", "byte_share", "entropy_share"))
-    d = some.groupBy("doc_id").agg(one.alias("x")).select("x.*").toPandas()
+    measured = fertility(docs, folder) if measured is None else measured
+    some = measured.filter("lang IS NOT NULL AND n_tokens > 0").select("doc_id", "lang", *MEASURES).join(good, "doc_id", "left_semi")
+    x = stored(some.groupBy("doc_id").agg(F.min(F.struct("lang", *MEASURES)).alias("x")).select("x.*"), "fit")
+    sizes = {r[0]: (r[1], r[2]) for r in x.groupBy("lang").agg(F.count(F.lit(1)), F.count_if(F.col("n_tokens") >= MIN_TOKENS)).collect() if r[1] >= least}
+    if not sizes:
+        return dict(BANDS)
+    # medians of the long texts, or of all where none is long
+    ask = [((lang, c, long > 0, None), 0.5, long or n) for lang, (n, long) in sizes.items() for c in MEASURES[1:4]]
+    ask += [((lang, "entropy_share", True, None), q, long) for lang, (n, long) in sizes.items() if long for q in (0.5, OUTSIDE)]
+    mids = {(s[0], s[1], q): v for (s, q, _), v in zip(ask, quantiles(x, ask))}
+    ask = [((lang, c, False, mids[lang, c, 0.5]), q, n) for lang, (n, _) in sizes.items() for c in MEASURES[1:4] for q in (OUTSIDE, 1 - OUTSIDE)]
+    ends = {(s[0], s[1], q): v * SLACK for (s, q, _), v in zip(ask, quantiles(x, ask))}
     out = dict(BANDS)
-    for lang, x in d.groupby("lang"):
-        if len(x) < least:
-            continue
-        n = x["n_tokens"].to_numpy(np.float64)
-        long = n >= MIN_TOKENS
-        fit = []
-        for c in ("chars_per_byte_token", "chars_per_piece_token", "byte_share"):
-            v = x[c].to_numpy(np.float64)
-            mid = float(np.median(v[long])) if long.any() else float(np.median(v))
-            lo, hi = np.quantile((v - mid) * np.sqrt(n), [OUTSIDE, 1 - OUTSIDE]) * SLACK
-            fit.append((mid, min(0.0, float(lo)), max(0.0, float(hi))))
-        ent = x["entropy_share"].to_numpy(np.float64)[long]
-        low = float(np.median(ent) - SLACK * (np.median(ent) - np.quantile(ent, OUTSIDE))) if len(ent) else 0.0
-        out[lang] = Fitted(*fit, low)
+    for lang in sorted(sizes):
+        fit = [(mids[lang, c, 0.5], min(0.0, ends[lang, c, OUTSIDE]), max(0.0, ends[lang, c, 1 - OUTSIDE])) for c in MEASURES[1:4]]
+        mid = mids.get((lang, "entropy_share", 0.5))
+        out[lang] = Fitted(*fit, 0.0 if mid is None else mid - SLACK * (mid - mids[lang, "entropy_share", OUTSIDE]))
     return out
 
 
+def judged(measured: DataFrame, bands: dict) -> DataFrame:
+    """What fertility() tells with these bands, from what it told with others: texts aren't read again."""
+    schema = arrow_schema(SCHEMA)
+    cols = ("n_tokens", "chars_per_byte_token", "chars_per_piece_token", "byte_share", "entropy_share")
+
+    def run(it):
+        for b in it:
+            lang, script, n, *m = (b.column(b.schema.get_field_index(c)).to_pylist() for c in ("lang", "script", *cols))
+            why = ["empty" if cb is None else judge(la, sc, (cb, cp, share, es, n_), bands) for la, sc, n_, cb, cp, share, es in zip(lang, script, n, *m)]
+            told = {"keep": pa.array([y is None for y in why], pa.bool_()), "reason": pa.array(why, pa.string())}
+            yield pa.RecordBatch.from_arrays([told[f.name] if f.name in told else b.column(b.schema.get_field_index(f.name)).cast(f.type) for f in schema], schema=schema)
+
+    return measured.mapInArrow(run, SCHEMA)
+
+
 def keep_good(docs: DataFrame, folder: str = "/opt/tokenizers", bands: dict | None = None) -> DataFrame:
     """The rows, with all their columns, of texts that no rule rejects. No shuffle."""
     bands = bands or BANDS
@@ -270,4 +355,7 @@ def bands_of(spark: SparkSession, docs: DataFrame, sf_dir: str) -> dict:
 def op5_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     docs = read_table(spark, sf_dir, "documents")
-    return fertility(docs, bands=bands_of(spark, docs, sf_dir))
+    if not has_table(spark, sf_dir, "labels"):
+        return fertility(docs)
+    measured = stored(fertility(docs), "fertility")
+    return judged(measured, fit_bands(docs, read_table(spark, sf_dir, "labels"), measured=measured))

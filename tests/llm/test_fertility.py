@@ -1,9 +1,12 @@
 """Operator 5 against whole-text tokenising with the libraries."""
 
 import math
+import random
 from collections import Counter
 
-from lodestrata.llm.fertility import BANDS, Fitted, Vocabularies, bands_of, fertility, fit_bands, keep_good
+import numpy as np
+
+from lodestrata.llm.fertility import BANDS, Fitted, Vocabularies, bands_of, fertility, fit_bands, judged, keep_good
 
 DDL = "doc_id long, text string, lang string"
 FOLDER = "/opt/tokenizers"
@@ -79,3 +82,23 @@ def test_defined_results(spark):
     left = keep_good(df)
     assert left.columns == df.columns and {1, 2}.isdisjoint({r.doc_id for r in left.collect()})
     assert fertility(spark.createDataFrame([], DDL)).count() == 0 and keep_good(spark.createDataFrame([], DDL)).count() == 0
+
+
+def test_bands_are_fitted_on_all_good_rows(spark):
+    rng = random.Random(4)
+    rows = [(d, " ".join(rng.choice(["a", "the", "word", "longer", "extraordinary", "é"]) for _ in range(rng.choice([3, 10, 60]))), "en" if d % 3 else "de") for d in range(20_300)]
+    docs = spark.createDataFrame(rows, DDL).repartition(4)
+    x = fertility(docs).toPandas()
+    bands = fit_bands(docs, docs.selectExpr("doc_id", "1 AS quality"))
+    for lang in ("en", "de"):
+        m = x[x.lang == lang]
+        long = (m.n_tokens >= 48).to_numpy()
+        for c, got in zip(("chars_per_byte_token", "chars_per_piece_token", "byte_share"), bands[lang]):
+            v = m[c].to_numpy()
+            mid = np.median(v[long])
+            lo, hi = np.quantile((v - mid) * np.sqrt(m.n_tokens.to_numpy()), [0.001, 0.999]) * 1.5
+            assert np.allclose(got, (mid, min(0, lo), max(0, hi)), rtol=1e-12, atol=1e-12)
+        ent = m.entropy_share.to_numpy()[long]
+        assert abs(bands[lang].entropy - (np.median(ent) - 1.5 * (np.median(ent) - np.quantile(ent, 0.001)))) < 1e-12
+    again = {(r.doc_id, r.reason) for r in judged(fertility(docs), bands).collect()}
+    assert again == {(r.doc_id, r.reason) for r in fertility(docs, bands=bands).collect()}
