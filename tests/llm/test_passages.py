@@ -270,3 +270,18 @@ def test_defined_results(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], DDL)
     assert repeats(df).count() == 0 and fuzzy_passages(df).count() == 0 and without_passages(df).count() == 0
+
+
+def test_passages_whose_seeds_all_lie_in_other_documents_too(spark):
+    """Documents 500 and 900 share P. Lines of P are in documents before and between them, so that no seed of P links the two."""
+    rng = random.Random(12)
+    word = lambda: f"v{rng.randrange(10**6)}"
+    p = [word() for _ in range(60)]
+    noise = lambda: [word() for _ in range(60)]
+    rows = [(500, " ".join(noise() + p + noise())), (900, " ".join(noise() + p + noise()))]
+    for i in range(0, 60, 4):
+        line = p[i : i + 9]  # each five words of P lie in one of these
+        rows += [(i, " ".join(noise() + line + noise())), (600 + i, " ".join(noise() + line + noise()))]
+    for n in (1, 5):
+        got = [tuple(r)[:6] for r in fuzzy_passages(spark.createDataFrame(rows, DDL).repartition(n)).collect()]
+        assert got == [(900, 60, 120, 500, 60, 120)]
