@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from lodestrata.llm import suffixes
-from lodestrata.llm.chaining import chain, fuzzy_passages, matches, pack, seeds, unpack, without_passages
+from lodestrata.llm.chaining import OUT, blocks, candidates, chain, fuzzy_passages, matches, opened, others, pack, seeds, unpack, without_passages
 from lodestrata.llm.suffixes import common_prefixes, repeats, suffix_array
 
 DDL = "doc_id long, text string"
@@ -285,3 +285,23 @@ def test_passages_whose_seeds_all_lie_in_other_documents_too(spark):
     for n in (1, 5):
         got = [tuple(r)[:6] for r in fuzzy_passages(spark.createDataFrame(rows, DDL).repartition(n)).collect()]
         assert got == [(900, 60, 120, 500, 60, 120)]
+
+
+def test_runs_of_one_word_are_matched_by_their_ends(spark, tmp_path):
+    """Runs of n and m places of a seed give two matches, not n * m, and every copy is found over the shorter one's words."""
+    word = iter(f"v{i}" for i in range(10**6))
+    n = {d: 60 + 37 * d % 101 for d in range(20)}
+    rows = [(d, " ".join([next(word) for _ in range(70)] + ["same"] * n[d] + [next(word) for _ in range(70)])) for d in n]
+    docs = spark.createDataFrame(rows, DDL).coalesce(1)
+    (tmp_path / "keys").mkdir()
+    matches(seeds(docs, 5, 12, 8), f"{tmp_path}/keys").count()
+    nothing = spark.createDataFrame([], OUT)
+    ((name, least, most),) = blocks(docs, nothing, str(tmp_path), 5, 12)
+    block = opened(name)
+    got = list(candidates(block, block, 5, 40))
+    assert (least, most) == (0, 19) and len({g[:2] for g in got}) == len(got) == 190 and all(len(g[2]) <= 2 for g in got)
+    assert others(docs, nothing, str(tmp_path), 5, 12, 50, 0.8).columns == [c.split()[0] for c in OUT.split(",")]
+    have = {d: set() for d in n}
+    for r in fuzzy_passages(docs).collect():
+        have[r.doc_id] |= set(range(r.start_word, r.end_word))
+    assert all(len(have[d]) >= min(n[d], max(n[a] for a in range(d))) for d in range(1, 20)) and not have[0]
