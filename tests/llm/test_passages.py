@@ -1,11 +1,12 @@
 """Operators 3 and 10 against brute force over all pairs of words."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
 
-from lodestrata.llm import suffixes
+from lodestrata.llm import chaining, suffixes
 from lodestrata.llm.chaining import OUT, blocks, candidates, chain, fuzzy_passages, matches, opened, others, pack, seeds, unpack, without_passages
 from lodestrata.llm.suffixes import common_prefixes, repeats, suffix_array
 
@@ -305,3 +306,62 @@ def test_runs_of_one_word_are_matched_by_their_ends(spark, tmp_path):
     for r in fuzzy_passages(docs).collect():
         have[r.doc_id] |= set(range(r.start_word, r.end_word))
     assert all(len(have[d]) >= min(n[d], max(n[a] for a in range(d))) for d in range(1, 20)) and not have[0]
+
+
+def test_lone_anchors_are_judged_as_align_does():
+    """What is told for many anchors at once is what align() finds for each; where it isn't told, the bounds hold all of it."""
+    rng = np.random.default_rng(3)
+    pairs, kinds = [], {0: 0, 1: 0, 2: 0}
+    for _ in range(5000):
+        x = rng.integers(0, 1 << 30, int(rng.integers(20, 260))).astype(np.uint32)
+        y = np.where(rng.random(len(x)) < rng.choice([0.1, 0.6, 0.8, 0.95]), x, rng.integers(0, 1 << 30, len(x))).astype(np.uint32)
+        n = int(rng.integers(5, min(90, len(x) + 1)))
+        at = int(rng.integers(0, len(x) - n + 1))
+        some = rng.random(n) < 0.9
+        some[[0, -1]] = True
+        y[at : at + n][some] = x[at : at + n][some]
+        head, tail = int(rng.integers(0, min(at, 70) + 1)), int(rng.integers(0, 30))
+        pairs.append((x, np.append(y[head:], rng.integers(0, 1 << 30, tail).astype(np.uint32)), at, at - head, n))
+
+    def block(side):
+        texts, zeros = [p[side] for p in pairs], np.zeros(chaining.FLANK, np.uint32)
+        start = np.cumsum([0] + [len(t) for t in texts[:-1]]) + chaining.FLANK
+        return {"words": np.concatenate([zeros, *texts, zeros]), "start": start, "end": start + [len(t) for t in texts]}
+
+    who, pb, pa_, n = np.arange(len(pairs)), *(np.array([p[c] for p in pairs]) for c in (2, 3, 4))
+    for (x, y, b, a, m), (kind, lo, hi, hit) in zip(pairs, chaining.lone(block(0), block(1), who, who, pb, pa_, n, 50, 0.8).tolist()):
+        link = {"doc_b": 2, "doc_a": 1, "b_from": max(0, b - chaining.FLANK), "a_from": max(0, a - chaining.FLANK), "anchors": np.array([[b], [a], [m]], np.int32).tobytes()}
+        want = chaining.align(link, x[link["b_from"] : b + m + chaining.FLANK], y[link["a_from"] : a + m + chaining.FLANK], 50, 0.8)
+        kinds[kind] += 1
+        if kind == 1:
+            assert [tuple(map(int, r[:7])) for r in want] == [(2, lo, hi, 1, lo + a - b, hi + a - b, hit)]
+        else:
+            assert all(kind == 2 and lo <= r[1] and r[2] <= hi for r in want)
+    assert min(kinds.values()) > 10
+
+
+def test_candidates_keep_to_a_bounded_memory():
+    """Each of 300 documents holds one line with most of a passage beside it, so that each pair is looked at closely: by portions,
+    with the same groups as at once."""
+    rng = np.random.default_rng(5)
+    line = rng.integers(0, 1 << 30, 45).astype(np.uint32)
+    zeros, n = np.zeros(chaining.FLANK, np.uint32), 300
+    texts = [np.concatenate([rng.integers(0, 1 << 30, 150), line, rng.integers(0, 1 << 30, 150)]).astype(np.uint32) for _ in range(n)]
+    start = np.arange(n) * 345 + chaining.FLANK
+    words = np.concatenate([zeros, *texts, zeros])
+    near = (words & 15).astype(np.uint64)
+    for k in (1, 2, 4, 8):
+        near = near[:-k] | near[k:] << np.uint64(4 * k)
+    block = {"key": np.zeros(n, np.uint64), "doc": np.arange(n, dtype=np.int32), "pos": np.full(n, 150, np.int32), "run": np.full(n, 41, np.int32), "out": np.ones(n, bool), "ids": np.arange(n), "start": start, "end": start + 345, "words": words, "near": near}
+    peaks = []
+    for most in (chaining.WORDS, 1 << 30):
+        chaining.WORDS, kept = most, chaining.WORDS
+        try:
+            tracemalloc.start()
+            got = [(g[0], g[1], g[2].tolist(), g[3].tolist()) for g in candidates(block, block, 5, 40)]
+            peaks.append((tracemalloc.get_traced_memory()[1], got))
+        finally:
+            tracemalloc.stop()
+            chaining.WORDS = kept
+    (small, some), (large, every) = peaks
+    assert some == every and len(some) == n * (n - 1) // 2 and small < large * 0.8
