@@ -193,6 +193,21 @@ def fold(grams: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray,
     return g[at], np.add.reduceat(c, at) if len(g) else c
 
 
+def distinct(parts: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(the distinct numbers of all parts, sorted; for each part, the places of its numbers among them), by one sort: np.unique
+    would hash them, and the places be searched for."""
+    if not parts:
+        return np.zeros(0, U64), []
+    flat = np.concatenate(parts)
+    order = np.argsort(flat)
+    flat = flat[order]
+    new = np.ones(len(flat), bool)
+    new[1:] = flat[1:] != flat[:-1]
+    place = np.empty(len(flat), np.int32)
+    place[order] = np.cumsum(new, dtype=np.int32) - 1
+    return flat[new], np.split(place, np.cumsum([len(x) for x in parts])[:-1])
+
+
 def shard_of(ctx: np.ndarray, shards: int) -> np.ndarray:
     """The shard of the n-grams that begin with this context (of one token less)."""
     return ((mix(ctx.astype(U64)) >> U64(48)) * U64(shards) >> U64(16)).astype(np.int64)
@@ -517,13 +532,12 @@ def score(docs: DataFrame, model: str, folder: str = "/opt/tokenizers") -> DataF
 
         def flush():
             """Scores what is held: all its distinct n-grams are looked up together."""
-            keys = [c.dictionary.to_numpy() for _, _, c, _ in held if c is not None]
-            key = np.unique(np.concatenate(keys)) if keys else np.zeros(0, U64)
-            val = m.known_logs(key)
+            key, places = distinct([c.dictionary.to_numpy() for _, _, c, _ in held if c is not None])
+            val, places = m.known_logs(key), iter(places)
             for ids, some, coded, lens in held:
                 lp = []
                 if coded is not None:
-                    own = val[np.searchsorted(key, coded.dictionary.to_numpy())]
+                    own = val[next(places)]
                     lp = np.add.reduceat(own[coded.indices.to_numpy()], np.cumsum(lens) - lens).tolist()
                 rows, j = {c: [] for c in schema.names}, 0
                 for d, n in zip(ids, some):

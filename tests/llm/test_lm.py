@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from lodestrata.llm.common import local_path
-from lodestrata.llm.ngram_lm import BOS, EOS, VOCABULARY, EliasFano, lm_scores, planes, quantiser, tokens_of, unplanes
+from lodestrata.llm.ngram_lm import BOS, EOS, VOCABULARY, EliasFano, distinct, lm_scores, planes, quantiser, tokens_of, unplanes
 
 DDL = "doc_id long, text string"
 
@@ -112,3 +112,13 @@ def test_defined_results(spark):
     assert lm_scores(spark.createDataFrame([], DDL)).count() == 0
     only = lm_scores(spark.createDataFrame([(1, None)], DDL)).collect()
     assert len(only) == 1 and only[0].log2_prob is None
+
+
+def test_distinct_numbers_and_their_places():
+    """Of several parts, with one that is empty, numbers in several and the highest bits set."""
+    rng = np.random.default_rng(4)
+    parts = [rng.permutation(np.unique(rng.integers(0, 1 << 10, n).astype(np.uint64) << np.uint64(54))) for n in (1, 900, 0, 5000, 30)]
+    key, places = distinct(parts)
+    assert key.tolist() == np.unique(np.concatenate(parts)).tolist() and len(key) < sum(map(len, parts))
+    assert [key[p].tolist() for p in places] == [x.tolist() for x in parts]
+    assert [p.tolist() for p in distinct([parts[2]])[1]] == [[]] and distinct([])[1] == [] and len(distinct([])[0]) == 0
