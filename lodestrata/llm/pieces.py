@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.llm.common import pick, read_table, ship
+from lodestrata.llm.common import pick, read_table, ship, trim
 
 MARK = "▁"
 RUN = re.compile("[ ▁\\n]*[^ ▁\\n]+|[ ▁\\n]+")
@@ -271,6 +271,7 @@ def encode(docs: DataFrame, model: str = "/opt/tokenizers/piece_bpe_32k.model")
     """doc_id, ids, how many, how many of them bytes, and whether decoding the ids gives the text again. No shuffle."""
 
     def run(it):
+        trim()
         t = RunIds.get(model)
         for b in it:
             for i in range(0, b.num_rows, 512):

@@ -5,6 +5,7 @@ import random
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from lodestrata.llm import pieces
 from lodestrata.llm.pieces import Pieces, RunIds, decode, encode
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -76,3 +77,17 @@ def test_columns_that_differ_in_case(spark):
     df = spark.createDataFrame([(1, "a", "b", 2)], "doc_id long, TEXT string, text string, Lang long")
     assert pick(df, "doc_id", "text", "lang").collect() == [(1, "b", 2)] and pick(df, "TEXT").columns == ["TEXT"]
     assert pick(spark.createDataFrame([("a",)], "TEXT string"), "text").collect() == [("a",)]
+
+
+def test_workers_give_memory_back_before_they_encode(monkeypatch):
+    """What earlier stages' tasks have freed goes back to the system before the model is read."""
+    told = []
+
+    class Docs:
+        def mapInArrow(self, run, schema):
+            return run
+
+    monkeypatch.setattr(pieces, "pick", lambda docs, *cols: docs)
+    monkeypatch.setattr(pieces, "trim", lambda: told.append("trim"))
+    monkeypatch.setattr(RunIds, "get", classmethod(lambda cls, path: told.append("model")))
+    assert list(encode(Docs())(iter([]))) == [] and told == ["trim", "model"]
