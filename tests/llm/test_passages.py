@@ -365,3 +365,21 @@ def test_candidates_keep_to_a_bounded_memory():
             chaining.WORDS = kept
     (small, some), (large, every) = peaks
     assert some == every and len(some) == n * (n - 1) // 2 and small < large * 0.8
+
+
+def test_groups_hold_on_to_no_more_than_themselves(monkeypatch):
+    """300 documents hold one line, 30 of them a passage: the few groups that are kept don't keep all that was looked at."""
+    monkeypatch.setattr(chaining, "LOOK", 1 << 10)
+    rng = np.random.default_rng(7)
+    passage, zeros, n = rng.integers(0, 1 << 30, 60), np.zeros(chaining.FLANK, np.uint32), 300
+    texts = [np.concatenate([rng.integers(0, 1 << 30, 150), passage[: 60 if d % 10 == 0 else 8], rng.integers(0, 1 << 30, 150 if d % 10 == 0 else 202)]).astype(np.uint32) for d in range(n)]
+    start, words = np.arange(n) * 360 + chaining.FLANK, np.concatenate([zeros, *texts, zeros])
+    near = (words & 15).astype(np.uint64)
+    for k in (1, 2, 4, 8):
+        near = near[:-k] | near[k:] << np.uint64(4 * k)
+    block = {"key": np.zeros(n, np.uint64), "doc": np.arange(n, dtype=np.int32), "pos": np.full(n, 150, np.int32), "run": np.full(n, 4, np.int32), "out": np.ones(n, bool), "ids": np.arange(n), "start": start, "end": start + 360, "words": words, "near": near}
+    got = list(candidates(block, block, 5, 40))
+    assert sorted(g[:2] for g in got) == [(b, a) for b in range(0, n, 10) for a in range(0, b, 10)]
+    cols = [c for g in got for c in g[2:]]
+    held = {id(x): x.nbytes for x in (c if c.base is None else c.base for c in cols)}
+    assert sum(held.values()) <= 2 * sum(c.nbytes for c in cols)
