@@ -30,12 +30,34 @@ def difference(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
     return b.join(a, key, "left_anti").select(F.lit("added").alias("change"), key).unionByName(a.join(b, key, "left_anti").select(F.lit("removed").alias("change"), key))
 
 
+def overlaps(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Pairs of rows of one kind whose spans overlap (a: kind, o; b: kind, n; spans of whole numbers: start, end), each once. An
+    equi-join on kind and block, the blocks as long as the longer span of a pair, to the next power of two: a span lies in two of its
+    own, and of these or longer ones, as far as there are spans of that length, in two for each power."""
+    def size(s: str) -> Column:
+        return F.length(F.bin(F.col(f"{s}.end") - F.col(f"{s}.start") - 1))
+
+    def blocks(x: DataFrame, s: str, sizes: Column) -> DataFrame:
+        x = x.withColumn("size", F.explode(sizes))
+        return x.withColumn("block", F.explode(F.expr(f"sequence(shiftright({s}.start, size), shiftright({s}.end - 1, size))")))
+
+    def from_own(x: DataFrame, s: str, sizes: DataFrame, least: int) -> DataFrame:
+        return blocks(x.crossJoin(F.broadcast(sizes)), s, F.filter("sizes", lambda z: z >= size(s) + least)).drop("sizes")  # one row
+
+    a, b = a.filter("o.end > o.start"), b.filter("n.end > n.start")
+    sizes_a, sizes_b = a.agg(F.collect_set(size("o")).alias("sizes")), b.agg(F.collect_set(size("n")).alias("sizes"))
+    longer_a = blocks(a, "o", F.array(size("o"))).join(from_own(b, "n", sizes_a, 0), ["kind", "size", "block"])
+    longer_b = from_own(a, "o", sizes_b, 1).join(blocks(b, "n", F.array(size("n"))), ["kind", "size", "block"])
+    at = F.expr("shiftright(greatest(o.start, n.start), size)")
+    return longer_a.unionByName(longer_b).filter((F.col("block") == at) & (F.least("o.end", "n.end") > F.greatest("o.start", "n.start"))).drop("size", "block")
+
+
 def definitions_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     """Definitions (name, kind, start, end): added, removed, changed, or renamed where a removed one's span overlaps an added
     one's of the same kind (the greatest overlap, then the name)."""
     j = old.select("name", "kind", F.struct("start", "end").alias("o")).join(new.select("name", "kind", F.struct("start", "end").alias("n")), ["name", "kind"], "full")
     gone, come = j.filter("n IS NULL"), j.filter("o IS NULL")
-    c = gone.select("kind", F.col("name").alias("old_name"), "o").join(come.select("kind", "name", "n"), "kind").withColumn("over", F.least("o.end", "n.end") - F.greatest("o.start", "n.start")).filter("over > 0")
+    c = overlaps(gone.select("kind", F.col("name").alias("old_name"), "o"), come.select("kind", "name", "n")).withColumn("over", F.least("o.end", "n.end") - F.greatest("o.start", "n.start"))
     best = c.withColumn("r", F.row_number().over(W.partitionBy("old_name", "kind").orderBy(F.desc("over"), "name"))).withColumn("q", F.row_number().over(W.partitionBy("name", "kind").orderBy(F.desc("over"), "old_name"))).filter("r = 1 AND q = 1")
     renamed = best.select(F.lit("renamed").alias("change"), "name", "kind", "old_name")
     rest_gone = gone.join(renamed.select(F.col("old_name").alias("name"), "kind"), ["name", "kind"], "left_anti").select(F.lit("removed").alias("change"), "name", "kind", F.lit(None).cast("string").alias("old_name"))
